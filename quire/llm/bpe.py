@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from quire.llm._text import blocks, text_bytes
 
 MOST_PIECES = 250_000
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 MOST_PAIRS = 2_000_000
 
 
@@ -64,52 +67,86 @@ class SpeculativeBpe:
         self.token = [""] * self.size
         for token, number in [*self.ids.items(), *specials.items()]:
             self.token[number] = token
-        self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.rank = {self.ids[x] * self.size + self.ids[y]: k for k, (x, y) in enumerate(pairs)}
+        self.made = [self.ids[x + y] for x, y in pairs]
         self.longest = max(map(len, self.ids))
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        self.character = byte_characters()
+        character = byte_characters()
+        self.translate = {b: c for b, c in enumerate(character) if chr(b) != c}
+        self.symbol = {c: self.ids.get(c, -1) for c in character}
+        self.last_symbol = {c: self.ids.get(c + self.suffix, -1) for c in character}
         self.alone: dict[int, bool] = {}
         self.pair_codes, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.known: dict[str, list[int]] = {}
         self.pieces: dict[str, bytes] = {}
         self.strings: dict[str, str] = {}
         self.checked = self.merged = 0
 
-    def symbols(self, token: str) -> list[str]:
-        """Byte characters of a token or word, the suffix on the last."""
-        end = bool(self.suffix) and token.endswith(self.suffix) and token != self.suffix
-        chars = list(token[: -len(self.suffix)] if end else token)
-        if end:
-            chars[-1] += self.suffix
-        return chars
+    def spell(self, word: str) -> str:
+        """The byte characters of a word."""
+        return word.encode().decode("latin-1").translate(self.translate)
 
-    def merge(self, parts: list[str]) -> list[str]:
+    def symbols(self, chars: str) -> list[int]:
+        """Symbol of each byte character, the last with the suffix; one without an entry is dropped, as the library does."""
+        found = [self.symbol[c] for c in chars[:-1]]
+        found.append(self.last_symbol[chars[-1]])
+        return [x for x in found if x >= 0] if -1 in found else found
+
+    def token_symbols(self, token: int) -> list[int]:
+        text = self.token[token]
+        if self.suffix and text.endswith(self.suffix) and text != self.suffix:
+            return self.symbols(text[: -len(self.suffix)])
+        return [self.symbol[c] for c in text]
+
+    def merge(self, parts: list[int]) -> list[int]:
         """Exact merging: always the pair of least rank, leftmost first."""
-        n, rank = len(parts), self.rank
-        left, right, parts = list(range(-1, n - 1)), [*range(1, n), -1], list(parts)
-        heap = [(rank[p], i) for i in range(n - 1) if (p := (parts[i], parts[i + 1])) in rank]
+        if len(parts) > 256:
+            return self._merge_long(parts)
+        size, rank, none = self.size, self.rank.get, len(self.made)
+        parts = list(parts)
+        ranks = [rank(a * size + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            parts[i : i + 2] = [self.made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] * size + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] * size + parts[i + 1], none)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same for a long word, with a heap and links between neighbours."""
+        n, size, rank, parts = len(parts), self.size, self.rank, list(parts)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(r, i) for i in range(n - 1) if (r := rank.get(parts[i] * size + parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
-            j = right[i] if parts[i] else -1
-            if j < 0 or rank.get((parts[i], parts[j])) != r:
+            j = right[i] if parts[i] >= 0 else -1
+            if j < 0 or rank.get(parts[i] * size + parts[j]) != r:
                 continue
-            parts[i], parts[j] = parts[i] + parts[j], ""
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-                if (k := rank.get((parts[i], parts[right[j]]))) is not None:
-                    heapq.heappush(heap, (k, i))
-            if left[i] >= 0 and (k := rank.get((parts[left[i]], parts[i]))) is not None:
-                heapq.heappush(heap, (k, left[i]))
-        return [p for p in parts if p]
+            parts[i], parts[j], right[i] = self.made[r], -1, right[j]
+            for a, b in ((left[i], i), (i, right[i])):
+                if a >= 0 and b >= 0 and (k := rank.get(parts[a] * size + parts[b])) is not None:
+                    heapq.heappush(heap, (k, a))
+            if right[i] >= 0:
+                left[right[i]] = i
+        return [x for x in parts if x >= 0]
 
     def propose(self, word: str) -> list[int]:
-        """Longest vocabulary entries from the left; a byte character without an entry is dropped, as the library does."""
-        ids, n, at, out = self.ids, len(word), 0, []
+        """Longest vocabulary entries from the left."""
+        ids, n, at, out = self.ids.get, len(word), 0, []
+        ended, alone, longest = word + self.suffix, self.alone.get, self.longest
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                token = ids.get(word[at:end] + self.suffix if end == n else word[at:end])
-                if token is not None and self.itself(token):
+            token = ids(ended[at:]) if n - at <= longest else None
+            if token is not None and (alone(token) or self.itself(token)):
+                out.append(token)
+                break
+            for end in range(min(n - 1, at + longest), at, -1):
+                token = ids(word[at:end])
+                if token is not None and (alone(token) or self.itself(token)):
                     out.append(token)
                     break
             else:
@@ -119,27 +156,31 @@ class SpeculativeBpe:
 
     def itself(self, token: int) -> bool:
         if (ok := self.alone.get(token)) is None:
-            ok = self.alone[token] = self.merge(self.symbols(self.token[token])) == [self.token[token]]
+            ok = self.alone[token] = self.merge(self.token_symbols(token)) == [token]
         return ok
 
     def compatible(self, codes: np.ndarray) -> np.ndarray:
         """Verdict for each pair left * size + right."""
-        at = np.searchsorted(self.pair_codes, codes)
-        known = at < len(self.pair_codes)
-        known[known] = self.pair_codes[at[known]] == codes[known]
-        if not known.all():
-            new = np.unique(codes[~known])
-            names = [(self.token[c // self.size], self.token[c % self.size]) for c in new.tolist()]
-            fine = np.array([self.merge(self.symbols(a) + self.symbols(b)) == [a, b] for a, b in names])
+        distinct, back = np.unique(codes, return_inverse=True)
+        at = np.searchsorted(self.pair_codes, distinct)
+        old = at < len(self.pair_codes)
+        old[old] = self.pair_codes[at[old]] == distinct[old]
+        ok = np.zeros(len(distinct), bool)
+        ok[old] = self.pair_ok[at[old]]
+        new = distinct[~old]
+        if len(new):
+            fine = []
+            for c in new.tolist():
+                a, b = divmod(c, self.size)
+                fine.append(self.merge(self.token_symbols(a) + self.token_symbols(b)) == [a, b])
+            ok[~old] = fine
             if len(self.pair_codes) > MOST_PAIRS:
                 self.pair_codes, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-            every = np.concatenate([self.pair_codes, new, np.unique(codes[known])])
-            old = self.pair_ok[np.searchsorted(self.pair_codes, np.unique(codes[known]))] if len(self.pair_codes) else np.zeros(0, bool)
-            verdicts = np.concatenate([self.pair_ok, fine, old]) if len(old) == len(every) - len(self.pair_codes) - len(new) else np.concatenate([self.pair_ok, fine])
-            self.pair_codes, first = np.unique(every[: len(verdicts)], return_index=True)
-            self.pair_ok = verdicts[first]
-            return self.compatible(codes)
-        return self.pair_ok[at]
+                new, fine = distinct, ok
+            every, verdicts = np.concatenate([self.pair_codes, new]), np.concatenate([self.pair_ok, fine])
+            order = np.argsort(every, kind="stable")
+            self.pair_codes, self.pair_ok = every[order], verdicts[order]
+        return ok[back]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each distinct word, given in byte characters."""
@@ -150,10 +191,10 @@ class SpeculativeBpe:
         inner = np.flatnonzero(word[1:] == word[:-1]) if len(word) else np.zeros(0, np.int64)
         fine = self.compatible(flat[inner] * self.size + flat[inner + 1]) if len(inner) else np.zeros(0, bool)
         self.checked += len(words)
-        for k in np.unique(word[inner[~fine]]).tolist():
-            chars = [c for c in self.symbols(words[k] + self.suffix) if c in self.ids]
-            proposals[k] = [self.ids[t] for t in self.merge(chars)]
-            self.merged += 1
+        failing = np.unique(word[inner[~fine]]).tolist()
+        self.merged += len(failing)
+        for k in failing:
+            proposals[k] = self.merge(self.symbols(words[k]))
         return proposals
 
     def learn(self, pieces: Iterable[str]) -> None:
@@ -162,14 +203,16 @@ class SpeculativeBpe:
         if len(self.pieces) + len(new) > MOST_PIECES:
             self.pieces.clear()
             self.strings.clear()
-        char = self.character
-        parts = [["".join(char[b] for b in w.encode()) for w in self.words.findall(p)] for p in new]
-        distinct = list(dict.fromkeys(w for p in parts for w in p))
-        ids = dict(zip(distinct, self.encode_words(distinct), strict=True))
+        if len(self.known) > MOST_PIECES:
+            self.known.clear()
+        find, known, token = self.words.findall, self.known, self.token
+        parts = [[p] if p.isalpha() and p.isascii() else find(p) for p in new]
+        distinct = [w for w in dict.fromkeys(w for p in parts for w in p) if w not in known]
+        known.update(zip(distinct, self.encode_words([self.spell(w) for w in distinct]), strict=True))
         for piece, words in zip(new, parts, strict=True):
-            found = [t for w in words for t in ids[w]]
-            self.pieces[piece] = np.array(found, "<u4").tobytes()
-            self.strings[piece] = " ".join([self.token[t] for t in found])
+            found = known[words[0]] if len(words) == 1 else [t for w in words for t in known[w]]
+            self.pieces[piece] = array("I", found).tobytes() if LITTLE else np.array(found, "<u4").tobytes()
+            self.strings[piece] = " ".join([token[t] for t in found])
 
     def normal(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
