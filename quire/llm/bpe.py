@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quire.llm._text import blocks, text_bytes
 
-MOST_PIECES = 250_000
+MOST_PIECES = 150_000
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 MOST_PAIRS = 2_000_000
 
@@ -81,6 +81,7 @@ class SpeculativeBpe:
         self.known: dict[str, list[int]] = {}
         self.pieces: dict[str, bytes] = {}
         self.strings: dict[str, str] = {}
+        self.aged: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
         self.checked = self.merged = 0
 
     def spell(self, word: str) -> str:
@@ -200,9 +201,6 @@ class SpeculativeBpe:
     def learn(self, pieces: Iterable[str]) -> None:
         """Put new pieces, which hold no white space, into the cache."""
         new = list(pieces)
-        if len(self.pieces) + len(new) > MOST_PIECES:
-            self.pieces.clear()
-            self.strings.clear()
         if len(self.known) > MOST_PIECES:
             self.known.clear()
         find, known, token = self.words.findall, self.known, self.token
@@ -239,9 +237,14 @@ class SpeculativeBpe:
         known = self.pieces
         missing = {p for segments in split for s in segments if isinstance(s, list) for p in s if p not in known}
         if missing:
-            if len(known) + len(missing) > MOST_PIECES:
+            if len(known) > MOST_PIECES:  # what is in use again is taken over from the older cache
+                self.aged, self.pieces, self.strings = (self.pieces, self.strings), {}, {}
                 missing = {p for segments in split for s in segments if isinstance(s, list) for p in s}
-            self.learn(missing)
+            old, old_strings = self.aged
+            again = [p for p in missing if p in old]
+            self.pieces.update((p, old[p]) for p in again)
+            self.strings.update((p, old_strings[p]) for p in again)
+            self.learn(missing.difference(again))
         known, strings = self.pieces, self.strings
         out = []
         for segments in split:

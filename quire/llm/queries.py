@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.llm.bpe import bpe
 from quire.llm.decontaminate import decontaminate
 from quire.llm.jaccard_join import jaccard_join
+from quire.llm.packing import packing
 from quire.llm.quality_classifier import quality_classifier
 from quire.llm.quality_rules import quality_rules
 from quire.llm.sharding import sharding
@@ -54,6 +55,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe(_table(spark, sf_dir, "documents"), VOCABULARY)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -69,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_ALL = (op1_substring_dedup, op2_decontaminate, op3_suffix_dedup, op4_quality_classifier, op5_toxicity, op6_jaccard_join, op8_bpe, op9_sharding, op10_quality_rules)
+_ALL = (op1_substring_dedup, op2_decontaminate, op3_suffix_dedup, op4_quality_classifier, op5_toxicity, op6_jaccard_join, op7_packing, op8_bpe, op9_sharding, op10_quality_rules)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
