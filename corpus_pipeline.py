@@ -1,6 +1,65 @@
-"""Stages."""
-STAGES = []
+"""From raw documents to token ids: quality filter, near-duplicate removal, repeat removal, decontamination, encoding.
 
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept; all but the last return the columns of documents. Rows that share a
+doc_id are one document. A null doc_id is kept like others.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm._rounds import stored
+from quire.llm.bpe import bpe
+from quire.llm.decontaminate import without_contaminated
+from quire.llm.jaccard_join import jaccard_join
+from quire.llm.quality_classifier import fit, score
+from quire.llm.queries import VOCABULARY
+from quire.llm.suffix_dedup import without_repeats
+
+QUALITY_THRESHOLD = 0.7
+_SCORE = "__quality_score"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model, to=_SCORE).where(F.col(_SCORE) >= QUALITY_THRESHOLD).drop(_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that Jaccard links connect, the document of least doc_id."""
+    found = jaccard_join(docs)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the long strings that an earlier one has; those that lose everything go."""
+    return without_repeats(docs)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the decoded text."""
+    found = bpe(docs, VOCABULARY)
+    return found.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("near duplicates", near_duplicates), ("repeats", repeats), ("contamination", contamination), ("encoding", encode)]
+
+#: A trained model and a tokenizer are beyond SQL; the tests compare with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Generator, Iterable
 from contextlib import contextmanager
 
@@ -50,12 +51,26 @@ def shuffles_dropped(spark: SparkSession):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's shared checkpoint folder and go on from there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of our own only where none is set, as in tests."""
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet into the shared folder and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    with shuffles_dropped(df.sparkSession):
+        df.select("*").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the cluster's shared checkpoint folder and go on from there."""
+    spark = df.sparkSession
+    shared_folder(spark)
     with shuffles_dropped(spark):
         return df.select("*").checkpoint(eager=True)  # a query follows the setting of the time when it was made
 

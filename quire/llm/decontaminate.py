@@ -198,21 +198,28 @@ def _block(docs: DataFrame, items: list[tuple[int | None, str | None]], window:
     return docs.mapInArrow(hits, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, block_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, hits (spans of words), items (ids with occurring windows), and the columns `carry`."""
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int, carry: list[str]) -> DataFrame:
+    """doc_id, text, carry0, carry1, ..., n_words, hits, items."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)))
-    listed = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text"))
+    listed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     number = math.ceil((listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes) or 1
     with shuffles_dropped(docs.sparkSession):
         parts = []
         for k in range(number):  # one block of bounded size for all but very large benchmarks
             block = listed if number == 1 else listed.where(F.pmod(F.xxhash64("text"), F.lit(number)) == k)
             parts.append([(r[0], r[1]) for r in block.collect()])
-        if number == 1:
-            found = _block(base, parts[0], window, shingle)
-        else:
-            found = _united(base, parts, window, shingle)
-    return found.drop("text").withColumnsRenamed({f"carry{k}": c for k, c in enumerate(carry)}).select("doc_id", "n_words", "hits", "items", *carry)
+        return _block(base, parts[0], window, shingle) if number == 1 else _united(base, parts, window, shingle)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, n_words, hits (spans of words), items (ids with occurring windows)."""
+    return _searched(docs, benchmark, window, shingle, block_bytes, []).select("doc_id", "n_words", "hits", "items")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of `docs` with no hit word."""
+    found = _searched(docs, benchmark, window, shingle, block_bytes, docs.columns).where(F.size("hits") == 0)
+    return found.select(*(F.col(f"carry{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def _united(base: DataFrame, parts: list, window: int, shingle: int) -> DataFrame:

@@ -178,8 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int
     return fit_rows([np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in rows["found"]], rows["label"].to_numpy())
 
 
-def score(docs: DataFrame, model: NbSvm) -> DataFrame:
-    """`docs` with a column quality_score."""
+def score(docs: DataFrame, model: NbSvm, to: str = "quality_score") -> DataFrame:
+    """`docs` with a column `to`."""
     given = docs.sparkSession.sparkContext.broadcast(model)  # two numbers for each hashed indicator
     others = [f.name for f in docs.schema]
 
@@ -187,9 +187,9 @@ def score(docs: DataFrame, model: NbSvm) -> DataFrame:
         model = given.value
         for batch in batches:
             found = [model.score(x) for x in indicators(*text_bytes(batch["text"]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*others, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*others, to])
 
-    return docs.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "quality_score double"]))
+    return docs.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{to}` double"]))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 4000) -> DataFrame:
