@@ -8,9 +8,11 @@ size >= `percent` % of union size.
 1. Document frequencies of all shingles are counted in shards. The global order
    of n-grams is: in one document, then in few, then in many, by hash within
    each. A document in whose set more are alone than a link allows is out.
-2. Two linked documents share one of their first size - ceil(percent * size)
-   + 1 n-grams in this order; those that share one are joined through the least
-   of them, and connected candidates form a cell.
+2. The order is cut into fragments, more than the n-grams in which two linked
+   documents of a size class can differ; so they agree in a whole fragment
+   (small sets: in one of their first size - ceil(percent * size) + 1 n-grams).
+   Documents that do are joined through the least of them, and connected
+   candidates form a cell.
 3. In each cell (a large one in pairs of blocks) the order is cut into
    fragments. Overlaps are counted in each fragment on its own as a product of
    incidence matrices and summed for each pair of documents; pairs that reach
@@ -84,6 +86,71 @@ def prefix_size(size: np.ndarray, percent: int) -> np.ndarray:
     return size + (-percent * size) // 100 + 1  # size - ceil(percent * size) + 1
 
 
+def size_classes(most: int, percent: int) -> np.ndarray:
+    """Upper bounds of size classes; linked sets are in one class or in two that follow each other."""
+    bounds = [1]
+    while bounds[-1] < most:
+        bounds.append(max(bounds[-1] + 1, bounds[-1] * 100 // percent))
+    bounds.append(max(bounds[-1] + 1, bounds[-1] * 100 // percent))
+    return np.array(bounds)
+
+
+def _rank(group: np.ndarray) -> np.ndarray:
+    """Place of each entry in its group; groups are in a row."""
+    new = np.ones(len(group), bool)
+    new[1:] = group[1:] != group[:-1]
+    head = np.flatnonzero(new)
+    return np.arange(len(group)) - np.repeat(head, np.diff(np.append(head, len(group))))
+
+
+def _signatures(token: np.ndarray, doc: np.ndarray, kind: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(47-bit signature, document): two linked documents share at least one.
+
+    Sets of n-grams (sorted by document and n-gram) are cut at fixed places of
+    the order, more of them than two linked sets of that size class can differ
+    in n-grams, so that some fragment of two n-grams or more is equal; each
+    difference d spoils one fragment at most, so each document needs its first
+    d + 1 such fragments, those that no other document can have counted in.
+    Sets too small for enough such fragments use the prefix of single n-grams.
+    """
+    if not len(token):
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    bounds = size_classes(int(size.max(initial=1)), percent)
+    own = np.searchsorted(bounds, np.maximum(size, 1), "left")
+    largest = size * 100 // percent
+    found, docs = [], []
+    for step in (0, 1):
+        label = own + step
+        mine = np.ones(len(doc), bool) if step == 0 else (largest > bounds[own])[doc]
+        if not mine.any():
+            continue
+        t, d, k = token[mine], doc[mine], kind[mine]
+        upper = bounds[label]
+        differ = (100 - percent) * (size + np.minimum(upper, largest)) // (100 + percent)
+        pieces = np.maximum(1, np.ceil(1.93 * 2 * (100 - percent) / (100 + percent) * upper)).astype(U64)
+        part = (t >> U64(16)) * pieces[d] >> U64(32)
+        new = np.ones(len(t), bool)
+        new[1:] = (d[1:] != d[:-1]) | (part[1:] != part[:-1])
+        head = np.flatnonzero(new)
+        count = np.diff(np.append(head, len(t)))
+        code = pair(np.add.reduceat(mix(t + U64(3)), head), (count.astype(U64) << U64(40)) + part[head])
+        of, lone, rare = d[head], np.minimum.reduceat(k, head) == 0, np.bitwise_or.reduceat((k == 1).astype(np.uint8), head) > 0
+        good = count >= 2
+        enough = np.bincount(of[good], minlength=len(size)) > differ
+        spoilt = np.bincount(of[good & lone], minlength=len(size))
+        at = np.flatnonzero(good & ~lone)
+        at = at[np.lexsort((part[head[at]], ~rare[at], of[at]))]
+        at = at[_rank(of[at]) < (differ + 1 - spoilt)[of[at]]]
+        found.append(pair(code[at], label[of[at]].astype(U64)))
+        docs.append(of[at])
+        few = np.flatnonzero(~enough[d])
+        few = few[np.lexsort((t[few], k[few], d[few]))]
+        few = few[(_rank(d[few]) < prefix_size(size[d[few]], percent)) & (k[few] > 0)]
+        found.append(pair(t[few], label[d[few]].astype(U64) + U64(1 << 20)))
+        docs.append(d[few])
+    return np.concatenate(found) >> U64(17), np.concatenate(docs)
+
+
 def _candidates(n: int, percent: int) -> Callable:
     """Chunk program: n_shingles, key, same (first equal document of the chunk), roots (least candidates)."""
 
@@ -101,24 +168,21 @@ def _candidates(n: int, percent: int) -> Callable:
         kind = np.zeros(len(keys), np.uint8)
         for s, a, b in zip(to, bound[:-1], bound[1:], strict=True):
             kind[deal[a:b]] = np.frombuffer(got[int(s)], np.uint8)
-        # round 2: the first n-grams in the order, but for those that are alone
+        # round 2: signatures that linked documents share
         kind = kind[back]
-        order = np.lexsort((token, kind, doc))
-        place = np.arange(len(order)) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
-        chosen = order[(place < prefix_size(size[doc[order]], percent)) & (kind[order] > 0)]
         alone = np.bincount(doc[kind == 0], minlength=len(size))
-        chosen = chosen[alone[doc[chosen]] < prefix_size(size[doc[chosen]], percent)]
-        by = np.lexsort((doc[chosen], token[chosen]))
-        chosen = chosen[by]
-        keys, lead = np.unique(token[chosen], return_index=True)
+        may = (alone < prefix_size(size, percent))[doc]
+        signature, doc = _signatures(token[may], doc[may], kind[may], size, percent)
+        by = np.lexsort((doc, signature))
+        signature, doc = signature[by], doc[by]
+        keys, lead = np.unique(signature, return_index=True)
         deal, to, bound = _split(mix(keys) % U64(shards), shards)
-        k, d = keys[deal], ids[doc[chosen[lead]]][deal].astype(U64)
+        k, d = keys[deal], ids[doc[lead]][deal].astype(U64)
         got = yield {int(s): pack(k[a:b], 6) + pack(d[a:b], 8) for s, a, b in zip(to, bound[:-1], bound[1:], strict=True)}
         root = np.zeros(len(keys), np.int64)
         for s, a, b in zip(to, bound[:-1], bound[1:], strict=True):
             root[deal[a:b]] = unpack(got[int(s)], 8).astype(np.int64)
-        roots = root[np.searchsorted(keys, token[chosen])]
-        owner = doc[chosen]
+        roots, owner = root[np.searchsorted(keys, signature)], doc
         differ = roots != ids[owner]
         edge = np.unique(np.stack([owner[differ], roots[differ]]), axis=1) if differ.any() else np.zeros((2, 0), np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(edge[0], np.arange(len(size) + 1)), pa.int32()), pa.array(edge[1]))
