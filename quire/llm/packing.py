@@ -1,6 +1,7 @@
 """Token ids and packed sequences: best-fit-decreasing with a segment tree over capacities.
 
-Documents are encoded (see `bpe`) and cut into pieces of at most `length`
+Documents are encoded with a byte-level vocabulary of ranks, so that every text
+has ids and its ids give it back, and cut into pieces of at most `length`
 tokens, without loss. Pieces are packed from the longest to the shortest, each
 into the open sequence with the least free space that holds it; a segment tree
 over free sizes finds it. Each packed sequence is a row of the id matrix (padded
@@ -16,22 +17,34 @@ Repeated rows are packed each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import base64
 import math
 from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm._rounds import by_chunk, clamp, sorted_chunk
-from quire.llm._text import blocks, text_bytes
-from quire.llm.bpe import encoder
 
 SCHEMA = "bucket int, row int, n_tokens int, ids binary, cu_lengths array<int>, starts array<int>, segments array<struct<doc_id:long,offset:long,n:int>>"
 
 
+_ENCODINGS: dict[int, tiktoken.Encoding] = {}
+
+
+def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
+    """The encoding of a rank file (a base64 token and its rank in each line), once in a process."""
+    key = hash((ranks, pattern))
+    if key not in _ENCODINGS:
+        parts = (line.split() for line in ranks.splitlines() if line)
+        _ENCODINGS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(t): int(r) for t, r in parts}, special_tokens={})
+    return _ENCODINGS[key]
+
+
 class Capacities:
     """Segment tree over free sizes 0..most: how many open sequences have each size, and the least size that holds a piece."""
 
@@ -100,20 +113,20 @@ def pack_documents(bucket: int, ids: list[int | None], tokens: list[np.ndarray],
     return pa.Table.from_arrays([*numbers, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["bucket", "row", "n_tokens", "ids", "cu_lengths", "starts", "segments"])
 
 
-def packing(docs: DataFrame, vocabulary: str, length: int = 2048, pad: int = 0, bucket_bytes: int | None = None) -> DataFrame:
-    """bucket, row, n_tokens, ids (little-endian unsigned 32-bit, padded to `length`), cu_lengths, starts, segments."""
-    source = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))  # a few megabytes, whatever the corpus
+def packing(docs: DataFrame, vocabulary: str, pattern: str, length: int = 2048, pad: int = 0, bucket_bytes: int | None = None) -> DataFrame:
+    """bucket, row, n_tokens, ids (little-endian unsigned 32-bit, padded to `length`), cu_lengths, starts, segments.
+
+    vocabulary: path of a rank file on the driver; pattern: how texts are split before merging.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a megabyte, whatever the corpus
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = math.ceil(total / (bucket_bytes or clamp(total / 2**18, 2 << 20, 64 << 20))) or 1
 
     def work(table: pa.Table) -> pa.Table:
         bucket = table["chunk"][0].as_py()
         table, _ = sorted_chunk(table)
-        bpe, tokens = encoder(source.value), []
-        _, offs = text_bytes(table["text"])
-        for lo, hi in blocks(offs):
-            found = bpe.encode([t or "" for t in table["text"].slice(lo, hi - lo).to_pylist()])
-            tokens += [np.frombuffer(ids, "<u4") for ids, _ in found]
+        encode = encoding(ranks.value, pattern).encode_ordinary
+        tokens = [np.array(encode(t.as_py() or ""), "<u4") for t in table["text"]]
         return pack_documents(bucket, table["doc_id"].to_pylist(), tokens, length, pad)
 
     return by_chunk(docs, buckets).groupBy("chunk").applyInArrow(work, SCHEMA)

@@ -20,6 +20,7 @@ from quire.llm.suffix_dedup import suffix_dedup
 from quire.llm.toxicity import toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return packing(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
