@@ -22,8 +22,20 @@ def suggest_level(outline: Column, style: Column) -> Column:
 
 
 def round_half_even(x: Column, digits: int) -> Column:
-    """A double rounded as its exact binary value, ties to even."""
-    return F.bround(x.cast("decimal(38,25)"), digits).cast("double")
+    """A double rounded by its exact binary value, ties to even.
+
+    The scaled value is a rounded product; its error is found exactly by
+    splitting x into halves of its bits (Dekker, 1971), and decides near ties.
+    """
+    scale = F.lit(float(10**digits))
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    below = F.floor(product).cast("double")
+    over = (product - (below + 0.5)) + error
+    up = F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.pmod(below, F.lit(2.0)))
+    return (below + up) / scale
 
 
 def mode(rows: DataFrame, key: str, value: Column, order: str, name: str) -> DataFrame:
