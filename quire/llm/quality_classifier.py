@@ -34,7 +34,7 @@ _LETTER = np.array([97 <= (b | 32) <= 122 or b >= 0xC0 for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 
 
-def _shapes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _shapes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A small number for each word."""
     upper = np.append(0, np.cumsum(_UPPER[buf]))
     letter = np.append(0, np.cumsum(_LETTER[buf]))
@@ -45,6 +45,7 @@ def _shapes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray)
     twin = (last == second) & (tail > 0)
     same = np.zeros(len(h), bool)
     same[1:] = h[1:] == h[:-1]
+    same[first[:-1][np.diff(first) > 0]] = False  # a document's first word has none before it
     length = np.minimum(np.ceil(np.log2(size + 1)).astype(np.int64), 7)
     return case + 4 * length + 32 * twin + 64 * same + 128 * tail.astype(np.int64) + (1 << 16) * (n_letter == 0)
 
@@ -58,7 +59,7 @@ def indicators(buf: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
         code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) if len(b) > 2 else np.zeros(0, np.uint32)
         code = (code * np.uint32(2654435761)) >> np.uint32(16)
         w = split_words(part, at)
-        shape = _shapes(part, w.start, w.end, hash_words(part, w.start, w.end)).astype(U64) if len(w.start) else np.zeros(0, U64)
+        shape = _shapes(part, w.start, w.end, hash_words(part, w.start, w.end), w.first).astype(U64) if len(w.start) else np.zeros(0, U64)
         runs = [(pair(grams(shape, n), np.full(max(len(shape) - n + 1, 0), n, U64)) % U64(SHAPES)).astype(np.int64) + BYTES for n in (1, 2, 3)]
         for d in range(hi - lo):
             mark[code[at[d] : max(at[d + 1] - 2, at[d])]] = True

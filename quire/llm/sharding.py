@@ -70,11 +70,10 @@ class ShardMap:
                 homeless.append(x)
         goal = sum(x.bytes for x in slots.values()) / shards
         for shard, mine in enumerate(held):
-            for x in sorted(mine, key=lambda x: (x.bytes, x.slot, x.part)):
-                if load[shard] <= goal * (1 + slack):
-                    break
-                load[shard] -= x.bytes
-                homeless.append(x)
+            for x in sorted(mine, key=lambda x: (-x.bytes, x.slot, x.part)):
+                if load[shard] > goal * (1 + slack) and load[shard] - x.bytes >= goal * (1 - slack):
+                    load[shard] -= x.bytes
+                    homeless.append(x)
         heap = [(size, s) for s, size in enumerate(load)]
         heapq.heapify(heap)
         for x in sorted(homeless, key=lambda x: (-x.bytes, x.slot, x.part)):

@@ -80,7 +80,7 @@ def dense_features(buf: np.ndarray, offs: np.ndarray, lexicon: np.ndarray) -> np
     drawn = np.zeros(len(buf), bool)
     drawn[2:] = (buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2]) & _ALPHA[buf[2:]]
     drawn = np.append(0, np.cumsum(drawn))
-    odd = (alpha > 0) & ((digit > 0) | (inner > 0) | (drawn[s.end] - drawn[s.start] > 0))
+    odd = (alpha > 0) & ((digit > 0) | (inner > 0) | (drawn[s.end] - drawn[np.minimum(s.start + 2, s.end)] > 0))
     parts = [hits / n, np.log1p(hits), kinds, per_doc(bad & near, w.first) / n, np.log1p(per_doc(bad & near, w.first)), per_doc(you, w.first) / n, capitals / np.maximum(letters, 1),
              per_doc(buf == 33, offs) / size, per_doc(_PUNCT[buf], offs) / size, per_doc(odd, s.first) / np.maximum(s.count, 1), np.log1p(w.count)]
     return np.stack(parts, axis=1).astype(float)
