@@ -86,11 +86,12 @@ def resolve_features(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
     Styles are few for each document but unbounded over a corpus, so the chain
     is made by two joins of styles and joined once; the planner may broadcast.
     """
-    s = styles.select("doc_id", "style_id", F.struct("name", "sz", "bold", "first_line_chars", "first_line_twips", "outline_lvl").alias("s"), "based_on")
-    one, two = (s.select("doc_id", F.col("style_id").alias(f"id{k}"), F.col("s").alias(f"s{k}"), F.col("based_on").alias(f"up{k}")) for k in (1, 2))
-    chained = s.join(one, (s["doc_id"] == one["doc_id"]) & (s["based_on"] == one["id1"]), "left").drop(one["doc_id"])
-    chained = chained.join(two, (chained["doc_id"] == two["doc_id"]) & (chained["up1"] == two["id2"]), "left").drop(two["doc_id"])
-    chained = chained.select("doc_id", "style_id", F.array("s", "s1", "s2").alias("chain"))
+    s = styles.select("doc_id", "style_id", F.struct("name", "sz", "bold", "first_line_chars", "first_line_twips", "outline_lvl").alias("s0"), F.col("based_on").alias("up0"))
+    chained = s
+    for k in (1, 2):
+        base = s.select("doc_id", F.col("style_id").alias(f"up{k - 1}"), F.col("s0").alias(f"s{k}"), F.col("up0").alias(f"up{k}"))
+        chained = chained.join(base, ["doc_id", f"up{k - 1}"], "left")
+    chained = chained.select("doc_id", "style_id", F.array("s0", "s1", "s2").alias("chain"))
     p = paragraphs.join(chained, ["doc_id", "style_id"], "left")
 
     def of_chain(field: str) -> Column:

@@ -34,10 +34,14 @@ def render(items: DataFrame, levels: DataFrame) -> DataFrame:
     for k in range(LEVELS):
         group = Window.partitionBy("doc_id", "num_id", *([f"__g{k}"] if k else [])).orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
         counted = counted.withColumn(f"__n{k}", F.count(F.when(F.col("ilvl") == k, 1)).over(group))
-    text = own["lvl_text"]
+    # one array of all levels' values, so that the formats are one expression and not one for each level
+    values = []
     for k in range(LEVELS):
         level = F.col("spec")[F.lit(k)]
         value = F.coalesce(level["first"], F.lit(1)) + F.greatest(F.lit(0), F.col(f"__n{k}") - 1)
-        text = F.replace(text, F.lit(f"%{k + 1}"), number_text(F.coalesce(level["num_fmt"], F.lit("decimal")), value))
+        values.append(F.struct(F.coalesce(level["num_fmt"], F.lit("decimal")).alias("num_fmt"), value.cast("long").alias("value"), F.lit(f"%{k + 1}").alias("mark")))
+    used = F.filter(F.array(*values), lambda x: own["lvl_text"].contains(x["mark"]))
+    shown = F.transform(used, lambda x: F.struct(x["mark"].alias("mark"), number_text(x["num_fmt"], x["value"]).alias("shown")))
+    text = F.aggregate(shown, own["lvl_text"], lambda out, x: F.replace(out, x["mark"], x["shown"]))
     drop = ["spec", *(f"__g{k}" for k in range(1, LEVELS)), *(f"__n{k}" for k in range(LEVELS))]
     return counted.withColumn("number_text", text).drop(*drop)
