@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from quire.operators import catalog, decisions, search
 from quire.plans.ingest import Decider, Ingested, ingest
+from quire.plans.shared import cut
 from quire.sources.docx import read_files
 
 BLOCK = 1000
@@ -62,10 +63,10 @@ class Store:
 
     def add(self, files: DataFrame, decide: Decider | None = decisions.rule_decisions) -> DataFrame:
         """Ingest files (doc_name, doc_hash, content) and give their statistics; the same bytes again replace what they made before."""
-        registered = self.register(files).persist()
+        registered = cut(self.register(files))  # what follows rewrites the tables that it came from
         found: Ingested = ingest(registered.select("doc_id", "content"), decide)
-        statistics = found.statistics.persist()
-        ids = registered.select(F.col("doc_id").alias("doc")).persist()
+        statistics = cut(found.statistics)
+        ids = registered.select(F.col("doc_id").alias("doc"))
         for name, rows in (("chapters", found.chapters), ("tables", found.tables), ("cells", found.cells)):
             self._replace(name, rows, ids, "doc_id")
         old = self.table("documents").select(F.col("id").alias("doc_id"), F.col("doc_name").alias("old_name"), F.col("create_time").alias("old_time"))
