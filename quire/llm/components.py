@@ -13,17 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until the edges stand still: every node links its
     larger neighbours to its least one, then its smaller ones. Each step is a
-    grouped minimum and a join, so a hub's edges are spread over many tasks.
+    grouped minimum and a join, whose skewed parts adaptive execution splits.
     Each step's edges are written to the checkpoint folder.
     """
     now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, last = cut(now), None
+    apart = F.col("u") + 0  # minima are dealt anew for the join, so that a hub's edges there can be split over tasks
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(apart.alias("u"), F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(apart.alias("u"), "m")
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
