@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, last = cut(now), None
-    apart = F.col("u") + 0  # minima are dealt anew for the join, so that a hub's edges there can be split over tasks
+    apart = F.col("u").bitwiseXOR(F.lit(0))  # the same number, but dealt anew for the join, so that a hub's edges there can be split over tasks
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(apart.alias("u"), F.least("u", "m").alias("m"))
