@@ -19,8 +19,8 @@ def render(items: DataFrame, levels: DataFrame) -> DataFrame:
     undefined, a bullet or of an unknown format get no text and don't count.
 
     A level's counter starts over whenever a higher level counts, so it is the
-    number of its items since then: a running count within the run of items that
-    a running count of the higher levels' items tells apart.
+    number of its items since then: a running count less its value when a higher
+    level last counted. All levels share one sort of each list.
     """
     first = F.coalesce("start_override", "start", F.lit(1))
     spec = levels.groupBy("doc_id", "num_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ilvl"), F.struct("num_fmt", "lvl_text", first.alias("first"))))).alias("spec"))
@@ -28,20 +28,19 @@ def render(items: DataFrame, levels: DataFrame) -> DataFrame:
     own = F.col("spec")[F.col("ilvl")]
     joined = joined.where(own["num_fmt"].isin([f for f in FORMATS if f != "bullet"]))
     lists = Window.partitionBy("doc_id", "num_id").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
-    counted = joined
-    for k in range(1, LEVELS):  # runs of items between those of higher levels
-        counted = counted.withColumn(f"__g{k}", F.count(F.when(F.col("ilvl") < k, 1)).over(lists))
-    for k in range(LEVELS):
-        group = Window.partitionBy("doc_id", "num_id", *([f"__g{k}"] if k else [])).orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
-        counted = counted.withColumn(f"__n{k}", F.count(F.when(F.col("ilvl") == k, 1)).over(group))
+    runs = [F.count(F.when(F.col("ilvl") == k, 1)).over(lists).alias(f"__c{k}") for k in range(LEVELS)]
+    counted = joined.select("*", *runs)
+    # a running count only grows, so its value at the last higher level is the greatest there
+    past = [F.max(F.when(F.col("ilvl") < k, F.col(f"__c{k}"))).over(lists).alias(f"__r{k}") for k in range(LEVELS)]
+    counted = counted.select("*", *past)
     # one array of all levels' values, so that the formats are one expression and not one for each level
     values = []
     for k in range(LEVELS):
         level = F.col("spec")[F.lit(k)]
-        value = F.coalesce(level["first"], F.lit(1)) + F.greatest(F.lit(0), F.col(f"__n{k}") - 1)
+        value = F.coalesce(level["first"], F.lit(1)) + F.greatest(F.lit(0), F.col(f"__c{k}") - F.coalesce(f"__r{k}", F.lit(0)) - 1)
         values.append(F.struct(F.coalesce(level["num_fmt"], F.lit("decimal")).alias("num_fmt"), value.cast("long").alias("value"), F.lit(f"%{k + 1}").alias("mark")))
     used = F.filter(F.array(*values), lambda x: own["lvl_text"].contains(x["mark"]))
     shown = F.transform(used, lambda x: F.struct(x["mark"].alias("mark"), number_text(x["num_fmt"], x["value"]).alias("shown")))
     text = F.aggregate(shown, own["lvl_text"], lambda out, x: F.replace(out, x["mark"], x["shown"]))
-    drop = ["spec", *(f"__g{k}" for k in range(1, LEVELS)), *(f"__n{k}" for k in range(LEVELS))]
+    drop = ["spec", *(f"__{x}{k}" for x in "cr" for k in range(LEVELS))]
     return counted.withColumn("number_text", text).drop(*drop)
