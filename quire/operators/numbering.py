@@ -16,14 +16,17 @@ def render(items: DataFrame, levels: DataFrame) -> DataFrame:
 
     items: doc_id, num_id, ilvl, order (unique in a document). levels: doc_id,
     num_id, ilvl, num_fmt, lvl_text, start, start_override. Items whose level is
-    undefined, a bullet or of an unknown format get no text and don't count.
+    undefined, a bullet or of an unknown format get no text and don't count. A
+    column lvl_restart, if there is one, names a level (from 0) that also resets
+    the level it stands at.
 
     A level's counter starts over whenever a higher level counts, so it is the
     number of its items since then: a running count less its value when a higher
     level last counted. All levels share one sort of each list.
     """
     first = F.coalesce("start_override", "start", F.lit(1))
-    spec = levels.groupBy("doc_id", "num_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ilvl"), F.struct("num_fmt", "lvl_text", first.alias("first"))))).alias("spec"))
+    restart = F.col("lvl_restart") if "lvl_restart" in levels.columns else F.lit(None).cast("int")
+    spec = levels.groupBy("doc_id", "num_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ilvl"), F.struct("num_fmt", "lvl_text", first.alias("first"), restart.alias("restart"))))).alias("spec"))
     joined = items.join(spec, ["doc_id", "num_id"])
     own = F.col("spec")[F.col("ilvl")]
     joined = joined.where(own["num_fmt"].isin([f for f in FORMATS if f != "bullet"]))
@@ -31,7 +34,8 @@ def render(items: DataFrame, levels: DataFrame) -> DataFrame:
     runs = [F.count(F.when(F.col("ilvl") == k, 1)).over(lists).alias(f"__c{k}") for k in range(LEVELS)]
     counted = joined.select("*", *runs)
     # a running count only grows, so its value at the last higher level is the greatest there
-    past = [F.max(F.when(F.col("ilvl") < k, F.col(f"__c{k}"))).over(lists).alias(f"__r{k}") for k in range(LEVELS)]
+    resets = [(F.col("ilvl") < k) | F.coalesce((F.col("ilvl") != k) & (F.col("spec")[F.lit(k)]["restart"] == F.col("ilvl")), F.lit(False)) for k in range(LEVELS)]
+    past = [F.max(F.when(resets[k], F.col(f"__c{k}"))).over(lists).alias(f"__r{k}") for k in range(LEVELS)]
     counted = counted.select("*", *past)
     # one array of all levels' values, so that the formats are one expression and not one for each level
     values = []

@@ -82,7 +82,7 @@ class Tools:
 
 
 def ask(store: Store, doc_id: int, question: str, policy: Policy = keyword_policy, rounds: int = 6, thread: str | None = None) -> Trace:
-    """Let the policy use tools for at most `rounds` rounds."""
+    """Let the policy use tools for at most `rounds` rounds; the messages are logged under the trace's thread."""
     tools, trace = Tools(store, doc_id), Trace(thread or uuid.uuid4().hex)
     messages = [{"role": "system", "content": tools.get_document_map()}, {"role": "user", "content": question}]
     for _ in range(rounds + 1):
@@ -96,4 +96,5 @@ def ask(store: Store, doc_id: int, question: str, policy: Policy = keyword_polic
             result = getattr(tools, call.tool)(**call.args)
             trace.steps.append({"tool": call.tool, "args": call.args, "result": result[:STEP_CHARS]})
             messages.append({"role": "tool", "content": result})
+    store.log(trace.thread, [*messages, {"role": "assistant", "content": trace.answer}])
     return trace

@@ -17,6 +17,7 @@ from quire.plans.shared import cut
 from quire.sources.docx import read_files
 
 BLOCK = 1000
+MESSAGES = "thread_id string, seq int, role string, content string"
 SCHEMAS = {
     "documents": "id long, doc_name string, doc_type string, doc_hash string, status string, error_msg string, total_chars long, create_time timestamp",
     "chapters": "id long, doc_id long, parent_id long, level int, number_prefix string, title string, content string, content_chars int, order_num int, chapter_path string, source string, confidence double, needs_review int",
@@ -80,6 +81,17 @@ class Store:
     def add_folder(self, folder: str, decide: Decider | None = decisions.rule_decisions) -> DataFrame:
         return self.add(read_files(self.spark, folder), decide)
 
+    # message logs
+    def log(self, thread: str, messages: list[dict]) -> None:
+        """Append a thread's messages, in order."""
+        rows = [(thread, k, m["role"], m["content"]) for k, m in enumerate(messages)]
+        self.spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(f"{self.path}/messages")
+
+    def thread(self, thread: str) -> DataFrame:
+        if not self._exists("messages"):
+            return self.spark.createDataFrame([], MESSAGES)
+        return self.spark.read.schema(MESSAGES).parquet(f"{self.path}/messages").where(F.col("thread_id") == thread).orderBy("seq")
+
     # views
     def listing(self) -> DataFrame:
         return catalog.listing(self.table("documents"), self.table("chapters"), self.table("tables"))

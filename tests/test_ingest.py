@@ -110,6 +110,7 @@ def test_store_search_and_ask(spark, tmp_path):
     assert [r["title"] for r in store.find(doc, "评分办").collect()] == ["评分办法"]
     trace = ask(store, doc, "保证金是多少？")
     assert trace.steps[0]["tool"] == "search_content" and "投标保证金" in trace.answer
+    assert [r["role"] for r in store.thread(trace.thread).collect()] == ["system", "user", "tool", "assistant"]
     chapter = store.table("chapters").where("title = '总则'").first()["id"]
     said = iter([[Call("get_chapter", {"chapter_id": chapter, "max_chars": 5})], "done"])
     trace = ask(store, store.table("chapters").where("title = '总则'").first()["doc_id"], "?", policy=lambda _: next(said))

@@ -50,6 +50,13 @@ def test_counters_match_a_sequential_count(spark):
         assert got[d, k] == ".".join(str(now.get((d, n, x), start[x])) for x in range(i + 1))
 
 
+def test_a_level_can_restart_another(spark):
+    levels = [(1, 1, 0, "decimal", "%1", 1, None, 1), (1, 1, 1, "decimal", "%1.%2", 1, None, None)]
+    items = spark.createDataFrame([(1, 1, i, k) for k, i in enumerate([0, 0, 1, 0])], "doc_id int, num_id int, ilvl int, order int")
+    spec = spark.createDataFrame(levels, "doc_id int, num_id int, ilvl int, num_fmt string, lvl_text string, start int, start_override int, lvl_restart int")
+    assert [r["number_text"] for r in numbering.render(items, spec).orderBy("order").collect()] == ["1", "2", "1.1", "1"]
+
+
 def test_tree_matches_a_stack(spark):
     random.seed(5)
     rows = [(d, k, None if random.random() < 0.1 else random.randint(1, 6)) for d in range(20) for k in range(30)]
