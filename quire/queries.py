@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -336,6 +336,13 @@ def grid_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.place_cells(_cells(spark, sf_dir), ["doc_id"]).select("doc_id", "row_idx", "cell_pos", "col_idx")
 
 
+def _markdown(cells: DataFrame, total_cols: Column) -> DataFrame:
+    placed = grids.place_cells(cells.withColumn("row_idx", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("row_idx")) - 1), ["doc_id"])
+    cell = F.struct("row_idx", "col_idx", F.lit(1).alias("row_span"), "col_span", "content", F.lit(False).alias("is_header"))
+    grid = placed.groupBy("doc_id").agg((F.max("row_idx") + 1).alias("total_rows"), total_cols.alias("total_cols"), F.sort_array(F.collect_list(cell)).alias("cells"))
+    return grids.to_markdown(grid).select("doc_id", "markdown")
+
+
 @query(f"""with {_CELLS}, e as (select doc_id, dense_rank() over (partition by doc_id order by seq) - 1 r, unnest(range(col_span)) k, content, cell_pos from sp where cell_pos < 6),
  c as (select doc_id, r, row_number() over (partition by doc_id, r order by cell_pos, k) - 1 col, content from e),
  d as (select doc_id, max(r) + 1 n_rows from c group by 1),
@@ -343,11 +350,18 @@ def grid_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
  l as (select g.doc_id, g.r, '| ' || string_agg(coalesce(c.content, ''), ' | ' order by g.col) || ' |' line from g left join c on c.doc_id = g.doc_id and c.r = g.r and c.col = g.col group by g.doc_id, g.r)
  select doc_id, string_agg(case when r = 0 then line || chr(10) || '| --- | --- | --- | --- |' else line end, chr(10) order by r) markdown from l group by doc_id""")
 def grid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = _cells(spark, sf_dir).where("cell_pos < 6").withColumn("row_idx", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("row_idx")) - 1)
-    placed = grids.place_cells(few, ["doc_id"])
-    cell = F.struct("row_idx", "col_idx", F.lit(1).alias("row_span"), "col_span", "content", F.lit(False).alias("is_header"))
-    grid = placed.groupBy("doc_id").agg((F.max("row_idx") + 1).alias("total_rows"), F.lit(4).alias("total_cols"), F.sort_array(F.collect_list(cell)).alias("cells"))
-    return grids.to_markdown(grid).select("doc_id", "markdown")
+    """The first columns of each table only; grid_markdown_whole has all."""
+    return _markdown(_cells(spark, sf_dir).where("cell_pos < 6"), F.lit(4))
+
+
+@query(f"""with {_CELLS}, e as (select doc_id, dense_rank() over (partition by doc_id order by seq) - 1 r, unnest(range(col_span)) k, content, cell_pos from sp),
+ c as (select doc_id, r, row_number() over (partition by doc_id, r order by cell_pos, k) - 1 col, content from e),
+ d as (select doc_id, max(r) + 1 n_rows, max(col) + 1 n_cols from c group by 1),
+ dr as (select doc_id, n_cols, unnest(range(n_rows)) r from d), g as (select doc_id, n_cols, r, unnest(range(n_cols)) col from dr),
+ l as (select g.doc_id, g.r, any_value(g.n_cols) n_cols, '| ' || string_agg(coalesce(c.content, ''), ' | ' order by g.col) || ' |' line from g left join c on c.doc_id = g.doc_id and c.r = g.r and c.col = g.col group by g.doc_id, g.r)
+ select doc_id, string_agg(case when r = 0 then line || chr(10) || '|' || repeat(' --- |', n_cols::int) else line end, chr(10) order by r) markdown from l group by doc_id""")
+def grid_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _markdown(_cells(spark, sf_dir), F.max(F.col("col_idx") + F.col("col_span")))
 
 
 @query(f"with {NODES} select doc_id, seq idx, raw is not null is_title, raw::int as level from c")

@@ -28,6 +28,13 @@ def test_query(spark, name):
     assert got[0]
 
 
+def test_markdown_shows_every_cell(spark):
+    line = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id", "explode(split(text, '\\n')) as line").where("line like '%|%'")
+    cells = line.selectExpr("doc_id", "explode(split(line, '[|]')) as cell").selectExpr("doc_id", "trim(cell) as cell").where("cell <> ''").distinct().collect()
+    shown = {r["doc_id"]: r["markdown"] for r in QUERIES["grid_markdown_whole"](spark, DATA).collect()}
+    assert cells and all(r["cell"] in shown[r["doc_id"]] for r in cells)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
