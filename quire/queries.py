@@ -203,19 +203,29 @@ QUERIES |= {"numfmt_letters": _formatted("lowerLetter"), "numfmt_upper_letters":
 ORACLE_SQL |= {"numfmt_letters": _LETTERS, "numfmt_upper_letters": f"select p_partkey, upper(number_text) number_text from ({_LETTERS})"}
 
 
-@query("""with e as (select user_id doc_id, event_id, 1 + event_id % 2 num_id, case event_type when 'view' then 2 when 'click' then 1 when 'purchase' then 0 else 3 end ilvl from events where event_id % 5 <> 4),
- a as (select *, count(*) filter (where ilvl < 1) over w g1, count(*) filter (where ilvl < 2) over w g2, count(*) filter (where ilvl < 3) over w g3, count(*) filter (where ilvl = 0) over w n0 from e window w as (partition by doc_id, num_id order by event_id)),
- b as (select *, greatest(1, count(*) filter (where ilvl = 1) over (partition by doc_id, num_id, g1 order by event_id)) n1, greatest(1, count(*) filter (where ilvl = 2) over (partition by doc_id, num_id, g2 order by event_id)) n2, count(*) filter (where ilvl = 3) over (partition by doc_id, num_id, g3 order by event_id) n3 from a)
- select doc_id, event_id, case ilvl when 0 then 'A' || greatest(1, n0) when 1 then greatest(1, n0) || '.' || n1 when 2 then greatest(1, n0) || '.' || n1 || '.' || case when n2 <= 10 then substr('①②③④⑤⑥⑦⑧⑨⑩', n2::int, 1) else '(' || n2 || ')' end else '[' || (4 + greatest(1, n3)) || ']' end number_text from b""")
-def numbering_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _numbered(spark: SparkSession, events: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", 2).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 0).otherwise(3)
-    items = table(spark, sf_dir, "events").where("event_id % 5 <> 4").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("order"), (1 + F.col("event_id") % 2).cast("int").alias("num_id"), kind.alias("ilvl"))
+    items = events.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("order"), (1 + F.col("event_id") % 2).cast("int").alias("num_id"), kind.alias("ilvl"))
     shape = [(0, "decimal", "A%1", 1, None), (1, "decimal", "%1.%2", 1, None), (2, "decimalEnclosedCircle", "%1.%2.%3", 1, None), (3, "decimal", "[%4]", 1, 5)]
     levels = spark.createDataFrame([(n, *s) for n in (1, 2) for s in shape], "num_id int, ilvl int, num_fmt string, lvl_text string, start int, start_override int")
     levels = items.select("doc_id", "num_id").distinct().join(levels, "num_id")
     return numbering.render(items, levels).select("doc_id", F.col("order").alias("event_id"), "number_text")
 
 
+@query("""with e as (select user_id doc_id, event_id, 1 + event_id % 2 num_id, case event_type when 'view' then 2 when 'click' then 1 when 'purchase' then 0 else 3 end ilvl from events where event_id % 5 <> 4),
+ a as (select *, count(*) filter (where ilvl < 1) over w g1, count(*) filter (where ilvl < 2) over w g2, count(*) filter (where ilvl < 3) over w g3, count(*) filter (where ilvl = 0) over w n0 from e window w as (partition by doc_id, num_id order by event_id)),
+ b as (select *, greatest(1, count(*) filter (where ilvl = 1) over (partition by doc_id, num_id, g1 order by event_id)) n1, greatest(1, count(*) filter (where ilvl = 2) over (partition by doc_id, num_id, g2 order by event_id)) n2, count(*) filter (where ilvl = 3) over (partition by doc_id, num_id, g3 order by event_id) n3 from a)
+ select doc_id, event_id, case ilvl when 0 then 'A' || greatest(1, n0) when 1 then greatest(1, n0) || '.' || n1 when 2 then greatest(1, n0) || '.' || n1 || '.' || case when n2 <= 10 then substr('①②③④⑤⑥⑦⑧⑨⑩', n2::int, 1) else '(' || n2 || ')' end else '[' || (4 + greatest(1, n3)) || ']' end number_text from b""")
+def numbering_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four fifths of the events only; numbering_render_whole numbers all."""
+    return _numbered(spark, table(spark, sf_dir, "events").where("event_id % 5 <> 4"))
+
+
+@query(ORACLE_SQL["numbering_render"].replace(" where event_id % 5 <> 4", ""))
+def numbering_render_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(spark, table(spark, sf_dir, "events"))
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.clamp_levels(tree.resolve_levels(candidates(spark, sf_dir)).where("is_node"))
 

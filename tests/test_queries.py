@@ -35,6 +35,11 @@ def test_markdown_shows_every_cell(spark):
     assert cells and all(r["cell"] in shown[r["doc_id"]] for r in cells)
 
 
+def test_every_event_is_numbered(spark):
+    events = {r["event_id"] for r in spark.read.parquet(f"{DATA}/events.parquet").collect()}
+    assert {r["event_id"] for r in QUERIES["numbering_render_whole"](spark, DATA).where("number_text is not null").collect()} == events
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
