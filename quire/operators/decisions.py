@@ -27,13 +27,15 @@ def rule_decisions(candidates: DataFrame) -> DataFrame:
 def validate(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Decisions of documents whose decisions cover just their candidates; the first of several counts; levels are 1 to 9 and titles' only.
 
-    decisions: doc_id, seq (order in which they came), idx, is_title, level.
+    decisions: doc_id, seq (order in which they came), idx, is_title, level. A
+    title may state no level; one that doesn't say whether it is a title counts
+    as missing.
     """
     first = decisions.groupBy("doc_id", "idx").agg(F.min_by(F.struct("is_title", "level"), "seq").alias("d"))
     wanted = candidates.select("doc_id", F.col("para_index").alias("idx")).withColumn("wanted", F.lit(1))
     both = first.join(wanted, ["doc_id", "idx"], "full")
-    fits = both.groupBy("doc_id").agg(F.bool_and(F.col("wanted").isNotNull() & F.col("d").isNotNull()).alias("fits")).where("fits")
-    level = F.when(F.col("d.is_title"), F.greatest(F.lit(1), F.least(F.lit(9), F.col("d.level"))))
+    fits = both.groupBy("doc_id").agg(F.bool_and(F.col("wanted").isNotNull() & F.col("d.is_title").isNotNull()).alias("fits")).where("fits")
+    level = F.when(F.col("d.is_title") & F.col("d.level").isNotNull(), F.greatest(F.lit(1), F.least(F.lit(9), F.col("d.level"))))
     return both.where("d is not null").join(fits, "doc_id", "left_semi").select("doc_id", "idx", F.col("d.is_title").alias("is_title"), level.cast("int").alias("level"))
 
 

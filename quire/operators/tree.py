@@ -21,7 +21,7 @@ def _ordered(key: str, order: str) -> WindowSpec:
 
 
 def resolve_levels(candidates: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """Candidates with raw_level, source, needs_review and is_node.
+    """Candidates with raw_level, source, needs_review, is_node and decided.
 
     A decision (doc_id, idx, is_title, level) overrules the suggested level; it
     is flagged when it differs from an anchor's or states none. Without a
@@ -45,6 +45,7 @@ def resolve_levels(candidates: DataFrame, decisions: DataFrame | None = None) ->
         F.when(model, "llm").otherwise("rule").alias("source"),
         flagged.cast("int").alias("needs_review"),
         F.coalesce(said, anchor).alias("is_node"),
+        said.isNotNull().alias("decided"),
     )
     return out
 
@@ -102,12 +103,11 @@ def build_tree(candidates: DataFrame, decisions: DataFrame | None = None, deepes
     resolved = resolve_levels(candidates, decisions)
     nodes = clamp_levels(resolved.where("is_node"))
     nodes = nodes.withColumn("needs_review", F.when(F.col("clamped"), 1).otherwise(F.col("needs_review"))).withColumn("source", F.when(F.col("raw_level").isNull(), "llm").otherwise(F.col("source")))
-    if decisions is None:
-        nodes = flag_near_pending(nodes, resolved.where("not is_node").select("doc_id", "para_index"))
+    nodes = flag_near_pending(nodes, resolved.where("not is_node and not decided").select("doc_id", "para_index"))
     nodes = flag_patterns(nodes)
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("text"), F.lit(""))
     nodes = nodes.withColumn("title", title)
     name = F.when(F.coalesce(F.col("number_prefix"), F.lit("")) != "", F.concat_ws(" ", "number_prefix", "title")).otherwise(F.col("title"))
     linked = link_parents(nodes, name, deepest=deepest)
     confidence = F.when(F.col("needs_review") == 1, 0.5).when(F.col("source") == "rule", 1.0).otherwise(0.7)
-    return linked.withColumn("confidence", confidence).drop("raw_level", "clamped", "is_node")
+    return linked.withColumn("confidence", confidence).drop("raw_level", "clamped", "is_node", "decided")

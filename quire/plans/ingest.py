@@ -49,16 +49,23 @@ def headings(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return body, candidates
 
 
+def valid_decisions(candidates: DataFrame, said: DataFrame) -> DataFrame:
+    """Decisions of documents whose decisions cover just their candidates; the others' candidates are left to the rules."""
+    said = said if "seq" in said.columns else said.withColumn("seq", F.lit(0))
+    return decisions.validate(said.persist(), candidates)  # asked once
+
+
 def ingest(files: DataFrame, decide: Decider | None = decisions.rule_decisions) -> Ingested:
-    """files: doc_id, content. decide: candidates to decisions; none leaves levels to the rules alone.
+    """files: doc_id, content. decide: candidates to decisions; none leaves levels to the rules alone,
+    as do decisions that are incomplete.
 
-    Parsed rows, body items and nodes are used several times, so they are
+    Parsed rows, decisions, body items and nodes are used several times, so they are
     cached; the caller unpersists through Spark's catalog when done.
     """
     parsed = parse_files(files).persist()
     body, candidates = headings(parsed)
     body, candidates = body.persist(), candidates.persist()
-    nodes = tree.build_tree(candidates, decide(candidates) if decide else None).persist()
+    nodes = tree.build_tree(candidates, valid_decisions(candidates, decide(candidates)) if decide else None).persist()
     opens = nodes.select("doc_id", "para_index", F.col("order_num").alias("heading"))
     marked = body.join(opens, ["doc_id", "para_index"], "left")
     shown = grids.to_markdown(marked.withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<row_idx:int,col_idx:int,row_span:int,col_span:int,content:string,is_header:boolean>>"))))

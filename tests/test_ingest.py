@@ -2,7 +2,7 @@ import pytest
 from docx_files import docx, p, run, tbl, tc
 from pyspark.sql import functions as F
 
-from quire.operators.decisions import rule_decisions
+from quire.operators.decisions import rule_decisions, validate
 from quire.plans.ask import Call, ask
 from quire.plans.ingest import headings, ingest
 from quire.plans.store import Store
@@ -91,6 +91,23 @@ def test_rule_levels_without_decisions(spark):
     assert [(r["title"], r["needs_review"], r["confidence"]) for r in chapters.collect()] == [("一级", 1, 0.5)]
 
 
+def test_incomplete_decisions_leave_a_document_to_the_rules(spark):
+    content = docx(p("甲", outline=0), p("乙", outline=0), p("丙", outline=0))
+
+    def decide(candidates):
+        said = candidates.select("doc_id", F.col("para_index").alias("idx"), F.lit(True).alias("is_title"), F.when(F.col("para_index") > 0, F.col("para_index") + 1).otherwise(F.lit(-3)).alias("level"))
+        return said.where("not (doc_id = 1 and idx = 2)").unionByName(said.where("doc_id = 3 and idx = 2").withColumn("idx", F.lit(99)))
+
+    chapters = ingest(files(spark, content, content, content), decide=decide).chapters
+    assert sorted(tuple(r) for r in chapters.select("doc_id", "order_num", "level").collect()) == [(1, 0, 1), (1, 1, 1), (1, 2, 1), (2, 0, 1), (2, 1, 2), (2, 2, 3), (3, 0, 1), (3, 1, 1), (3, 2, 1)]
+
+
+def test_a_title_without_level_stays_so(spark):
+    c = spark.createDataFrame([(1, 0)], "doc_id int, para_index int")
+    d = spark.createDataFrame([(1, 0, 0, True, None)], "doc_id int, seq int, idx int, is_title boolean, level int")
+    assert [tuple(r) for r in validate(d, c).collect()] == [(1, 0, True, None)]
+
+
 def test_store_search_and_ask(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
