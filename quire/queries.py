@@ -159,6 +159,15 @@ def manual_prefix_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.manual_prefix(t).alias("number_prefix"), text.after_prefix(t).alias("title"))
 
 
+@query(f"""with {LINES}, x as (select doc_id, seq, {_HEAD_SQL.replace('doc_id', 'seq')} || text t from lines), y as (select doc_id, seq, t, nullif(regexp_extract(t, '{_MANUAL}', 1), '') p from x)
+ select doc_id, seq, trim(p) number_prefix, case when p is not null then trim(substr(t, length(p) + 1)) end title from y""")
+def manual_prefix_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line; manual_prefix_split has the first of each document."""
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("seq") % 10 + 1).cast("int"))
+    t = F.concat(head, "text")
+    return lines(spark, sf_dir).select("doc_id", "seq", text.manual_prefix(t).alias("number_prefix"), text.after_prefix(t).alias("title"))
+
+
 _SHAPES = ("第三节", "第一部分", "（四）", "(5)", "1.2.3", "7.", "三、", "⑥", "附件一", " ")
 
 

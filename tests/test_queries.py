@@ -40,6 +40,11 @@ def test_every_event_is_numbered(spark):
     assert {r["event_id"] for r in QUERIES["numbering_render_whole"](spark, DATA).where("number_text is not null").collect()} == events
 
 
+def test_every_line_is_split(spark):
+    n = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("explode(split(text, '\\n'))").count()
+    assert QUERIES["manual_prefix_split_whole"](spark, DATA).count() == n
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
