@@ -12,9 +12,6 @@ from pyspark.sql.window import Window, WindowSpec
 
 from quire.functions.text import number_pattern
 
-#: Levels that a tree can have.
-DEEPEST = 16
-
 
 def _ordered(key: str, order: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
@@ -66,20 +63,22 @@ def clamp_levels(nodes: DataFrame, key: str = "doc_id", order: str = "para_index
     return out.withColumn("clamped", F.col(raw).isNull() | (F.greatest(F.col(raw), F.lit(1)) > F.col("level")))
 
 
-def open_nodes(level: Column, value: Column, w: WindowSpec, deepest: int = DEEPEST) -> Column:
-    """The chain from the root to each node: for every k the last node of level k at most, without repeats."""
-    last = [F.last(F.when(level <= k, value), ignorenulls=True).over(w) for k in range(1, deepest + 1)]
-    return F.array_distinct(F.array_compact(F.array(*last)))
-
+def link_parents(nodes: DataFrame, name: Column, key: str = "doc_id") -> DataFrame:
+    """Adds parent_order (null for a root) and chapter_path (names from the root on, joined by ' / ').
 
-def link_parents(nodes: DataFrame, name: Column, key: str = "doc_id", deepest: int = DEEPEST) -> DataFrame:
-    """Adds parent_order (null for a root) and chapter_path (names from the root on, joined by ' / ')."""
-    w = Window.partitionBy(key).orderBy("order_num").rowsBetween(Window.unboundedPreceding, 0)
-    chain = open_nodes(F.col("level"), F.struct(F.col("order_num").alias("at"), name.alias("name")), w, deepest)
-    out = nodes.withColumn("__chain", chain)
-    parent = F.when(F.size("__chain") > 1, F.element_at("__chain", -2)["at"])
-    path = F.array_join(F.transform("__chain", lambda x: x["name"]), " / ")
-    return out.withColumn("parent_order", parent).withColumn("chapter_path", path).drop("__chain")
+    nodes: as clamped. Levels rise by one at most, so the last node above a node
+    is the last one of the level before its own; trees may be of any depth.
+    """
+    w = Window.partitionBy(key, "__on").orderBy("order_num").rowsBetween(Window.unboundedPreceding, -1)
+    places = F.array(F.struct(F.col("level").alias("__on"), F.lit(True).alias("__opens")), F.struct((F.col("level") - 1).alias("__on"), F.lit(False).alias("__opens")))
+    placed = nodes.withColumn("__name", name).select("*", F.inline(places))
+    placed = placed.withColumn("__up", F.last(F.when(F.col("__opens"), F.col("order_num")), ignorenulls=True).over(w)).where("not __opens")
+    row = F.struct("order_num", F.col("__up").alias("up"), F.col("__name").alias("name"), F.struct(*nodes.columns).alias("row"))
+    listed = placed.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("__all"))
+    step = "if(s.up is null, s, named_struct('up', __all[s.up].up, 'path', concat_ws(' / ', __all[s.up].name, s.path)))"
+    path = f"aggregate(sequence(1, x.row.level), named_struct('up', x.up, 'path', concat_ws(' / ', x.name)), (s, k) -> {step}, s -> s.path)"
+    out = listed.select(F.expr(f"inline(transform(__all, x -> named_struct('row', x.row, 'parent_order', x.up, 'chapter_path', {path})))"))
+    return out.select("row.*", "parent_order", "chapter_path")
 
 
 def flag_patterns(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -98,7 +97,7 @@ def flag_near_pending(nodes: DataFrame, pending: DataFrame, key: str = "doc_id")
     return joined.withColumn("needs_review", F.when(F.col("hit") == 1, 1).otherwise(F.col("needs_review"))).drop("hit")
 
 
-def build_tree(candidates: DataFrame, decisions: DataFrame | None = None, deepest: int = DEEPEST) -> DataFrame:
+def build_tree(candidates: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """Nodes with level, parent_order, order_num, chapter_path, source, needs_review, confidence."""
     resolved = resolve_levels(candidates, decisions)
     nodes = clamp_levels(resolved.where("is_node"))
@@ -108,6 +107,6 @@ def build_tree(candidates: DataFrame, decisions: DataFrame | None = None, deepes
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("text"), F.lit(""))
     nodes = nodes.withColumn("title", title)
     name = F.when(F.coalesce(F.col("number_prefix"), F.lit("")) != "", F.concat_ws(" ", "number_prefix", "title")).otherwise(F.col("title"))
-    linked = link_parents(nodes, name, deepest=deepest)
+    linked = link_parents(nodes, name)
     confidence = F.when(F.col("needs_review") == 1, 0.5).when(F.col("source") == "rule", 1.0).otherwise(0.7)
     return linked.withColumn("confidence", confidence).drop("raw_level", "clamped", "is_node", "decided")

@@ -73,6 +73,12 @@ def test_tree_matches_a_stack(spark):
             stack.append((level, k))
 
 
+def test_trees_of_any_depth(spark):
+    nodes = tree.clamp_levels(spark.createDataFrame([(1, k, None if k < 40 else 1) for k in range(41)], "doc_id int, para_index int, raw_level int"))
+    got = [(r["level"], r["parent_order"], r["chapter_path"]) for r in tree.link_parents(nodes, F.col("para_index").cast("string")).orderBy("order_num").collect()]
+    assert got == [(k + 1, k - 1 if k else None, " / ".join(map(str, range(k + 1)))) for k in range(40)] + [(1, None, "40")]
+
+
 def candidate(i, level=None, prefix=None, anchor=None):
     return (1, i, f"t{i}", prefix, f"t{i}", level, level is not None if anchor is None else anchor)
 
