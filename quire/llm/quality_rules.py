@@ -1,31 +1,39 @@
-"""Quality rules: fixed base rules, then thresholds learned per language and source from quantile sketches.
+"""Quality rules: fixed base rules, then limits learned per language and source from mergeable quantile sketches.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Base features of a text: words, code points in
 words, symbols `[#*$%&|<>]`, lines with a word that equal an earlier line, and
 words in 3-word windows that the text has twice or more.
 
 Adaptive part: three rates (symbols per word character, repeated words per
-word, repeated lines per line) are summed up in mergeable KLL sketches for each
-language and source; sketches of a language and of everything are merged from
-these. A document is rejected when a rate is beyond the outer fence, the upper
-quartile plus `reach` interquartile ranges and at least a slack, of its own
-group; groups of fewer than `least` documents use their language's sketch, and
-these the overall one. Documents that fail the base rules stay out of the
-sketches.
-
-Null text: no words, so it fails the base rules. Null lang or source is a group
-of its own. Repeated rows count each. Extra columns are ignored. An empty table
-gives an empty result.
+word, repeated lines per line) are summed up in quantile sketches, histograms of
+`CELLS` equal cells over 0 to 1. Sketches merge by adding their counts, so they
+are built by partial aggregation; a quantile is off by one cell at most, and the
+same rows give the same sketch in any order. Each language and source has its
+own limits: with q the `level` quantile of a rate and m its median, a document
+goes when its rate is beyond q + reach * (q - m). No limit is a constant.
+
+A small group says little by itself, so every group's distribution is mixed with
+its language's, which counts as `prior` more documents, and the language's with
+that of all documents; one formula holds for groups of any size. Documents that
+fail the base rules stay out of the sketches.
+
+Null text: no words, so it fails the base rules; so does an empty one. Null lang
+or source is a value of its own. Repeated rows count each; equal rates are
+judged alike (a rate in the limit's own cell is kept). Very long texts: worked
+on in one block of their own, whole. Null doc_id: a row like others. Extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm._rounds import cut
 from quire.llm._text import blocks, byte_set, grams, hash_words, inside, pair, split_words, text_bytes
@@ -33,8 +41,26 @@ from quire.llm._text import blocks, byte_set, grams, hash_words, inside, pair, s
 SYMBOL = byte_set("#*$%&|<>")
 NEW_LINE = byte_set("\n")
 FEATURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
-#: Rate and the slack that a threshold has at least.
-RATES = {"symbol_rate": 0.02, "repeat_rate": 0.4, "dup_line_rate": 0.5}
+CELLS = 1000
+PRIOR = 50
+
+
+@dataclass(frozen=True)
+class Rate:
+    """A share `part` of `whole` and how its limit is read off a sketch."""
+
+    name: str
+    part: str
+    whole: str
+    level: float
+    reach: int
+
+
+RATES = (
+    Rate("symbol_rate", "n_symbols", "word_chars", 0.9, 3),
+    Rate("repeat_rate", "n_repeat_words", "n_words", 0.95, 3),
+    Rate("dup_line_rate", "n_dup_lines", "n_lines", 0.98, 1),
+)
 
 
 def _per_doc(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -91,36 +117,52 @@ def features(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(_features, f"doc_id long, lang string, source string, {FEATURES}")
 
 
-def thresholds(measured: DataFrame, reach: float = 3.0, least: int = 50) -> DataFrame:
-    """lang, source and a limit for each rate, from sketches of the documents that pass the base rules."""
-    by_source = measured.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r).alias(r) for r in RATES))
-    by_source = cut(by_source)  # one row for each group
-    merged = lambda keys, tag: by_source.groupBy(*keys).agg(F.sum("n").alias(f"{tag}_n"), *(F.kll_merge_agg_double(r).alias(f"{tag}_{r}") for r in RATES))
-    by_lang, overall = merged(["lang"], "lang"), merged([], "all")
-    every = by_source.join(by_lang.withColumnRenamed("lang", "of_lang"), F.col("lang").eqNullSafe(F.col("of_lang")), "left").join(F.broadcast(overall))  # one row, by its aggregate
-
-    def limit(rate: str) -> F.Column:
-        sketch = F.when(F.col("n") >= least, F.col(rate)).when(F.col("lang_n") >= least, F.col(f"lang_{rate}")).otherwise(F.col(f"all_{rate}"))
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        return high + F.greatest(F.lit(reach) * (high - low), F.lit(RATES[rate]))
-
-    return every.select("lang", "source", *(limit(r).alias(f"most_{r}") for r in RATES))
-
-
-def quality_rules(docs: DataFrame, reach: float = 3.0, least: int = 50) -> DataFrame:
-    """doc_id, base features, base_failed, the three rates with their limits, kept."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    measured = features(docs).select(
-        "*",
-        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        (F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).alias("symbol_rate"),
-        (F.col("n_repeat_words") / words).alias("repeat_rate"),
-        (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_line_rate"),
-    )
-    measured = cut(measured)  # a few numbers a document: texts are read once
-    limits = thresholds(measured, reach, least).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
+def sketches(measured: DataFrame) -> DataFrame:
+    """lang, source, rate, cell, n: the histograms of all groups; at most CELLS + 1 rows for each of a group's rates."""
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("rate"), F.col(r.name).alias("cell")) for k, r in enumerate(RATES)))).alias("x")
+    return measured.where(~F.col("base_failed")).select("lang", "source", cells).groupBy("lang", "source", "x.rate", "x.cell").agg(F.count("*").alias("n"))
+
+
+def mixed(groups: DataFrame, sketch: DataFrame, above: DataFrame, keys: list[str], prior: int) -> DataFrame:
+    """keys, rate, cell, p: each group's cumulative shares, mixed with `above` (its parent's: cell, p for each rate), which counts as `prior` documents."""
+    own, same = sketch.withColumnsRenamed({k: f"own_{k}" for k in keys}), F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"own_{k}"))
+    if "lang" in above.columns:
+        grid = groups.join(above.withColumnRenamed("lang", "of_lang"), F.col("lang").eqNullSafe(F.col("of_lang"))).drop("of_lang")
+    else:
+        every_cell = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(RATES) - 1))).alias("rate")).select("*", F.explode(F.sequence(F.lit(0), F.lit(CELLS)).cast("array<bigint>")).alias("cell"))
+        grid = every_cell.join(above, ["rate", "cell"])
+    own = own.withColumnsRenamed({"rate": "own_rate", "cell": "own_cell"})
+    joined = grid.join(own, same & (F.col("rate") == F.col("own_rate")) & (F.col("cell") == F.col("own_cell")), "left")
+    every, n = Window.partitionBy(*keys, "rate"), F.coalesce(F.col("n"), F.lit(0))
+    below, total = F.sum(n).over(every.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)), F.sum(n).over(every)
+    return joined.select(*keys, "rate", "cell", ((below + F.lit(float(prior)) * F.col("p")) / (total + F.lit(float(prior)))).alias("p"))
+
+
+def limits(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source and the greatest cell that each rate may have."""
+    by_source = cut(sketches(measured))  # a few hundred rows for each group
+    every = Window.partitionBy("rate")
+    below = F.sum("n").over(every.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    overall = by_source.groupBy("rate", "cell").agg(F.sum("n").alias("n")).select("rate", "cell", (below / F.sum("n").over(every)).alias("p"))
+    by_lang = by_source.groupBy("lang", "rate", "cell").agg(F.sum("n").alias("n"))
+    lang = mixed(by_source.select("lang").distinct(), by_lang, overall, ["lang"], prior)
+    source = mixed(by_source.select("lang", "source").distinct(), by_source, lang, ["lang", "source"], prior)
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("rate") + 1)
+    read = source.groupBy("lang", "source", "rate").agg(F.min(F.when(F.col("p") >= of([r.level for r in RATES]), F.col("cell"))).alias("high"), F.min(F.when(F.col("p") >= 0.5, F.col("cell"))).alias("mid"))
+    limit = F.col("high") + of([r.reach for r in RATES]) * (F.col("high") - F.col("mid"))
+    return read.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == k, limit)).alias(f"most_{r.name}") for k, r in enumerate(RATES)))
+
+
+def quality_rules(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """doc_id, base features, base_failed, kept, the three rates (in cells) and their limits."""
+    cell = lambda r: F.expr(f"{CELLS} * {r.part} div greatest({r.whole}, 1)").alias(r.name)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    measured = cut(features(docs).select("*", failed.alias("base_failed"), *map(cell, RATES)))  # a few numbers a document: texts are read once
+    found = limits(measured, prior).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    joined = measured.join(found, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     verdict = ~F.col("base_failed")
-    for rate in RATES:
-        verdict = verdict & (F.col(rate) <= F.col(f"most_{rate}"))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(verdict, F.lit(False)).alias("kept"), *RATES, *(f"most_{r}" for r in RATES))
+    for r in RATES:
+        verdict = verdict & (F.col(r.name) <= F.col(f"most_{r.name}"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(verdict, F.lit(False)).alias("kept"), *(r.name for r in RATES), *(f"most_{r.name}" for r in RATES))

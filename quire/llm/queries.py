@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.llm.bpe import bpe
 from quire.llm.decontaminate import decontaminate
 from quire.llm.jaccard_join import jaccard_join
+from quire.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from quire.llm.packing import packing
 from quire.llm.quality_classifier import quality_classifier
 from quire.llm.quality_rules import quality_rules
@@ -72,10 +73,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "most_symbol_rate", "most_repeat_rate", "most_dup_line_rate")
 
 
 _ALL = (op1_substring_dedup, op2_decontaminate, op3_suffix_dedup, op4_quality_classifier, op5_toxicity, op6_jaccard_join, op7_packing, op8_bpe, op9_sharding, op10_quality_rules)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-
-ORACLE_SQL: dict[str, str] = {}
