@@ -13,20 +13,29 @@ size >= `percent` % of union size.
    (small sets: in one of their first size - ceil(percent * size) + 1 n-grams).
    Documents that do are joined through the least of them, and connected
    candidates form a cell.
-3. In each cell (a large one in pairs of blocks) the order is cut into
-   fragments. Overlaps are counted in each fragment on its own as a product of
-   incidence matrices and summed for each pair of documents; pairs that reach
-   the threshold are links, of which a spanning set is passed on.
+3. The global order of n-grams (by their hashes, so that all fragments are of
+   like size) is cut vertically into `PARTS` fragments, and every set of a cell
+   with it. A task counts the partial overlaps of one fragment, for all pairs of
+   a cell or of two blocks of a large cell, as a product of incidence matrices.
+   Pairs that can't reach the threshold even if all that lies outside the
+   fragment were common are struck out there. The partial counts go out as
+   packed triangles, and a second task sums them for each pair; pairs with a
+   count from every fragment that reach the threshold are links, of which a
+   spanning set is passed on.
 4. Components of the links.
 
-Equal sets are collapsed inside each chunk first. Hashes have 64 bits. Null
-text: no words. Null doc_id: one document that comes last and whose id stays
-null; rows that share a doc_id share a component. Extra columns are ignored.
+Equal sets are collapsed inside each chunk first. Hashes have 64 bits. Null,
+empty or wordless text: no words. Null doc_id: one document that comes last and
+whose id stays null; rows that share a doc_id are one document and share a
+component. Ties: of equal sets the least doc_id stands for all. Very long texts
+are taken whole; a set of theirs is cut over the fragments like any other. Extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Generator
 
 import numpy as np
@@ -39,10 +48,15 @@ from quire.llm._rounds import by_chunk, cut, layout, run, shuffles_dropped, sort
 from quire.llm.components import components
 from quire.llm._text import LOWER, U64, blocks, grams, hash_words, inside, mix, pack, pair, split_words, spread, text_bytes, unpack
 
-#: Documents of a cell that are compared in one piece.
+#: Fragments of the global order of n-grams.
+PARTS = 4
+#: Documents, and bytes of their sets, of a cell that are compared in one piece.
 CELL = 768
-#: N-grams of a fragment.
-FRAGMENT = 2048
+CELL_BYTES = 32 << 20
+#: Columns of one matrix product.
+COLUMNS = 2048
+#: Bytes of sets that small cells share a group with.
+BUCKET_BYTES = 16 << 20
 MANY = 64
 LAST = np.iinfo(np.int64).max
 
@@ -215,8 +229,8 @@ def _least(blobs: list[bytes]) -> list[bytes]:
     return [pack(least[a:b], 8) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def overlaps(h: np.ndarray, doc: np.ndarray, docs: int, fragment: int = FRAGMENT) -> np.ndarray:
-    """Intersection sizes of all pairs of `docs` sets, summed over fragments of the n-gram order."""
+def overlaps(h: np.ndarray, doc: np.ndarray, docs: int, columns: int = COLUMNS) -> np.ndarray:
+    """Intersection sizes of all pairs of `docs` sets, summed over stretches of columns."""
     order = np.argsort(h, kind="stable")
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
@@ -227,21 +241,18 @@ def overlaps(h: np.ndarray, doc: np.ndarray, docs: int, fragment: int = FRAGMENT
     number, doc = number[shared], doc[shared]
     number = np.unique(number, return_inverse=True)[1] if len(number) else number
     total = np.zeros((docs, docs), np.float32)
-    for lo in range(0, int(number.max(initial=-1)) + 1, fragment):
-        a, b = np.searchsorted(number, (lo, lo + fragment))
-        part = np.zeros((docs, min(fragment, int(number[b - 1]) - lo + 1)), np.float32)
+    for lo in range(0, int(number.max(initial=-1)) + 1, columns):
+        a, b = np.searchsorted(number, (lo, lo + columns))
+        part = np.zeros((docs, min(columns, int(number[b - 1]) - lo + 1)), np.float32)
         part[doc[a:b], number[a:b] - lo] = 1
         total += part @ part.T
     return total.astype(np.int64)
 
 
-def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between the sets, as few as keep them connected."""
-    size = np.array([len(s) for s in sets])
-    both = overlaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets))
-    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    left, out = np.ones(len(sets), bool), []
-    for start in range(len(sets)):
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links in a symmetric matrix, as few as keep their documents connected."""
+    left, out = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
         if not left[start]:
             continue
         left[start], front = False, [start]
@@ -254,23 +265,72 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     return out
 
 
-def _cell_links(table: pa.Table, percent: int) -> pa.Table:
-    """Links in all cells of a bucket."""
-    table = table.sort_by([("cell", "ascending"), ("i", "ascending"), ("j", "ascending"), ("key", "ascending")])
-    cell, i, j, key = (table[c].to_numpy() for c in ("cell", "i", "j", "key"))
-    new = np.ones(len(cell), bool)
-    new[1:] = (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-    heads = [*np.flatnonzero(new).tolist(), len(cell)]
-    blobs, out = table["members"], []
+OUT = np.uint32(0xFFFFFFFF)
+
+
+def partial_overlaps(members: list[np.ndarray], size: np.ndarray, percent: int) -> bytes:
+    """Overlaps of all pairs of sets in one fragment as a packed upper triangle; OUT for pairs that can't be links."""
+    own = np.array([len(m) for m in members])
+    docs = np.repeat(np.arange(len(members)), own)
+    count = overlaps(np.concatenate(members), docs, len(members))
+    a, b = np.triu_indices(len(members), 1)
+    both = count[a, b]
+    most = both + np.minimum((size - own)[a], (size - own)[b])
+    may = 100 * most >= percent * (size[a] + size[b] - most)
+    return zlib.compress(np.where(may, both, OUT).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _triangle(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _bounds(*keys: np.ndarray) -> list[int]:
+    """Where rows in a row with equal keys begin, and the end."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return [*np.flatnonzero(new).tolist(), len(keys[0])]
+
+
+PARTIAL = "cell long, i int, j int, part int, keys binary, sizes binary, counts binary"
+
+
+def _partial(table: pa.Table, percent: int) -> pa.Table:
+    """Partial overlaps in each fragment of each cell (or pair of blocks) that the group holds."""
+    table = table.sort_by([(c, "ascending") for c in ("cell", "i", "j", "part", "key", "whole")])
+    cell, i, j, part, key, size = (table[c].to_numpy() for c in ("cell", "i", "j", "part", "key", "size"))
+    blobs, heads = table["members"].combine_chunks() if table.num_rows else table["members"], _bounds(cell, i, j, part)
+    out: list[tuple] = []
     for lo, hi in zip(heads[:-1], heads[1:], strict=True):
         if hi - lo > 1:
-            sets = [np.frombuffer(x.as_py(), "<u8") for x in blobs.slice(lo, hi - lo)]
-            out += [(int(key[lo + a]), int(key[lo + b])) for a, b in spanning_links(sets, percent)]
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            members = [np.frombuffer(blobs[k].as_py(), "<u8") for k in range(lo, hi)]
+            out.append((cell[lo], i[lo], j[lo], part[lo], key[lo:hi].astype("<i8").tobytes(), size[lo:hi].astype("<i8").tobytes(), partial_overlaps(members, size[lo:hi], percent)))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["cell", "i", "j", "part", "keys", "sizes", "counts"])
+
+
+def _summed(table: pa.Table, percent: int) -> pa.Table:
+    """Links: partial overlaps summed over the fragments for each pair."""
+    table = table.sort_by([(c, "ascending") for c in ("cell", "i", "j", "part")])
+    heads = _bounds(*(table[c].to_numpy() for c in ("cell", "i", "j")))
+    left, right = [], []
+    for lo, hi in zip(heads[:-1], heads[1:], strict=True):
+        key, size = (np.frombuffer(table[c][lo].as_py(), "<i8") for c in ("keys", "sizes"))
+        total, may = np.int64(0), np.bool_(True)
+        for k in range(lo, hi):
+            part = _triangle(table["counts"][k].as_py())
+            total, may = total + part.astype(np.int64), may & (part != OUT)
+        a, b = np.triu_indices(len(key), 1)
+        good = may & (100 * total >= percent * (size[a] + size[b] - total))
+        linked = np.zeros((len(key), len(key)), bool)
+        linked[a[good], b[good]] = linked[b[good], a[good]] = True
+        links = spanning(linked)
+        left += [int(key[x]) for x, _ in links]
+        right += [int(key[y]) for _, y in links]
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
 def _cell_sets(docs: DataFrame, labels: DataFrame, chunks: int, n: int) -> DataFrame:
-    """cell, key, members of each document with a cell; one for equal sets of a chunk."""
+    """cell, key, whole (a hash of the set), size, part, members: the sets of documents with a cell, cut into fragments; one for equal sets of a chunk."""
 
     def sets(table: pa.Table, cells: pa.Table) -> pa.Table:
         table, ids = sorted_chunk(table)
@@ -278,10 +338,42 @@ def _cell_sets(docs: DataFrame, labels: DataFrame, chunks: int, n: int) -> DataF
         same = equal_sets(h, first)
         where = dict(zip(cells["key"].to_pylist(), cells["cell"].to_pylist(), strict=True))
         rows = [d for d in range(len(ids)) if same[d] == d and first[d + 1] > first[d] and int(ids[d]) in where]
-        return pa.table({"cell": pa.array([where[int(ids[d])] for d in rows], pa.int64()), "key": pa.array([int(ids[d]) for d in rows], pa.int64()), "members": pa.array([h[first[d] : first[d + 1]].astype("<u8").tobytes() for d in rows], pa.binary())})
+        cuts = np.array([(k << 64) // PARTS for k in range(1, PARTS)], U64)
+        columns: list[list] = [[] for _ in range(6)]
+        for d in rows:
+            own = h[first[d] : first[d + 1]]  # in the order of hashes
+            at = [0, *np.searchsorted(own, cuts).tolist(), len(own)]
+            whole = int(mix(np.array([mix(own + U64(5)).sum()], U64)).astype(np.int64)[0])
+            for k in range(PARTS):
+                for column, value in zip(columns, (where[int(ids[d])], int(ids[d]), whole, len(own), k, own[at[k] : at[k + 1]].astype("<u8").tobytes()), strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["cell", "key", "whole", "size", "part", "members"])
 
     keyed = labels.select(F.pmod(F.xxhash64(F.when(F.col("key") != LAST, F.col("key"))), F.lit(chunks)).cast("int").alias("chunk"), "key", "cell")
-    return by_chunk(docs, chunks).groupBy("chunk").cogroup(keyed.groupBy("chunk")).applyInArrow(sets, "cell long, key long, members binary")
+    return by_chunk(docs, chunks).groupBy("chunk").cogroup(keyed.groupBy("chunk")).applyInArrow(sets, "cell long, key long, whole long, size long, part int, members binary")
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that keep the documents of each cell connected as all its links do."""
+    weight = F.octet_length("members").cast("long")
+    every = sets.groupBy("cell").agg(F.count_if(F.col("part") == 0).alias("docs"), F.sum(weight).alias("bytes")).where(F.col("docs") > 1)
+    small = (F.col("docs") <= CELL) & (F.col("bytes") <= CELL_BYTES)
+    number = F.when(small, 1).otherwise(F.greatest(F.ceil(F.col("docs") / (CELL // 2)), F.ceil(F.col("bytes") / (CELL_BYTES // 2)))).cast("int")
+    every = cut(every.select("cell", "bytes", number.alias("number")))  # a row for each cell
+    total = every.where("number = 1").agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(8, math.ceil(total / BUCKET_BYTES))
+    own = F.pmod(F.xxhash64("key", "whole"), F.col("number")).cast("int")
+    blocked = sets.join(every.select("cell", "number"), "cell").withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("number") - 1)).alias("other")
+    pairs = blocked.select("cell", "key", "whole", "size", "part", "members", "own", "number", other)
+    pairs = pairs.select("cell", "key", "whole", "size", "part", "members", "number", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    # small cells share groups of about BUCKET_BYTES; a fragment of a pair of blocks is a group by itself
+    shared = F.pmod(F.xxhash64("cell"), F.lit(buckets))
+    unit = F.when(F.col("number") == 1, F.struct(shared.alias("k"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "part")).otherwise(F.struct(F.col("cell").alias("k"), "i", "j", "part"))
+    counted = pairs.select("cell", "key", "whole", "size", "part", "members", "i", "j", unit.alias("unit")).groupBy("unit").applyInArrow(lambda t: _partial(t, percent), PARTIAL)
+    whole = F.when(F.col("j") == 0, F.struct(shared.alias("k"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("cell").alias("k"), "i", "j"))
+    return counted.select("*", whole.alias("unit")).groupBy("unit").applyInArrow(lambda t: _summed(t, percent), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: int | None = None, shard_bytes: int | None = None) -> DataFrame:
@@ -290,24 +382,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: in
         raise ValueError("percent must be over 0 and 100 at most")
     chunks, shards = layout(docs, chunk_bytes, shard_bytes)
 
-    def linked(table: pa.Table) -> pa.Table:
-        return _cell_links(table, percent)
-
     with shuffles_dropped(docs.sparkSession):
         seen = cut(run(docs, _candidates(n, percent), [_frequency, _least], "key long, n_shingles long, same long, roots array<long>", chunks, shards))
         near = seen.select(F.col("key").alias("a"), F.explode("roots").alias("b"))
         cells = components(near).select(F.col("node").alias("key"), F.col("root").alias("cell"))
         sets = cut(_cell_sets(docs, cells, chunks, n))
-        big = sets.groupBy("cell").agg(F.count("*").alias("docs")).where(F.col("docs") > 1)
-        number = F.ceil(F.col("docs") / F.lit(CELL // 2)).cast("int")
-        number = F.when(F.col("docs") <= CELL, 1).otherwise(number)
-        own = F.pmod(F.xxhash64("key"), F.col("number")).cast("int")
-        blocked = sets.join(big.select("cell", number.alias("number")), "cell").withColumn("own", own)
-        other = F.explode(F.sequence(F.lit(0), F.col("number") - 1)).alias("other")
-        pairs = blocked.select("cell", "key", "members", "own", other).select("cell", "key", "members", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        buckets = max(8, math.ceil(4 * shards))
-        bucket = F.pmod(F.xxhash64("cell", "i", "j"), F.lit(buckets)).cast("int").alias("bucket")
-        links = pairs.select("*", bucket).groupBy("bucket").applyInArrow(linked, "a long, b long")
+        links = _links(sets, percent)
         equal = seen.select(F.col("key").alias("a"), F.col("same").alias("b"))
         joined = components(links.unionByName(equal))
     found = seen.select("doc_id", "key", "n_shingles").join(joined, F.col("key") == F.col("node"), "left")

@@ -67,11 +67,11 @@ def test_empty_and_null_ids(spark, nothing):
     assert rows == [(0, 4), (4, 4), (4, 4), (6, 4)]
 
 
-def test_overlaps_sum_over_fragments():
+def test_overlaps_sum_over_columns():
     rnd = np.random.default_rng(3)
     sets = [np.unique(rnd.integers(0, 300, 80)).astype(np.uint64) for _ in range(12)]
     doc = np.repeat(np.arange(12), [len(s) for s in sets])
-    found = join.overlaps(np.concatenate(sets), doc, 12, fragment=17)
+    found = join.overlaps(np.concatenate(sets), doc, 12, columns=17)
     assert all(found[a, b] == len(np.intersect1d(sets[a], sets[b])) for a, b in combinations(range(12), 2))
 
 
