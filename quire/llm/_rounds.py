@@ -15,7 +15,6 @@ the shared checkpoint folder; texts are shuffled, never written.
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Callable, Generator, Iterable
 from contextlib import contextmanager
@@ -26,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._text import order_key, text_bytes
+from quire.plans.shared import shared_folder
 
 Program = Callable[[np.ndarray, np.ndarray, np.ndarray, int], Generator[dict[int, bytes], dict[int, bytes], pa.Table]]
 ShardWork = Callable[[list[bytes]], list[bytes]]
@@ -51,20 +51,23 @@ def shuffles_dropped(spark: SparkSession):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is set, as in tests."""
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it again."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write `df` as Parquet into the shared folder and read it again; with the path."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     with shuffles_dropped(df.sparkSession):
         df.select("*").write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete what `stored` wrote, when nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def plain_names(docs: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """`docs` with positional names for all columns but `own`, so that no name clashes or needs quoting."""
+    return docs.toDF(*(c if c in own else f"carry{k}" for k, c in enumerate(docs.columns)))
 
 
 def cut(df: DataFrame) -> DataFrame:

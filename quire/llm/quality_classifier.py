@@ -167,15 +167,20 @@ def labelled_sample(labels: DataFrame, column: str, folds: int, held_out: int, s
     return known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
+def sampled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, label, text of the chosen ids: one row for each, of repeated ids the least text. chosen: a bounded number of rows of two numbers."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 4, held_out: int = 2, sample: int = 4000) -> NbSvm:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [x.astype("<u4").tobytes() for x in indicators(*text_bytes(batch["text"]))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(found, pa.binary())], ["doc_id", "label", "found"])
 
-    chosen = labelled_sample(labels, column, folds, held_out, sample)  # at most `sample` rows of two numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "label", "text").mapInArrow(work, "doc_id long, label int, found binary").toArrow().sort_by([("doc_id", "ascending"), ("found", "ascending")])
+    texts = sampled_texts(docs, labelled_sample(labels, column, folds, held_out, sample))
+    rows = texts.mapInArrow(work, "doc_id long, label int, found binary").toArrow().sort_by([("doc_id", "ascending"), ("found", "ascending")])
     return fit_rows([np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in rows["found"]], rows["label"].to_numpy())
 
 

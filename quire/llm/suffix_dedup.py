@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm._repeats import HOT, Fragments, Unit, indexed, owners, repeats, twice
-from quire.llm._rounds import layout, run
+from quire.llm._rounds import layout, plain_names, run
 from quire.llm._text import spread
 from quire.llm.substring_dedup import removed_counts, span_lists
 
@@ -152,8 +152,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 24, hot: int = H
 
 def without_repeats(docs: DataFrame, length: int = 50, gram: int = 24, hot: int = HOT, chunk_bytes: int | None = None, shard_bytes: int | None = None) -> DataFrame:
     """`docs` with the repeats cut out of their texts, by whole characters; n_chars follows. A row whose text loses everything goes."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = _found(docs, _kept_characters, "kept string, kept_chars long, n_bytes long", length, gram, hot, chunk_bytes, shard_bytes, ("text", *others))
+    plain = plain_names(docs, ("doc_id", "text", "n_chars"))
+    others = tuple(c for c in plain.columns if c not in ("doc_id", "text"))
+    found = _found(plain, _kept_characters, "kept string, kept_chars long, n_bytes long", length, gram, hot, chunk_bytes, shard_bytes, ("text", *others))
     left = found.where((F.col("kept_chars") > 0) | (F.col("n_bytes") == 0))
     cut = F.when(F.col("text").isNotNull(), F.col("kept"))
-    return left.select(*(cut.alias("text") if c == "text" else F.when(F.col("n_chars").isNotNull(), F.col("kept_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+    return left.select(*(cut if c == "text" else F.when(F.col("n_chars").isNotNull(), F.col("kept_chars")) if c == "n_chars" else F.col(c) for c in plain.columns)).toDF(*docs.columns)

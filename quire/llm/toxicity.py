@@ -3,9 +3,9 @@
 Features of a text: densities of lexicon words, lexicon words near a word of
 the second person, second-person words, capitals, exclamation and other
 punctuation, and obfuscated words (letters mixed with digits or symbols, or a
-letter drawn out), besides the text's length. The lexicon is a short list of
-insults and what the labelled sample adds to it: words in at least `support`
-toxic documents whose share there is far above their share elsewhere.
+letter drawn out), besides the text's length. The lexicon is learned, not
+given: the words that at least `support` toxic documents of the labelled sample
+hold, in different surroundings, and that are far rarer elsewhere.
 
 Labels are learned from at most `sample` labelled rows (a documented bound),
 those of least hash of doc_id: the trees from four fifths of them, the isotonic
@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._text import LOWER, NOT_ALNUM, SPACE, blocks, byte_set, hash_words, split_words, text_bytes
-from quire.llm.quality_classifier import labelled_sample
+from quire.llm._text import LOWER, NOT_ALNUM, SPACE, blocks, byte_set, hash_words, pair, split_words, text_bytes
+from quire.llm.quality_classifier import labelled_sample, sampled_texts
 
-INSULTS = ("idiot", "moron", "stupid", "pathetic", "worthless", "trash", "scum", "loser", "clown", "disgusting", "dumb", "fool", "garbage", "vermin", "filth")
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "du", "dich", "dir", "ihr", "tu", "te", "toi", "vous", "usted", "tú")
 NEAR = 5
 BINS = 32
@@ -167,36 +166,49 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _constant(y: np.ndarray) -> Trees:
     share = float(y.mean()) if len(y) else 0.0
-    return Trees(_codes(INSULTS), np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)), 0.0, np.zeros(1), np.full(1, share))
+    return Trees(_codes(()), np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)), 0.0, np.zeros(1), np.full(1, share))
 
 
-def distinct_words(text: str | None) -> list[str]:
+def word_contexts(text: str | None) -> dict[str, int]:
+    """Each word of a text with the least hash of the words before and after it."""
     buf, offs = text_bytes(pa.array([text or ""]))
     low = LOWER[buf]
     w = split_words(low, offs, NOT_ALNUM)
-    return sorted({low[a:b].tobytes().decode() for a, b in zip(w.start, w.end, strict=True)})
+    h = np.concatenate([[0], hash_words(low, w.start, w.end), [0]]).astype(np.uint64)
+    around = pair(h[:-2], h[2:]).astype(np.int64).tolist()
+    out: dict[str, int] = {}
+    for a, b, c in zip(w.start, w.end, around, strict=True):
+        word = low[a:b].tobytes().decode()
+        out[word] = min(out.get(word, c), c)
+    return out
 
 
-def learned_words(sample: DataFrame, support: int = 6) -> list[str]:
-    """Words of the labelled sample that are far more common in toxic documents; at most 200."""
+def learned_words(sample: DataFrame, support: int = 6, lift: float = 8.0) -> list[str]:
+    """Words of the labelled sample that are far more common in toxic documents. The sample is bounded, and its toxic words with it.
+
+    A document counts by one pair of neighbours of the word, and equal pairs
+    count once, so that neither a long document nor copies of a toxic one make
+    its plain words look toxic.
+    """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                words = distinct_words(text)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([label] * len(words), pa.int32())], ["word", "label"])
+                found = sorted(word_contexts(text).items())
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64()), pa.array([label] * len(found), pa.int32())], ["word", "context", "label"])
 
+    seen = sample.select("label", "text").mapInArrow(work, "word string, context long, label int").groupBy("word", "context").agg(F.max("label").alias("label"))
+    counts = seen.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
     totals = Counter({r[0]: r[1] for r in sample.groupBy("label").count().collect()})
-    counts = sample.select("label", "text").mapInArrow(work, "word string, label int").groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-    lift = ((F.col("toxic") + 0.5) / (totals[1] + 1)) / ((F.col("n") - F.col("toxic") + 0.5) / (totals[0] + 1))
-    rows = counts.where(F.col("toxic") >= support).where((lift >= 8) & (2 * F.col("toxic") >= F.col("n"))).orderBy(F.desc("toxic"), "word").limit(200).collect()
-    return [r["word"] for r in rows]
+    ratio = ((F.col("toxic") + 0.5) / (totals[1] + 1)) / ((F.col("n") - F.col("toxic") + 0.5) / (totals[0] + 1))
+    rows = counts.where(F.col("toxic") >= support).where((ratio >= lift) & (2 * F.col("toxic") >= F.col("n"))).select("word").collect()
+    return sorted(r["word"] for r in rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = 8000) -> Trees:
     chosen = labelled_sample(labels, column, folds, held_out, sample)  # at most `sample` rows of two numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    lexicon = _codes({*INSULTS, *learned_words(texts)})
+    texts = sampled_texts(docs, chosen)
+    lexicon = _codes(learned_words(texts))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
