@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._rounds import stored
+from quire.llm._rounds import plain_names, removed, stored
 from quire.llm.bpe import bpe
 from quire.llm.decontaminate import without_contaminated
 from quire.llm.jaccard_join import jaccard_join
@@ -24,15 +24,17 @@ _SCORE = "__quality_score"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, to=_SCORE).where(F.col(_SCORE) >= QUALITY_THRESHOLD).drop(_SCORE)
+    plain = plain_names(docs, ("doc_id", "text"))
+    model = fit(plain, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(plain, model, to=_SCORE).where(F.col(_SCORE) >= QUALITY_THRESHOLD).drop(_SCORE).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that Jaccard links connect, the document of least doc_id."""
-    found = jaccard_join(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    plain = plain_names(docs, ("doc_id", "text"))
+    found = jaccard_join(plain)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
+    return plain.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's rows are written and read again, and then those of the stage before are deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, path = stored(stage(spark, docs, sf_dir))
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
