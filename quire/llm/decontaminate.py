@@ -11,43 +11,63 @@ one pass over all documents counts. A second pass joins the documents' shingles
 with these, drops candidates that don't fit in (positional and length bounds),
 and compares the remaining windows with the document word by word.
 
-The benchmark's windows are broadcast in blocks of at most `block_bytes` of item
-text; a larger benchmark takes several passes whose hits are united.
-
-Null or wordless texts and items have no words. Items that share an item_id are
-one; a null item_id is an id of its own that is left out of id lists. Repeated
-documents are judged each. An empty benchmark hits nothing.
+The benchmark is taken in blocks of at most `block_bytes` of item text, one after
+the other: a block's windows (some ten times its bytes, all in numpy arrays) are
+broadcast, its hits are written to the checkpoint folder, and the broadcast is
+released before the next block is read. A benchmark of one block, as almost all
+are, needs no writing; in others only documents with hits are written and joined.
+
+Null, empty or wordless texts and items have no words. Items that share an
+item_id are one; a null item_id is an id of its own that is left out of id lists.
+Repeated documents are judged each; a null doc_id is a value like others. Of
+equally rare shingles a window's first is its prefix. Very long texts are taken
+whole, in a block of their own. Extra columns are ignored, or carried under
+their names, whatever these are. An empty benchmark hits nothing; an empty table
+of documents gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._rounds import shuffles_dropped
-from quire.llm._text import LOWER, NOT_ALNUM, U64, Words, blocks, covered, grams, hash_words, pair, split_words, spread, text_bytes
+from quire.llm._rounds import cut, plain_names, shuffles_dropped
+from quire.llm._text import LOWER, NOT_ALNUM, U64, Words, blocks, covered, grams, hash_words, inside, pair, split_words, spread, text_bytes
 
 BITS = U64((1 << 22) - 1)
 
 
 @dataclass
 class Windows:
-    """Distinct windows of a block of items, by the hash of their prefix shingle."""
+    """Distinct windows of a block of items in the order of their prefix shingles' hashes."""
 
-    words: list[list[bytes]]
+    low: np.ndarray  # bytes of the items
+    word_start: np.ndarray
+    word_end: np.ndarray
+    first: np.ndarray  # first word
     length: np.ndarray
     hash: np.ndarray
-    items: list[list[int | None]]
     prefix: np.ndarray
-    offset: np.ndarray
-    shingle: np.ndarray  # words in the prefix shingle
+    offset: np.ndarray  # of the prefix in the window
+    shingle: np.ndarray  # words in the prefix
+    item_at: np.ndarray  # bounds of each window's items in `item`
+    item: np.ndarray  # places in `ids`
+    ids: list[int | None]
+
+    def words(self, k: int) -> list[bytes]:
+        at = range(int(self.first[k]), int(self.first[k] + self.length[k]))
+        return [self.low[self.word_start[i] : self.word_end[i]].tobytes() for i in at]
+
+    def of(self, k: int) -> list[int | None]:
+        return [self.ids[i] for i in self.item[self.item_at[k] : self.item_at[k + 1]]]
 
 
 def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, Words, np.ndarray]:
@@ -61,31 +81,52 @@ def _sized(h: np.ndarray, n: int) -> np.ndarray:
     return pair(grams(h, n), np.full(max(len(h) - n + 1, 0), n, U64))
 
 
-def _item_windows(items: list[tuple[int | None, str | None]], window: int, shingle: int) -> tuple[Windows, dict[int, list[int]]]:
-    """Windows without their prefix yet, and for each window the hashes of its shingles."""
-    found: dict[tuple[bytes, ...], list[int | None]] = {}
-    for item, text in items:
-        low, w, _ = _words(*text_bytes(pa.array([text or ""])))
-        words = [low[a:b].tobytes() for a, b in zip(w.start, w.end, strict=True)]
-        n = min(window, len(words))
-        for k in range(len(words) - n + 1) if n else ():
-            ids = found.setdefault(tuple(words[k : k + n]), [])
-            if item not in ids:
-                ids.append(item)
-    words = [list(k) for k in found]
-    hashes, shingles = [], {}
-    for k, parts in enumerate(words):
-        h = hash_words(*_spans(parts))
-        hashes.append(_sized(h, len(h))[0])
-        shingles[k] = _sized(h, min(shingle, len(h))).tolist()
-    size = np.array([len(x) for x in words], np.int64)
-    none = np.zeros(len(words), np.int64)
-    return Windows(words, size, np.array(hashes, U64), list(found.values()), none.astype(U64), none, np.minimum(size, shingle)), shingles
-
-
-def _spans(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    end = np.cumsum([len(p) for p in parts])
-    return np.frombuffer(b"".join(parts), np.uint8), end - [len(p) for p in parts], end
+def _item_windows(items: pa.Table, window: int, shingle: int, counts: Callable[[np.ndarray, list[int]], np.ndarray]) -> Windows:
+    """Windows of item_id, text; counts: how often each of sorted shingle hashes (of the given sizes) occurs in the corpus."""
+    low, w, h = _words(*text_bytes(items["text"]))
+    ids: list[int | None] = []
+    place = {}
+    for x in items["item_id"].to_pylist():
+        if x not in place:
+            place[x] = len(ids)
+            ids.append(x)
+    owner = np.array([place[x] for x in items["item_id"].to_pylist()], np.int64)
+    full = np.flatnonzero(inside(w.first, window, len(h)))
+    firsts, sizes, hashes = [full], [np.full(len(full), window)], [_sized(h, window)[full] if len(full) else np.zeros(0, U64)]
+    for n in range(1, window):
+        short = w.first[:-1][w.count == n]
+        firsts.append(short)
+        sizes.append(np.full(len(short), n))
+        hashes.append(_sized(h, n)[short] if len(short) else np.zeros(0, U64))
+    first, size, code = np.concatenate(firsts), np.concatenate(sizes), np.concatenate(hashes)
+    item = owner[np.searchsorted(w.first, first, "right") - 1] if len(first) else first
+    # one entry for equal windows, with all items that have it
+    order = np.lexsort((item, code))
+    first, size, code, item = first[order], size[order], code[order], item[order]
+    new, pair_new = np.ones(len(code), bool), np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
+    pair_new[1:] = new[1:] | (item[1:] != item[:-1])
+    number = np.cumsum(new) - 1
+    item, number, (first, size, code) = item[pair_new], number[pair_new], (x[new] for x in (first, size, code))
+    # each window's rarest shingle
+    own = np.minimum(size, shingle)
+    prefix, offset = np.zeros(len(first), U64), np.zeros(len(first), np.int64)
+    sets = {}
+    for n, m in {(int(a), int(b)) for a, b in zip(*np.unique(np.stack([own, size]), axis=1), strict=True)}:
+        mine = np.flatnonzero(size == m)
+        sets[n, m] = mine, _sized(h, n)[first[mine][:, None] + np.arange(m - n + 1)]
+    codes = np.unique(np.concatenate([x.ravel() for _, x in sets.values()])) if sets else np.zeros(0, U64)
+    seen = counts(codes, sorted({n for n, _ in sets})) if len(codes) else np.zeros(0, np.int64)
+    for mine, x in sets.values():
+        rarest = seen[np.searchsorted(codes, x)].argmin(axis=1)
+        offset[mine], prefix[mine] = rarest, x[np.arange(len(mine)), rarest]
+    order = np.argsort(prefix, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    by = np.argsort(back[number], kind="stable") if len(number) else number
+    item_at = np.searchsorted(back[number][by], np.arange(len(order) + 1)) if len(number) else np.zeros(1, np.int64)
+    small = lambda x: x.astype(np.int32)
+    return Windows(low, small(w.start), small(w.end), small(first[order]), small(size[order]), code[order], prefix[order], small(offset[order]), small(own[order]), item_at, small(item[by]), ids)
 
 
 def _marked(codes: np.ndarray) -> np.ndarray:
@@ -146,26 +187,16 @@ def _find(w: Words, h: np.ndarray, low: np.ndarray, win: Windows, table: np.ndar
             which.append(c[same])
     start, cand = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, which))
     begin, end = w.start.tolist(), w.end.tolist()
-    exact = [all(low[begin[s + j] : end[s + j]].tobytes() == x for j, x in enumerate(win.words[c])) for s, c in zip(start.tolist(), cand.tolist(), strict=True)]
+    exact = [all(low[begin[s + j] : end[s + j]].tobytes() == x for j, x in enumerate(win.words(c))) for s, c in zip(start.tolist(), cand.tolist(), strict=True)]
     exact = np.array(exact, bool)
     return start[exact], cand[exact]
 
 
-def _block(docs: DataFrame, items: list[tuple[int | None, str | None]], window: int, shingle: int) -> DataFrame:
-    """doc_id, n_words, spans of hit words, items for one block of items; a column for each of docs' rows."""
-    win, shingles = _item_windows(items, window, shingle)
-    codes = np.unique(np.array([c for x in shingles.values() for c in x], U64))
-    counts = shingle_counts(docs, codes, sorted(set(win.shingle.tolist()))) if len(codes) else np.zeros(0, np.int64)
-    for k, own in shingles.items():
-        rank = counts[np.searchsorted(codes, np.array(own, U64))]
-        win.offset[k] = int(np.argmin(rank))
-        win.prefix[k] = own[win.offset[k]]
-    order = np.argsort(win.prefix, kind="stable")
-    win = Windows([win.words[k] for k in order], win.length[order], win.hash[order], [win.items[k] for k in order], win.prefix[order], win.offset[order], win.shingle[order])
-    by_size = defaultdict(set)
-    for n, m in zip(win.shingle.tolist(), win.length.tolist(), strict=True):
-        by_size[n].add(m)
-    sizes = [(n, sorted(m)) for n, m in sorted(by_size.items())]
+def _block(docs: DataFrame, items: pa.Table, window: int, shingle: int) -> tuple[DataFrame, Broadcast]:
+    """docs with n_words, hits (spans of words) and items for one block of items; and what to release when that has run."""
+    win = _item_windows(items, window, shingle, lambda codes, sizes: shingle_counts(docs, codes, sizes))
+    lengths = {(int(n), int(m)) for n, m in zip(*np.unique(np.stack([win.shingle, win.length]), axis=1), strict=True)}
+    sizes = [(n, sorted(m for k, m in lengths if k == n)) for n in sorted({n for n, _ in lengths})]
     given = docs.sparkSession.sparkContext.broadcast(win)
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -181,7 +212,7 @@ def _block(docs: DataFrame, items: list[tuple[int | None, str | None]], window:
                 doc = np.searchsorted(w.first, start, "right") - 1
                 ids: dict[int, set] = defaultdict(set)
                 for d, c in zip(doc.tolist(), cand.tolist(), strict=True):
-                    ids[d].update(win.items[c])
+                    ids[d].update(win.of(c))
                 spans: dict[int, list] = defaultdict(list)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -195,47 +226,53 @@ def _block(docs: DataFrame, items: list[tuple[int | None, str | None]], window:
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in part.schema.names), *columns], [*part.schema.names, "n_words", "hits", "items"])
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema), "n_words long, hits array<struct<start:long,end:long>>, items array<long>"])
-    return docs.mapInArrow(hits, schema)
+    return docs.mapInArrow(hits, schema), given
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int, carry: list[str]) -> DataFrame:
-    """doc_id, text, carry0, carry1, ..., n_words, hits, items."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)))
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> DataFrame:
+    """docs (doc_id, text and columns of positional names) with n_words, hits, items."""
     listed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     number = math.ceil((listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes) or 1
     with shuffles_dropped(docs.sparkSession):
-        parts = []
-        for k in range(number):  # one block of bounded size for all but very large benchmarks
-            block = listed if number == 1 else listed.where(F.pmod(F.xxhash64("text"), F.lit(number)) == k)
-            parts.append([(r[0], r[1]) for r in block.collect()])
-        return _block(base, parts[0], window, shingle) if number == 1 else _united(base, parts, window, shingle)
+        if number == 1:
+            return _block(docs, listed.toArrow(), window, shingle)[0]
+        return _united(docs, listed, number, window, shingle)
+
+
+MERGED = """aggregate(array_sort(flatten(collect_list(hits))), cast(array() as array<struct<start:long,end:long>>),
+  (out, x) -> case when size(out) > 0 and element_at(out, -1).end >= x.start
+    then concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(element_at(out, -1).end, x.end))))
+    else concat(out, array(x)) end)"""
+
+
+def _united(docs: DataFrame, listed: DataFrame, number: int, window: int, shingle: int) -> DataFrame:
+    """One block of items after the other; a document's hits in all of them are joined to it by id and text."""
+    code = F.xxhash64("text")
+    found = None
+    for k in range(number):
+        items = listed.where(F.pmod(F.xxhash64("text"), F.lit(number)) == k).toArrow()  # about block_bytes
+        rows, given = _block(docs.select("doc_id", "text"), items, window, shingle)
+        rows = cut(rows.where(F.size("hits") > 0).select("doc_id", code.alias("code"), "hits", "items").dropDuplicates(["doc_id", "code"]))
+        given.unpersist()
+        found = rows if found is None else found.unionByName(rows)
+    merged = found.groupBy("doc_id", "code").agg(F.expr(MERGED).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.withColumnsRenamed({"doc_id": "found_id", "code": "found_code"})
+    none = pa.table({"item_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+    counted = _block(docs, none, window, shingle)[0].drop("hits", "items")
+    joined = counted.join(merged, F.col("doc_id").eqNullSafe(F.col("found_id")) & code.eqNullSafe(F.col("found_code")), "left")
+    return joined.select(*counted.columns, F.coalesce("hits", F.expr("cast(array() as array<struct<start:long,end:long>>)")).alias("hits"), F.coalesce("items", F.expr("cast(array() as array<long>)")).alias("items"))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_words, hits (spans of words), items (ids with occurring windows)."""
-    return _searched(docs, benchmark, window, shingle, block_bytes, []).select("doc_id", "n_words", "hits", "items")
+    return _searched(_plain(docs.select("doc_id", "text")), benchmark, window, shingle, block_bytes).select("doc_id", "n_words", "hits", "items")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of `docs` with no hit word."""
-    found = _searched(docs, benchmark, window, shingle, block_bytes, docs.columns).where(F.size("hits") == 0)
-    return found.select(*(F.col(f"carry{k}").alias(c) for k, c in enumerate(docs.columns)))
-
-
-def _united(base: DataFrame, parts: list, window: int, shingle: int) -> DataFrame:
-    """Blocks one after the other over the same rows: each pass adds to the hits of the one before."""
-    found = base
-    for k, items in enumerate(parts):
-        new = _block(found, items, window, shingle)
-        if k:
-            joined = F.array_sort(F.concat("hits0", "hits"))
-            merge = F.aggregate(
-                joined, F.array().cast("array<struct<start:long,end:long>>"),
-                lambda acc, x: F.when(
-                    (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-                    F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-                ).otherwise(F.concat(acc, F.array(x))),
-            )
-            new = new.withColumn("hits", merge).withColumn("items", F.array_union("items0", "items")).drop("hits0", "items0", "n_words0")
-        found = new if k == len(parts) - 1 else new.withColumnsRenamed({"hits": "hits0", "items": "items0", "n_words": "n_words0"})
-    return found
+    inner = _plain(plain_names(docs, ("doc_id", "text")))
+    return _searched(inner, benchmark, window, shingle, block_bytes).where(F.size("hits") == 0).select(*inner.columns).toDF(*docs.columns)
