@@ -4,33 +4,39 @@ Documents are encoded with a byte-level vocabulary of ranks, so that every text
 has ids and its ids give it back, and cut into pieces of at most `length`
 tokens, without loss. Pieces are packed from the longest to the shortest, each
 into the open sequence with the least free space that holds it; a segment tree
-over free sizes finds it. Each packed sequence is a row of the id matrix (padded
-with `pad`) with its cumulative segment lengths and position resets: `starts`
-lists where positions begin again at zero, so every segment's positions count
-from its own start, and segments name their document and the offset in it.
+over free sizes finds it. Each packed sequence is a row of the id matrix, padded
+with `pad`, by default the first id after the vocabulary's, with its cumulative
+segment lengths, the position of every token, which starts again at zero with
+every segment, and `resets`, the places where it does. Segments name their
+document and the offset in it. `write_ids` writes the matrices as plain files.
 
 Documents are dealt to buckets of bounded size by a hash of doc_id; each is
 packed on its own, so the loss against packing everything at once is at most a
 few open sequences a bucket. Null or empty texts have no tokens and no segment.
-Repeated rows are packed each. An empty table gives an empty result.
+Null doc_id: a value like others. Repeated rows are packed each; pieces of equal
+size keep the order of ids and texts. Very long texts are cut into as many full
+pieces as they need. Extra columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._rounds import by_chunk, clamp, sorted_chunk
 
-SCHEMA = "bucket int, row int, n_tokens int, ids binary, cu_lengths array<int>, starts array<int>, segments array<struct<doc_id:long,offset:long,n:int>>"
+SCHEMA = "bucket int, row int, n_tokens int, ids binary, cu_lengths array<int>, positions binary, resets array<int>, segments array<struct<doc_id:long,offset:long,n:int>>"
 
 
 _ENCODINGS: dict[int, tiktoken.Encoding] = {}
@@ -98,27 +104,31 @@ def best_fit_decreasing(sizes: Iterable[int], length: int) -> list[list[int]]:
 def pack_documents(bucket: int, ids: list[int | None], tokens: list[np.ndarray], length: int, pad: int) -> pa.Table:
     pieces = [(d, at, min(length, len(t) - at)) for d, t in enumerate(tokens) for at in range(0, len(t), length)]
     packed = best_fit_decreasing([n for _, _, n in pieces], length)
-    columns: list[list] = [[] for _ in range(5)]
+    columns: list[list] = [[] for _ in range(6)]
     for members in packed:
-        row, ends = np.full(length, pad, "<u4"), [0]
+        row, place, ends = np.full(length, pad, "<u4"), np.zeros(length, "<u4"), [0]
         for k in members:
             d, at, n = pieces[k]
             row[ends[-1] : ends[-1] + n] = tokens[d][at : at + n]
+            place[ends[-1] : ends[-1] + n] = np.arange(n)
             ends.append(ends[-1] + n)
-        for column, value in zip(columns, (ends[-1], row.tobytes(), ends, ends[:-1], [{"doc_id": ids[pieces[k][0]], "offset": pieces[k][1], "n": pieces[k][2]} for k in members]), strict=True):
+        segments = [{"doc_id": ids[pieces[k][0]], "offset": pieces[k][1], "n": pieces[k][2]} for k in members]
+        for column, value in zip(columns, (ends[-1], row.tobytes(), ends, place.tobytes(), ends[:-1], segments), strict=True):
             column.append(value)
     segment = pa.struct([("doc_id", pa.int64()), ("offset", pa.int64()), ("n", pa.int32())])
-    kinds = [pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(segment)]
+    kinds = [pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(segment)]
     numbers = [pa.array([bucket] * len(packed), pa.int32()), pa.array(range(len(packed)), pa.int32())]
-    return pa.Table.from_arrays([*numbers, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["bucket", "row", "n_tokens", "ids", "cu_lengths", "starts", "segments"])
+    return pa.Table.from_arrays([*numbers, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["bucket", "row", "n_tokens", "ids", "cu_lengths", "positions", "resets", "segments"])
 
 
-def packing(docs: DataFrame, vocabulary: str, pattern: str, length: int = 2048, pad: int = 0, bucket_bytes: int | None = None) -> DataFrame:
-    """bucket, row, n_tokens, ids (little-endian unsigned 32-bit, padded to `length`), cu_lengths, starts, segments.
+def packing(docs: DataFrame, vocabulary: str, pattern: str, length: int = 2048, pad: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
+    """bucket, row, n_tokens, ids and positions (little-endian unsigned 32-bit, filled up to `length`), cu_lengths, resets, segments.
 
     vocabulary: path of a rank file on the driver; pattern: how texts are split before merging.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a megabyte, whatever the corpus
+    content = Path(vocabulary).read_bytes()
+    ranks = docs.sparkSession.sparkContext.broadcast(content)  # a megabyte, whatever the corpus
+    pad = encoding(content, pattern).max_token_value + 1 if pad is None else pad
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = math.ceil(total / (bucket_bytes or clamp(total / 2**18, 2 << 20, 64 << 20))) or 1
 
@@ -133,5 +143,32 @@ def packing(docs: DataFrame, vocabulary: str, pattern: str, length: int = 2048,
 
 
 def write_ids(packed: DataFrame, path: str) -> None:
-    """The packed matrices as Parquet, ordered by bucket and row."""
-    packed.sortWithinPartitions("bucket", "row").write.parquet(path)
+    """Plain files of row-major unsigned 32-bit matrices, ids-<bucket>.u32 and positions-<bucket>.u32, and the rest as Parquet in index.
+
+    path: a folder that driver and executors share, as a URI or an absolute path. A bucket's
+    files are written under another name and then renamed, so a task that is run again does no harm.
+    """
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row")
+        files, folder = fs.FileSystem.from_uri(path)
+        files.create_dir(folder, recursive=True)
+        bucket = table["bucket"][0].as_py()
+        for name in ("ids", "positions"):
+            target = f"{folder}/{name}-{bucket:06}.u32"
+            part = f"{folder}/.{name}-{bucket:06}-{uuid.uuid4().hex}"
+            with files.open_output_stream(part) as out:
+                for x in table[name]:
+                    out.write(x.as_py())
+            files.move(part, target)
+        return table.drop_columns(["ids", "positions"])
+
+    rest = packed.drop("ids", "positions").schema
+    packed.groupBy("bucket").applyInArrow(work, rest).write.parquet(f"{path}/index")
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """bucket, name (ids or positions), content: the matrices that `write_ids` wrote; the index is plain Parquet."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.u32").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.regexp_extract(name, r"-(\d+)", 1).cast("int").alias("bucket"), F.regexp_extract(name, r"^\w+", 0).alias("name"), "content")

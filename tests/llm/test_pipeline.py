@@ -4,6 +4,7 @@ from corpora import corpus
 from test_jaccard import brute
 from test_repeats import bytes_removed
 from test_text_operators import brute_hits, labelled
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm.queries import VOCABULARY
@@ -54,6 +55,19 @@ def test_stages(spark, folder):
     assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, folder).collect()} == out
 
 
+def test_columns_of_any_name(spark, folder):
+    """Names that the stages use themselves, or that need quoting, are carried as they are."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 5100")
+    for name in ("kept", "kept_chars", "n_bytes", "gone", "__gone", "hits", "items", "n_words", "carry0", "chunk", "a.b", "__quality_score"):
+        docs = docs.withColumn(name, F.col("doc_id") + 1)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, folder)
+        assert rows.columns == docs.columns
+        rows = rows.collect()
+        assert rows and all(r["a.b"] == r["kept"] == r["doc_id"] + 1 for r in rows if r["doc_id"] is not None)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
 def test_empty(spark, folder):
     none = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:

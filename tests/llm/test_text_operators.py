@@ -9,12 +9,13 @@ import pytest
 from corpora import frame
 from tokenizers import Tokenizer
 
+import quire.llm.sharding as module_of_sharding
 from quire.llm.bpe import SpeculativeBpe, bpe
 from quire.llm.decontaminate import decontaminate, without_contaminated
-from quire.llm.packing import best_fit_decreasing, encoding, packing
+from quire.llm.packing import best_fit_decreasing, encoding, packing, read_ids, write_ids
 from quire.llm.quality_classifier import quality_classifier
-from quire.llm.quality_rules import quality_rules
-from quire.llm.sharding import ShardMap, Slot, assign, sharding, slot_sizes
+from quire.llm.quality_rules import RATES, quality_rules
+from quire.llm.sharding import Group, ShardMap, Slot, sharding
 from quire.llm.toxicity import isotonic, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -103,18 +104,28 @@ def test_bpe_query(docs, rows, nothing):
     assert bpe(nothing, VOCABULARY).count() == 0
 
 
-def test_packing_loses_nothing(docs, rows, nothing):
+def test_packing_loses_nothing(spark, docs, rows, nothing, tmp_path):
     encode = encoding(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
-    pieces, sequences = defaultdict(dict), packing(docs, RANKS, public_tokenizers.PATTERN, length=64, bucket_bytes=6000).collect()
+    packed = packing(docs, RANKS, public_tokenizers.PATTERN, length=64, bucket_bytes=6000).cache()
+    pieces, sequences = defaultdict(dict), packed.collect()
     for r in sequences:
-        ids = np.frombuffer(r.ids, "<u4")
-        assert len(ids) == 64 and r.cu_lengths[0] == 0 and r.cu_lengths[-1] == r.n_tokens and r.starts == r.cu_lengths[:-1] and not ids[r.n_tokens :].any()
+        ids, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.positions, "<u4")
+        assert len(ids) == 64 and r.cu_lengths[0] == 0 and r.cu_lengths[-1] == r.n_tokens and set(ids[r.n_tokens :]) <= {encode.max_token_value + 1}
+        assert r.resets == r.cu_lengths[:-1] == [k for k in range(r.n_tokens) if positions[k] == 0]
         for s, a, b in zip(r.segments, r.cu_lengths, r.cu_lengths[1:], strict=False):
-            assert s.n == b - a
+            assert s.n == b - a and positions[a:b].tolist() == list(range(s.n))
             pieces[s.doc_id][s.offset] = ids[a:b].tolist()
     joined = {d: encode.decode([t for at in sorted(p) for t in p[at]]) for d, p in pieces.items()}
     assert joined == {d: t for d, t in rows if t}
     assert packing(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
+    # the same matrices as plain files
+    path = str(tmp_path / "ids")
+    write_ids(packed, path)
+    files = {(r.bucket, r.name): np.frombuffer(r.content, "<u4").reshape(-1, 64) for r in read_ids(spark, path).collect()}
+    assert len(files) == 2 * len({r.bucket for r in sequences})
+    assert all((files[r.bucket, "ids"][r.row] == np.frombuffer(r.ids, "<u4")).all() and (files[r.bucket, "positions"][r.row] == np.frombuffer(r.positions, "<u4")).all() for r in sequences)
+    index = {(r.bucket, r.row): r.cu_lengths for r in spark.read.parquet(f"{path}/index").collect()}
+    assert index == {(r.bucket, r.row): r.cu_lengths for r in sequences}
 
 
 def test_best_fit_decreasing():
@@ -143,33 +154,68 @@ def test_shards(spark, docs, rows, nothing):
     assert all(sorted(r.place for r in x) == list(range(len(x))) for x in by.values())
     loads = [sum(r["size"] for r in x) for x in by.values()]
     assert max(loads) - min(loads) <= max(r["size"] for r in got)
+    of, shard = {d: t or "" for d, t in rows}, defaultdict(set)
+    for r in got:
+        shard[of[r.doc_id]].add(r.shard)
+    assert all(len(x) == 1 for x in shard.values())  # equal texts stay together
     assert sharding(nothing).count() == 0
 
 
+def test_groups_stay_whole_up_to_a_fair_share(spark):
+    rows = [(k, "copy " * 20) for k in range(100)] + [(1000 + k, f"text {k} " * 20) for k in range(300)]
+    got = sharding(frame(spark, rows), shards=4).collect()
+    assert len({r.shard for r in got if r.doc_id < 1000}) == 1
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) < 1.05 * min(loads.values())
+
+
 def test_a_hot_group_of_copies_is_parted(spark):
     rows = [(k, "copy " * 20) for k in range(300)] + [(1000 + k, f"text {k} " * 20) for k in range(300)]
     got = sharding(frame(spark, rows), shards=4).groupBy("shard").agg({"size": "sum"}).collect()
     assert max(r[1] for r in got) < 1.1 * min(r[1] for r in got)
 
 
+@pytest.mark.parametrize("same", [None, 7])
+def test_one_id_in_most_rows(spark, monkeypatch, same):
+    monkeypatch.setattr(module_of_sharding, "BIN", 40)  # several bins of places
+    rows = [(same, "copy " * 20)] * 300 + [(same, f"text {k} " * 20) for k in range(300)] + [(k, None) for k in range(100)]
+    got = sharding(frame(spark, rows), shards=4).collect()
+    assert len(got) == 700
+    for s in range(4):
+        assert sorted(r.place for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) < 1.1 * min(loads.values())
+
+
 def test_rebalancing_moves_little(spark, docs, tmp_path):
     rnd = random.Random(2)
-    slots = [Slot(k, 0, rnd.randint(1, 1000), 3) for k in range(500)]
-    first = ShardMap.deal(slots, 8)
+    slots = [Slot(k, rnd.randint(1, 1000), 3) for k in range(500)]
+    first = ShardMap.deal(slots, 8, (Group(5, 498, 2),))
     grown = first.rebalanced(slots, 9)
     moved = [k for k in first.shard_of if first.shard_of[k] != grown.shard_of[k]]
     assert grown.version == 2 and {grown.shard_of[k] for k in moved} <= {8} | set(range(8)) and len(moved) < 120
     load = Counter()
     for s in slots:
-        load[grown.shard_of[s.slot, 0]] += s.bytes
+        load[grown.shard_of[s.slot]] += s.bytes
     assert max(load.values()) < 1.05 * sum(load.values()) / 9
     same = first.rebalanced(slots)
     assert same.shard_of == first.shard_of
     first.write(spark, str(tmp_path / "map"))
     grown.write(spark, str(tmp_path / "map"))
     assert ShardMap.read(spark, str(tmp_path / "map")) == grown and ShardMap.read(spark, str(tmp_path / "map"), 1) == first
-    sizes = slot_sizes(docs, 3)
-    assert assign(docs, sizes, ShardMap.deal(sizes, 3).rebalanced(sizes, 4)).count() == docs.count()
+
+
+def test_the_stored_map_is_kept_and_edited(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    shards = lambda n: {r.doc_id: r.shard for r in sharding(docs, n, path=path).collect()}
+    first, again, more = shards(4), shards(4), shards(5)
+    assert first == again and first.keys() == more.keys() and len(set(more.values())) == 5
+    assert sum(first[k] != more[k] for k in first) < len(first) / 2
+    assert ShardMap.read(spark, path).version == 3
 
 
 # quality rules
@@ -196,13 +242,38 @@ def test_base_features(docs, rows, nothing):
     assert quality_rules(nothing).count() == 0
 
 
-def test_thresholds_follow_their_group(spark):
-    clean = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(120)]
+def test_limits_follow_their_group(spark):
+    clean = [" ".join(f"w{k:03}x{j:02}" for j in range(60)) for k in range(120)]
     marked = [t.replace(" ", " # ", 12) for t in clean]
     rows = [(2 * k, t) for k, t in enumerate(clean)] + [(2 * k + 1, t) for k, t in enumerate(marked)]  # source s0 without, s1 with symbols
     rows += [(10_000, marked[0] + " tail"), (10_001, marked[1].replace("w", "#####w"))]
-    got = {r.doc_id: r.kept for r in quality_rules(frame(spark, rows), least=20).collect()}
-    assert all(got[d] for d, _ in rows[:240]) and not got[10_000] and not got[10_001]
+    got = {r.doc_id: r for r in quality_rules(frame(spark, rows), prior=5).collect()}
+    assert all(got[d].kept for d, _ in rows[:240]) and not got[10_000].kept and not got[10_001].kept
+    assert got[0].most_symbol_rate < got[1].most_symbol_rate
+
+
+def test_sketches_are_exact_to_a_cell(spark, docs):
+    """Limits against quantiles of the rates themselves, mixed as the docstring says."""
+    got = quality_rules(docs).collect()
+    keep = [(r, docs_of) for r in got if not r.base_failed for docs_of in [r.doc_id]]
+    source = {r.doc_id: (r.lang, r.source) for r in docs.collect()}
+    for rate in RATES:
+        cells = defaultdict(list)
+        for r, d in keep:
+            cells[source[d]].append(r[rate.name])
+
+        def share(cell, lang, src):
+            every = [x for v in cells.values() for x in v]
+            own = [x for (a, _), v in cells.items() if a == lang for x in v]
+            p = sum(x <= cell for x in every) / len(every)
+            p = (sum(x <= cell for x in own) + 50 * p) / (len(own) + 50)
+            return (sum(x <= cell for x in cells[lang, src]) + 50 * p) / (len(cells[lang, src]) + 50)
+
+        grid = sorted({x for v in cells.values() for x in v})
+        for lang, src in list(cells):
+            high, mid = (next(c for c in grid if share(c, lang, src) >= q - 1e-12) for q in (rate.level, 0.5))
+            limit = {r["most_" + rate.name] for r, d in keep if source[d] == (lang, src)}
+            assert limit == {high + rate.reach * (high - mid)}
 
 
 # classifiers
