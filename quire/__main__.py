@@ -8,6 +8,7 @@ import json
 from pyspark.sql import SparkSession
 
 from quire.plans.ask import ask
+from quire.plans.deciders import decider
 from quire.plans.store import Store
 from quire.sources.config import load_settings
 
@@ -30,7 +31,7 @@ def main(argv: list[str] | None = None) -> None:
         print(json.dumps({"steps": trace.steps, "answer": trace.answer}, ensure_ascii=False))
         return
     found = {
-        "ingest": lambda: store.add_folder(a.folder), "list": store.listing, "stats": lambda: store.stats(a.doc), "tree": lambda: store.tree(a.doc).select("line"), "map": lambda: store.map(a.doc),
+        "ingest": lambda: store.add_folder(a.folder, decider(settings)), "list": store.listing, "stats": lambda: store.stats(a.doc), "tree": lambda: store.tree(a.doc).select("line"), "map": lambda: store.map(a.doc),
         "search": lambda: store.search(a.doc, a.keywords, top_k=settings.top_k), "find": lambda: store.find(a.doc, a.keywords), "chapter": lambda: store.page(a.chapter, settings.max_chars),
     }[a.command]()
     for row in found.toLocalIterator():

@@ -73,7 +73,11 @@ def joined_name(prefix: Column, title: Column) -> Column:
     return F.when(p == "", title).otherwise(strip(F.concat(p, F.lit(" "), F.coalesce(title, F.lit("")))))
 
 
+def quoted(term: str) -> str:
+    """A pattern that matches just the term."""
+    return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def occurrences(text: Column, term: str) -> Column:
     """Overlapping, case-folded occurrences of a literal term."""
-    quoted = "\\Q" + term.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return F.regexp_count(F.lower(text), F.lit(f"(?={quoted})"))
+    return F.regexp_count(F.lower(text), F.lit(f"(?={quoted(term.lower())})"))

@@ -18,22 +18,27 @@ def contents_regions(items: DataFrame, key: str = "doc_id") -> DataFrame:
     items: key, seq, kind ('p' or 'tbl'), is_toc, fld_events (array of +1 and -1).
     Field depth carries over paragraphs and a contents field that stays open
     drops what follows until the depth falls below where it began, so the state
-    is folded over the document's paragraphs in order.
+    is folded over the document's paragraphs that hold field marks, in order.
     """
     shut = "cast(null as int)"
     depth = "aggregate(x.fld_events, acc.depth, (d, e) -> greatest(0, d + e))"
     fold = f"""
-        aggregate(paras, named_struct('depth', 0, 'skip', {shut}, 'out', cast(array() as array<struct<seq:int,gone:boolean>>)),
+        aggregate(marks, named_struct('depth', 0, 'skip', {shut}, 'out', cast(array() as array<struct<seq:int,gone:boolean,open:boolean>>)),
           (acc, x) -> named_struct(
             'depth', {depth},
             'skip', case when acc.skip is not null and acc.depth >= acc.skip then case when {depth} < acc.skip then {shut} else acc.skip end
                          when x.is_toc and {depth} > 0 then {depth} else acc.skip end,
-            'out', concat(acc.out, array(named_struct('seq', x.seq, 'gone', (acc.skip is not null and acc.depth >= acc.skip) or x.is_toc)))),
+            'out', concat(acc.out, array(named_struct('seq', x.seq, 'gone', (acc.skip is not null and acc.depth >= acc.skip) or x.is_toc,
+              'open', case when acc.skip is not null and acc.depth >= acc.skip then {depth} >= acc.skip else x.is_toc and {depth} > 0 end)))),
           acc -> acc.out)"""
-    paras = items.where("kind = 'p'").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), F.coalesce("is_toc", F.lit(False)).alias("is_toc"), F.coalesce("fld_events", F.array().cast("array<int>")).alias("fld_events")))).alias("paras"))
-    marked = paras.select(key, F.inline(F.expr(fold)))
-    joined = items.join(marked, [key, "seq"], "left")
-    return joined.withColumn("in_contents", F.coalesce("gone", F.lit(False))).drop("gone")
+    toc, events = F.coalesce("is_toc", F.lit(False)), F.coalesce("fld_events", F.array().cast("array<int>"))
+    # only paragraphs with fields change the state; the others take what the last of these left
+    marks = items.where((F.col("kind") == "p") & (toc | (F.size(events) > 0)))
+    marks = marks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), toc.alias("is_toc"), events.alias("fld_events")))).alias("marks"))
+    joined = items.join(marks.select(key, F.inline(F.expr(fold))), [key, "seq"], "left")
+    before = F.last("open", ignorenulls=True).over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    inside = (F.col("kind") == "p") & F.coalesce(F.col("gone"), before, F.lit(False))
+    return joined.withColumn("in_contents", inside).drop("gone", "open")
 
 
 def template_noise(items: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFrame:

@@ -39,22 +39,19 @@ def validate(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.where("d is not null").join(fits, "doc_id", "left_semi").select("doc_id", "idx", F.col("d.is_title").alias("is_title"), level.cast("int").alias("level"))
 
 
-def chunk_bounds(levels: list[int | None], most: int = CHUNK) -> list[int]:
-    """Where a document's candidates are cut: at the last first-level anchor in reach, else after `most`."""
-    n, bounds = len(levels), [0]
-    if n <= most:
-        return [0, n] if n else [0]
-    anchors = [i for i, level in enumerate(levels) if level == 1]
-    while bounds[-1] < n:
-        reach = [a for a in anchors if bounds[-1] < a <= bounds[-1] + most]
-        bounds.append(reach[-1] if reach else min(n, bounds[-1] + most))
-    return bounds
-
-
 def chunks(candidates: DataFrame, most: int = CHUNK) -> DataFrame:
-    """Adds chunk to the candidates. Cutting is greedy, so each document's levels (a number a candidate) are taken in turn."""
-    cut = F.udf(lambda levels: [c for c, (a, b) in enumerate(zip(x, x[1:], strict=False)) for _ in range(b - a)] if (x := chunk_bounds(levels, most)) else [], "array<int>")
+    """Adds chunk to the candidates: a document of more than `most` is cut, greedily, at the last first-level anchor in reach, else after `most`.
+
+    A cut is decided when the reach is full, and then no anchor lies between it
+    and the reach's end, so one fold over a document's levels finds all cuts.
+    """
+    decide = "i - s.start = {most}"
+    anchor = "case when i > s.start and levels[i] = 1 then i else s.anchor end"
+    fold = f"""case when size(levels) <= {most} then array(0) else aggregate(sequence(0, size(levels) - 1), named_struct('start', 0, 'anchor', cast(null as int), 'cuts', array(0)),
+        (s, i) -> case when {decide.format(most=most)} then named_struct('start', coalesce({anchor}, i), 'anchor', cast(null as int), 'cuts', array_append(s.cuts, coalesce({anchor}, i)))
+                       else named_struct('start', s.start, 'anchor', {anchor}, 'cuts', s.cuts) end,
+        s -> case when s.anchor is null then s.cuts else array_append(s.cuts, s.anchor) end) end"""
     rows = F.sort_array(F.collect_list(F.struct("para_index", F.coalesce("suggested_level", F.lit(0)).alias("level"))))
-    listed = candidates.groupBy("doc_id").agg(rows.alias("rows"))
-    numbered = listed.select("doc_id", F.explode(F.arrays_zip(F.transform("rows", lambda r: r["para_index"]).alias("para_index"), cut(F.transform("rows", lambda r: r["level"])).alias("chunk"))).alias("x"))
-    return candidates.join(numbered.select("doc_id", "x.para_index", "x.chunk"), ["doc_id", "para_index"])
+    listed = candidates.groupBy("doc_id").agg(rows.alias("rows")).withColumn("levels", F.expr("transform(rows, r -> r.level)")).withColumn("cuts", F.expr(fold))
+    numbered = listed.select("doc_id", F.inline(F.expr("transform(rows, (r, i) -> named_struct('para_index', r.para_index, 'chunk', size(filter(cuts, c -> c <= i)) - 1))")))
+    return candidates.join(numbered, ["doc_id", "para_index"])

@@ -39,14 +39,19 @@ def to_markdown(grids: DataFrame) -> DataFrame:
     empty grid make an empty text.
     """
     value = "replace(replace(replace(c.content, '|', '\\\\|'), '\\r', ' '), '\\n', ' ')"
-    covers = "c.row_idx <= r and r < c.row_idx + c.row_span and c.col_idx <= k and k < c.col_idx + c.col_span"
-    cell = f"coalesce(try_element_at(transform(filter(cells, c -> {covers}), c -> {value}), -1), '')"
-    row = f"concat('| ', array_join(transform(sequence(0, total_cols - 1), k -> {cell}), ' | '), ' |')"
+    span = lambda start, size, end: f"filter(sequence({start}, {start} + greatest({size}, 1) - 1), x -> x < {end})"
+    covered = f"transform({span('c.row_idx', 'c.row_span', 'total_rows')}, r -> transform({span('c.col_idx', 'c.col_span', 'total_cols')}, k -> named_struct('at', cast(r as bigint) * total_cols + k, 'i', i, 'v', {value})))"
+    # every place with an empty text and whatever covers it, in order; the last entry of a place shows
+    blank = "transform(sequence(0L, cast(total_rows as bigint) * total_cols - 1), a -> named_struct('at', a, 'i', -1, 'v', ''))"
+    places = f"sort_array(concat({blank}, flatten(transform(cells, (c, i) -> flatten({covered})))))"
+    shown = "transform(filter(__places, (x, j) -> j = size(__places) - 1 or __places[j + 1].at <> x.at), x -> x.v)"
+    row = "concat('| ', array_join(slice(__shown, r * total_cols + 1, total_cols), ' | '), ' |')"
     header = "coalesce(try_element_at(filter(cells, c -> c.is_header), 1).row_idx, 0)"
     order = "concat(array(__header), filter(sequence(0, total_rows - 1), r -> r != __header))"
-    lines = f"transform({order}, r -> {row})"
     rule = "concat('| ', array_join(array_repeat('---', total_cols), ' | '), ' |')"
     text = f"array_join(concat(slice(__lines, 1, 1), array({rule}), slice(__lines, 2, size(__lines))), '\\n')"
     has = "total_rows > 0 and total_cols > 0 and size(cells) > 0"
-    out = grids.withColumn("__header", F.expr(header)).withColumn("__lines", F.expr(f"case when {has} then {lines} end"))
-    return out.withColumn("markdown", F.coalesce(F.expr(f"case when {has} then {text} end"), F.lit(""))).drop("__header", "__lines")
+    steps = {"__header": header, "__places": places, "__shown": shown, "__lines": f"transform({order}, r -> {row})", "markdown": text}
+    for name, step in steps.items():
+        grids = grids.withColumn(name, F.expr(f"case when {has} then {step} end"))
+    return grids.withColumn("markdown", F.coalesce("markdown", F.lit(""))).drop(*(x for x in steps if x != "markdown"))

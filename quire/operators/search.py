@@ -6,14 +6,13 @@ one scan of the chapters; corpus statistics are one aggregate of a few numbers.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import occurrences
+from quire.functions.text import occurrences, quoted
 
 # Okapi BM25 (Robertson and Zaragoza, 2009).
 K1, B = 1.2, 0.75
@@ -24,18 +23,9 @@ def split_terms(keywords: str) -> list[str]:
     return keywords.split()
 
 
-def _folded(term: str) -> str:
-    """ASCII letters in lower case."""
-    return re.sub("[A-Z]", lambda m: m[0].lower(), term)
-
-
-def _ascii_lower(x: Column) -> Column:
-    return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def like(column: Column, term: str) -> Column:
-    """Does the column hold the term, ASCII case aside?"""
-    return _ascii_lower(F.coalesce(column, F.lit(""))).contains(_folded(term))
+    """Does the column hold the term, ASCII case aside? One pass that stops at the first hit."""
+    return F.coalesce(column, F.lit("")).rlike("(?i)" + quoted(term))
 
 
 def like_snippet(terms: list[str]) -> Column:
@@ -68,11 +58,16 @@ def match(text: Column, terms: list[str]) -> Column:
     return reduce(and_, (F.lower(text).contains(t.lower()) for t in terms))
 
 
-def bm25(chapters: DataFrame, terms: list[str]) -> DataFrame:
-    """Chapters that match all terms with `rank`, least first; statistics are over all chapters."""
+def bm25(chapters: DataFrame, terms: list[str], totals: DataFrame | None = None) -> DataFrame:
+    """Chapters that match all terms with `rank`, least first; statistics are over all chapters.
+
+    totals: one row of their number __n and mean length __avg; with it, `chapters` may be only those that hold some term.
+    """
     text = chapters.withColumn("__text", indexed_text())
     counted = text.select("*", F.greatest(F.lit(0), F.length("__text") - 2).alias("__d"), *(occurrences(F.col("__text"), t).alias(f"__f{k}") for k, t in enumerate(terms)))
-    stats = counted.agg(F.count("*").alias("__n"), F.avg("__d").alias("__avg"), *(F.count_if(F.col(f"__f{k}") > 0).alias(f"__df{k}") for k in range(len(terms))))
+    whole = [F.count("*").alias("__n"), F.avg("__d").alias("__avg")] if totals is None else []
+    stats = counted.agg(*whole, *(F.count_if(F.col(f"__f{k}") > 0).alias(f"__df{k}") for k in range(len(terms))))
+    stats = stats if totals is None else stats.join(F.broadcast(totals))  # one row each
     hits = counted.where(reduce(and_, (F.col(f"__f{k}") > 0 for k in range(len(terms))))).join(F.broadcast(stats))  # one row, by its aggregate
     score = F.lit(0.0)
     for k in range(len(terms)):
@@ -94,14 +89,39 @@ def snippet(text: Column, terms: list[str], width: int = 14) -> Column:
     return F.concat(F.when(start > 0, "…").otherwise(""), marked, F.when(start + size < F.length(text), "…").otherwise(""))
 
 
-def search_content(chapters: DataFrame, keywords: str, doc_id: int | None = None, chapter_id: int | None = None, top_k: int = 5) -> DataFrame:
-    """Best chapters for the keywords with id, chapter_path, title, hit; short terms make the whole query a plain search."""
+def lengths(chapters: DataFrame) -> DataFrame:
+    """id, length: what ranking needs to know of every chapter."""
+    return chapters.select("id", F.greatest(F.lit(0), F.length(indexed_text()) - 2).alias("length"))
+
+
+def grams_of(term: str) -> list[str]:
+    low = term.lower()
+    return sorted({low[k : k + 3] for k in range(len(low) - 2)})
+
+
+def with_any_term(chapters: DataFrame, index: DataFrame, terms: list[str]) -> DataFrame:
+    """Chapters that can hold some term, by the terms' trigrams in stored postings."""
+    sets = [grams_of(t) for t in terms]
+    full = [F.count_if(F.col("gram").isin(g)) == len(g) for g in sets]
+    ids = index.where(F.col("gram").isin(sorted({x for g in sets for x in g}))).groupBy("id").agg(reduce(or_, full).alias("any")).where("any").select("id")
+    return chapters.join(ids, "id", "left_semi")
+
+
+def search_content(chapters: DataFrame, keywords: str, doc_id: int | None = None, chapter_id: int | None = None, top_k: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Best chapters for the keywords with id, chapter_path, title, hit; short terms make the whole query a plain search.
+
+    index: stored postings and lengths of all chapters, so that only texts that can hold a term are read.
+    """
     terms = split_terms(keywords)
     if not terms:
         raise ValueError("no keywords")
     if any(len(t) < SHORTEST_INDEXED for t in terms):
         return search_like(chapters, terms, doc_id, chapter_id, top_k).select("id", "chapter_path", "title", "hit")
-    ranked = bm25(chapters, terms)
+    if index is None:
+        ranked = bm25(chapters, terms)
+    else:
+        totals = index[1].agg(F.count("*").alias("__n"), F.avg("length").alias("__avg"))
+        ranked = bm25(with_any_term(chapters, index[0], terms), terms, totals)
     ranked = ranked.where(F.col("doc_id") == doc_id) if doc_id is not None else ranked
     ranked = ranked.where(F.col("id") == chapter_id) if chapter_id is not None else ranked
     return ranked.orderBy("rank", "id").limit(top_k).select("id", "chapter_path", "title", snippet(indexed_text(), terms).alias("hit"), "rank")
@@ -129,7 +149,6 @@ def postings(chapters: DataFrame) -> DataFrame:
 
 def match_postings(chapters: DataFrame, index: DataFrame, term: str) -> DataFrame:
     """Chapters that hold the term, by its trigrams' postings and then the text itself."""
-    low = term.lower()
-    grams = sorted({low[k : k + 3] for k in range(len(low) - 2)})
+    grams = grams_of(term)
     ids = index.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id")
     return chapters.join(ids, "id", "left_semi").where(match(indexed_text(), [term]))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import cleaning, decisions, features, grids, numbering, sections, tree
+from quire.plans.shared import cut
 from quire.sources.docx import parse_files
 
-#: Chapters and tables that a document can have; makes ids from a document's id and a place.
-PER_DOCUMENT = 1_000_000
+#: Makes ids of chapters and tables from a document's id and a place, which is below it in any file.
+PER_DOCUMENT = 1 << 32
 
 Decider = Callable[[DataFrame], DataFrame | None]
 
@@ -30,7 +31,7 @@ class Ingested:
 def headings(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(body items that stay, heading candidates among them)."""
     items = parsed.select("doc_id", F.inline("items"))
-    body = cleaning.select_body(items)
+    body = cut(cleaning.select_body(items))
     styles = parsed.select("doc_id", F.inline("styles"))
     levels = parsed.select("doc_id", F.inline("levels"))
     pstyles = parsed.select("doc_id", F.inline("pstyles")).select("doc_id", "style_id", F.col("num_id").alias("style_num"), F.col("ilvl").alias("style_ilvl"))
@@ -46,31 +47,34 @@ def headings(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(manual.isNotNull(), text.after_prefix(F.col("text"))).otherwise(text.strip(F.col("text"))).alias("title"),
         level.alias("suggested_level"), level.isNotNull().alias("is_anchor"), "bold", "font_size_halfpt", "first_line_indent_chars",
     )
-    return body, candidates
+    return body, cut(candidates)
 
 
 def valid_decisions(candidates: DataFrame, said: DataFrame) -> DataFrame:
     """Decisions of documents whose decisions cover just their candidates; the others' candidates are left to the rules."""
     said = said if "seq" in said.columns else said.withColumn("seq", F.lit(0))
-    return decisions.validate(said.persist(), candidates)  # asked once
+    return decisions.validate(cut(said), candidates)  # asked once
 
 
 def ingest(files: DataFrame, decide: Decider | None = decisions.rule_decisions) -> Ingested:
     """files: doc_id, content. decide: candidates to decisions; none leaves levels to the rules alone,
     as do decisions that are incomplete.
 
-    Parsed rows, decisions, body items and nodes are used several times, so they are
-    cached; the caller unpersists through Spark's catalog when done.
+    Parsed rows are used several times, so they are cached; the caller unpersists
+    through Spark's catalog when done. Body items, candidates, decisions, nodes
+    and attributed items are written to the checkpoint folder, which keeps plans
+    small and survives lost executors.
     """
     parsed = parse_files(files).persist()
     body, candidates = headings(parsed)
-    body, candidates = body.persist(), candidates.persist()
-    nodes = tree.build_tree(candidates, valid_decisions(candidates, decide(candidates)) if decide else None).persist()
+    nodes = tree.build_tree(candidates, valid_decisions(candidates, decide(candidates)) if decide else None)
+    nodes = cut(nodes)
     opens = nodes.select("doc_id", "para_index", F.col("order_num").alias("heading"))
     marked = body.join(opens, ["doc_id", "para_index"], "left")
     shown = grids.to_markdown(marked.withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<row_idx:int,col_idx:int,row_span:int,col_span:int,content:string,is_header:boolean>>"))))
     attributed = sections.attribute(shown.where((F.col("kind") == "p") | (F.col("markdown") != "")))
-    attributed = attributed.withColumn("text", F.when(F.col("kind") == "p", text.strip(F.col("text"))).otherwise(F.col("markdown"))).persist()
+    attributed = attributed.withColumn("text", F.when(F.col("kind") == "p", text.strip(F.col("text"))).otherwise(F.col("markdown")))
+    attributed = cut(attributed)
     content = sections.contents(attributed).withColumnRenamed("section", "order_num")
     key = lambda order: F.col("doc_id") * PER_DOCUMENT + F.col(order) + 1
     filled = nodes.join(content, ["doc_id", "order_num"], "left").withColumn("content", F.coalesce("content", F.lit("")))

@@ -1,27 +1,35 @@
-"""Stored tables: a registry of documents by content hash, and their chapters, tables and cells.
+"""Stored tables: a registry of documents by content hash, their chapters, tables and cells, and a full-text index.
 
 Tables are Parquet folders parted by blocks of documents. Writing a batch
 replaces the rows of its documents in the blocks that it touches and nothing
-else; a document's rows appear all at once or not at all.
+else. While that goes on the documents' status is `processing`; a batch that
+breaks off leaves them so, and adding the same files again repairs it. Reading
+one document touches its block alone; ranked search reads the postings of the
+terms' trigrams and then only the texts that can hold a term.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from quire.operators import catalog, decisions, search
-from quire.plans.ingest import Decider, Ingested, ingest
+from quire.plans.ingest import PER_DOCUMENT, Decider, Ingested, ingest
 from quire.plans.shared import cut
 from quire.sources.docx import read_files
 
 BLOCK = 1000
-MESSAGES = "thread_id string, seq int, role string, content string"
+MESSAGES = "thread_id string, seq int, role string, content string, call_id string"
 SCHEMAS = {
     "documents": "id long, doc_name string, doc_type string, doc_hash string, status string, error_msg string, total_chars long, create_time timestamp",
     "chapters": "id long, doc_id long, parent_id long, level int, number_prefix string, title string, content string, content_chars int, order_num int, chapter_path string, source string, confidence double, needs_review int",
     "tables": "id long, doc_id long, chapter_id long, table_caption string, total_rows int, total_cols int, order_num int, chapter_path string",
+    "grams": "gram string, id long, doc_id long",
+    "lengths": "id long, doc_id long, length long",
     "cells": "table_id long, doc_id long, row_idx int, col_idx int, row_span int, col_span int, content string, is_header int",
 }
 
@@ -39,9 +47,14 @@ class Store:
         place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, doc_id: int | None = None) -> DataFrame:
+        """A stored table, or its rows of one document, for which one block is read."""
         schema = StructType.fromDDL(SCHEMAS[name]).add("block", "long")
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").drop("block")
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        if doc_id is not None:
+            key = "id" if name == "documents" else "doc_id"
+            rows = rows.where((F.col("block") == int(doc_id) // BLOCK) & (F.col(key) == int(doc_id)))
+        return rows.drop("block")
 
     def _replace(self, name: str, rows: DataFrame, ids: DataFrame, key: str) -> None:
         """Put `rows` in the place of what the table has of the documents `ids` (column doc)."""
@@ -50,33 +63,57 @@ class Store:
         old = self.table(name).withColumn("block", block).join(touched, "block", "left_semi").join(ids, F.col(key) == F.col("doc"), "left_anti")
         kept = old.select(*StructType.fromDDL(SCHEMAS[name]).names, "block")
         new = rows.select(*(F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(SCHEMAS[name]))).withColumn("block", block)
-        kept.unionByName(new).repartition("block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(f"{self.path}/{name}")
+        order = StructType.fromDDL(SCHEMAS[name]).names[0]  # so that readers of one gram or id skip most row groups
+        kept.unionByName(new).repartition("block").sortWithinPartitions("block", order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(f"{self.path}/{name}")
 
     def register(self, files: DataFrame) -> DataFrame:
-        """files with doc_id: the registry's for known contents, the next free ones for new."""
+        """doc_hash, doc_name, path, doc_id of each different content: the registry's id for a known one, the next free ones for new.
+
+        Only names and hashes are shuffled; of equal files the least name and path count.
+        """
         known = self.table("documents").select("doc_hash", F.col("id").alias("doc_id"))
-        distinct = files.groupBy("doc_hash").agg(F.min("doc_name").alias("doc_name"), F.first("content").alias("content"))
+        distinct = files.groupBy("doc_hash").agg(F.min(F.struct("doc_name", "path")).alias("f")).select("doc_hash", "f.doc_name", "f.path")
         last = known.agg(F.max("doc_id")).first()[0] or 0
-        fresh = distinct.select("doc_hash").join(known, "doc_hash", "left_anti").orderBy("doc_hash")
-        numbered = fresh.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + last + 1))  # a running number over many partitions
-        every = known.unionByName(self.spark.createDataFrame(numbered, "doc_hash string, doc_id long"))
-        return distinct.join(every, "doc_hash")
+        part = F.substring("doc_hash", 1, 2)  # 256 stretches of the order of hashes, numbered each
+        fresh = distinct.select("doc_hash").join(known, "doc_hash", "left_anti").withColumn("part", part)
+        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ahead = fresh.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+        within = F.row_number().over(Window.partitionBy("part").orderBy("doc_hash"))
+        numbered = fresh.withColumn("within", within).join(F.broadcast(ahead), "part").select("doc_hash", (F.lit(last) + F.col("before") + F.col("within")).alias("doc_id"))  # at most 256 rows
+        return distinct.join(known.unionByName(numbered), "doc_hash")
+
+    def _set_status(self, registered: DataFrame, statistics: DataFrame | None) -> None:
+        """`processing` without statistics, else `done` or `failed` with the number of characters; names, times and, if none is given, that number stay."""
+        old = self.table("documents").select(F.col("id").alias("doc_id"), F.col("doc_name").alias("old_name"), F.col("create_time").alias("old_time"), F.col("total_chars").alias("old_chars"))
+        found = registered.join(old, "doc_id", "left")
+        if statistics is None:
+            status, error, chars = F.lit("processing"), F.lit(None).cast("string"), F.col("old_chars")
+        else:
+            found = found.join(statistics, "doc_id")
+            status, error, chars = F.when(F.col("error").isNull(), "done").otherwise("failed"), F.col("error"), F.coalesce("total_chars", "old_chars")
+        rows = found.select(
+            F.col("doc_id").alias("id"), F.coalesce("old_name", "doc_name").alias("doc_name"), F.lit("docx").alias("doc_type"), "doc_hash",
+            status.alias("status"), error.alias("error_msg"), chars.alias("total_chars"), F.coalesce("old_time", F.current_timestamp()).alias("create_time"),
+        )
+        self._replace("documents", cut(rows), registered.select(F.col("doc_id").alias("doc")), "id")
 
     def add(self, files: DataFrame, decide: Decider | None = decisions.rule_decisions) -> DataFrame:
-        """Ingest files (doc_name, doc_hash, content) and give their statistics; the same bytes again replace what they made before."""
+        """Ingest files (path, content, doc_name, doc_hash) and give their statistics; the same bytes again replace what they made before."""
+        began = time.monotonic()
         registered = cut(self.register(files))  # what follows rewrites the tables that it came from
-        found: Ingested = ingest(registered.select("doc_id", "content"), decide)
+        self._set_status(registered, None)
+        contents = files.join(registered.select("path", "doc_hash", "doc_id"), ["path", "doc_hash"]).select("doc_id", "content")
+        found: Ingested = ingest(contents, decide)
         statistics = cut(found.statistics)
         ids = registered.select(F.col("doc_id").alias("doc"))
-        for name, rows in (("chapters", found.chapters), ("tables", found.tables), ("cells", found.cells)):
+        indexed = found.chapters.join(statistics.where("error is null").select("doc_id"), "doc_id", "left_semi").persist()
+        keyed = indexed.select(F.col("id"), "doc_id")
+        parts = {"chapters": indexed, "tables": found.tables, "cells": found.cells, "grams": search.postings(indexed).join(keyed, "id"), "lengths": search.lengths(indexed).join(keyed, "id")}
+        for name, rows in parts.items():
             self._replace(name, rows, ids, "doc_id")
-        old = self.table("documents").select(F.col("id").alias("doc_id"), F.col("doc_name").alias("old_name"), F.col("create_time").alias("old_time"))
-        rows = registered.join(statistics, "doc_id").join(old, "doc_id", "left").select(
-            F.col("doc_id").alias("id"), F.coalesce("old_name", "doc_name").alias("doc_name"), F.lit("docx").alias("doc_type"), "doc_hash",
-            F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), F.col("error").alias("error_msg"), "total_chars", F.coalesce("old_time", F.current_timestamp()).alias("create_time"),
-        )
-        self._replace("documents", rows, ids, "id")
-        return statistics
+        self._set_status(registered, statistics)
+        indexed.unpersist()
+        return statistics.withColumn("elapsed_seconds", F.lit(round(time.monotonic() - began, 3)))
 
     def add_folder(self, folder: str, decide: Decider | None = decisions.rule_decisions) -> DataFrame:
         return self.add(read_files(self.spark, folder), decide)
@@ -84,7 +121,7 @@ class Store:
     # message logs
     def log(self, thread: str, messages: list[dict]) -> None:
         """Append a thread's messages, in order."""
-        rows = [(thread, k, m["role"], m["content"]) for k, m in enumerate(messages)]
+        rows = [(thread, k, m["role"], m["content"], m.get("call_id")) for k, m in enumerate(messages)]
         self.spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(f"{self.path}/messages")
 
     def thread(self, thread: str) -> DataFrame:
@@ -97,22 +134,25 @@ class Store:
         return catalog.listing(self.table("documents"), self.table("chapters"), self.table("tables"))
 
     def stats(self, doc_id: int) -> DataFrame:
-        return catalog.stats(self.table("chapters").where(F.col("doc_id") == doc_id), self.table("tables"))
+        return catalog.stats(self.table("chapters", doc_id), self.table("tables", doc_id))
 
     def map(self, doc_id: int) -> DataFrame:
-        return catalog.document_map(self.table("chapters").where(F.col("doc_id") == doc_id))
+        return catalog.document_map(self.table("chapters", doc_id))
 
     def tree(self, doc_id: int) -> DataFrame:
-        return catalog.tree_lines(self.table("chapters").where(F.col("doc_id") == doc_id)).orderBy("order_num")
+        return catalog.tree_lines(self.table("chapters", doc_id)).orderBy("order_num")
 
     def page(self, chapter_id: int, max_chars: int = 4000, offset: int = 0) -> DataFrame:
-        return catalog.chapter_page(self.table("chapters").where(F.col("id") == chapter_id), max_chars, offset)
+        return catalog.chapter_page(self.table("chapters", chapter_id // PER_DOCUMENT).where(F.col("id") == chapter_id), max_chars, offset)
 
     def children(self, chapter_id: int) -> DataFrame:
-        return catalog.children(self.table("chapters")).where(F.col("parent_id") == chapter_id).orderBy("order_num")
+        return catalog.children(self.table("chapters", chapter_id // PER_DOCUMENT)).where(F.col("parent_id") == chapter_id).orderBy("order_num")
 
     def search(self, doc_id: int, keywords: str, chapter_id: int | None = None, top_k: int = 5) -> DataFrame:
-        return search.search_content(self.table("chapters"), keywords, doc_id, chapter_id, top_k)
+        """Ranked by statistics of the whole store, from its stored postings and lengths; short terms scan the document's own chapters."""
+        plain = any(len(t) < search.SHORTEST_INDEXED for t in search.split_terms(keywords))
+        chapters = self.table("chapters", doc_id if plain else None)
+        return search.search_content(chapters, keywords, doc_id, chapter_id, top_k, (self.table("grams"), self.table("lengths")))
 
     def find(self, doc_id: int, keywords: str) -> DataFrame:
-        return search.find_title(self.table("chapters"), keywords, doc_id)
+        return search.find_title(self.table("chapters", doc_id), keywords, doc_id)

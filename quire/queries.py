@@ -6,6 +6,7 @@ needs from them: lines of documents as paragraphs, line lengths as formatting.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,9 @@ from pyspark.sql.window import Window
 
 from quire.functions import numbers, text
 from quire.operators import catalog, cleaning, decisions, features, grids, numbering, search, sections, tree
+from quire.plans import ingest, store
+from quire.plans.shared import shared_folder
+from quire.sources import docx, docx_writer
 
 PREFIXES = ("第一章", "1.2", "（三）", "2、", "①")
 
@@ -151,18 +155,9 @@ _HEAD_SQL = "(['第二章 ', '十、', '（3）', '2.1 ', '3.4.2', '12、', '7.'
 _MANUAL = r"^\s*(第[一二三四五六七八九十百千0-9]+[章节条款部分]|[一二三四五六七八九十百千]+、|[（(][一二三四五六七八九十百千0-9]+[）)]|\d+(?:\.\d+)+|\d+(?:\.\d+)*[、.．\s（(]|[①②③④⑤⑥⑦⑧⑨⑩])"
 
 
-@query(f"""with x as (select doc_id, {_HEAD_SQL} || split_part(text, chr(10), 1) t from documents), y as (select doc_id, t, nullif(regexp_extract(t, '{_MANUAL}', 1), '') p from x)
- select doc_id, trim(p) number_prefix, case when p is not null then trim(substr(t, length(p) + 1)) end title from y""")
-def manual_prefix_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("doc_id") % 10 + 1).cast("int"))
-    t = F.concat(head, F.substring_index("text", "\n", 1))
-    return table(spark, sf_dir, "documents").select("doc_id", text.manual_prefix(t).alias("number_prefix"), text.after_prefix(t).alias("title"))
-
-
 @query(f"""with {LINES}, x as (select doc_id, seq, {_HEAD_SQL.replace('doc_id', 'seq')} || text t from lines), y as (select doc_id, seq, t, nullif(regexp_extract(t, '{_MANUAL}', 1), '') p from x)
  select doc_id, seq, trim(p) number_prefix, case when p is not null then trim(substr(t, length(p) + 1)) end title from y""")
-def manual_prefix_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line; manual_prefix_split has the first of each document."""
+def manual_prefix_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("seq") % 10 + 1).cast("int"))
     t = F.concat(head, "text")
     return lines(spark, sf_dir).select("doc_id", "seq", text.manual_prefix(t).alias("number_prefix"), text.after_prefix(t).alias("title"))
@@ -221,17 +216,11 @@ def _numbered(spark: SparkSession, events: DataFrame) -> DataFrame:
     return numbering.render(items, levels).select("doc_id", F.col("order").alias("event_id"), "number_text")
 
 
-@query("""with e as (select user_id doc_id, event_id, 1 + event_id % 2 num_id, case event_type when 'view' then 2 when 'click' then 1 when 'purchase' then 0 else 3 end ilvl from events where event_id % 5 <> 4),
+@query("""with e as (select user_id doc_id, event_id, 1 + event_id % 2 num_id, case event_type when 'view' then 2 when 'click' then 1 when 'purchase' then 0 else 3 end ilvl from events),
  a as (select *, count(*) filter (where ilvl < 1) over w g1, count(*) filter (where ilvl < 2) over w g2, count(*) filter (where ilvl < 3) over w g3, count(*) filter (where ilvl = 0) over w n0 from e window w as (partition by doc_id, num_id order by event_id)),
  b as (select *, greatest(1, count(*) filter (where ilvl = 1) over (partition by doc_id, num_id, g1 order by event_id)) n1, greatest(1, count(*) filter (where ilvl = 2) over (partition by doc_id, num_id, g2 order by event_id)) n2, count(*) filter (where ilvl = 3) over (partition by doc_id, num_id, g3 order by event_id) n3 from a)
  select doc_id, event_id, case ilvl when 0 then 'A' || greatest(1, n0) when 1 then greatest(1, n0) || '.' || n1 when 2 then greatest(1, n0) || '.' || n1 || '.' || case when n2 <= 10 then substr('①②③④⑤⑥⑦⑧⑨⑩', n2::int, 1) else '(' || n2 || ')' end else '[' || (4 + greatest(1, n3)) || ']' end number_text from b""")
 def numbering_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four fifths of the events only; numbering_render_whole numbers all."""
-    return _numbered(spark, table(spark, sf_dir, "events").where("event_id % 5 <> 4"))
-
-
-@query(ORACLE_SQL["numbering_render"].replace(" where event_id % 5 <> 4", ""))
-def numbering_render_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, table(spark, sf_dir, "events"))
 
 
@@ -362,24 +351,13 @@ def _markdown(cells: DataFrame, total_cols: Column) -> DataFrame:
     return grids.to_markdown(grid).select("doc_id", "markdown")
 
 
-@query(f"""with {_CELLS}, e as (select doc_id, dense_rank() over (partition by doc_id order by seq) - 1 r, unnest(range(col_span)) k, content, cell_pos from sp where cell_pos < 6),
- c as (select doc_id, r, row_number() over (partition by doc_id, r order by cell_pos, k) - 1 col, content from e),
- d as (select doc_id, max(r) + 1 n_rows from c group by 1),
- g as (select d.doc_id, rr.r, kk.col from d, lateral (select unnest(range(n_rows)) r) rr, (select unnest(range(4)) col) kk),
- l as (select g.doc_id, g.r, '| ' || string_agg(coalesce(c.content, ''), ' | ' order by g.col) || ' |' line from g left join c on c.doc_id = g.doc_id and c.r = g.r and c.col = g.col group by g.doc_id, g.r)
- select doc_id, string_agg(case when r = 0 then line || chr(10) || '| --- | --- | --- | --- |' else line end, chr(10) order by r) markdown from l group by doc_id""")
-def grid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first columns of each table only; grid_markdown_whole has all."""
-    return _markdown(_cells(spark, sf_dir).where("cell_pos < 6"), F.lit(4))
-
-
 @query(f"""with {_CELLS}, e as (select doc_id, dense_rank() over (partition by doc_id order by seq) - 1 r, unnest(range(col_span)) k, content, cell_pos from sp),
  c as (select doc_id, r, row_number() over (partition by doc_id, r order by cell_pos, k) - 1 col, content from e),
  d as (select doc_id, max(r) + 1 n_rows, max(col) + 1 n_cols from c group by 1),
  dr as (select doc_id, n_cols, unnest(range(n_rows)) r from d), g as (select doc_id, n_cols, r, unnest(range(n_cols)) col from dr),
  l as (select g.doc_id, g.r, any_value(g.n_cols) n_cols, '| ' || string_agg(coalesce(c.content, ''), ' | ' order by g.col) || ' |' line from g left join c on c.doc_id = g.doc_id and c.r = g.r and c.col = g.col group by g.doc_id, g.r)
  select doc_id, string_agg(case when r = 0 then line || chr(10) || '|' || repeat(' --- |', n_cols::int) else line end, chr(10) order by r) markdown from l group by doc_id""")
-def grid_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _markdown(_cells(spark, sf_dir), F.max(F.col("col_idx") + F.col("col_span")))
 
 
@@ -388,12 +366,12 @@ def mock_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.rule_decisions(candidates(spark, sf_dir))
 
 
-@query(f"""with {NODES}, d as (select doc_id, seq, seq idx, raw is not null is_title, raw + 7 as level from c where not (doc_id % 3 = 0 and seq = 0)),
+@query(f"""with {NODES}, d as (select doc_id, seq, seq idx, raw is not null is_title, raw + 7 as level from c where n % 29 <> 0),
  ok as (select c.doc_id from c left join d on c.doc_id = d.doc_id and c.seq = d.idx group by 1 having count(*) = count(d.idx))
  select doc_id, idx, is_title, case when is_title then greatest(1, least(9, level)) end::int as level from d where doc_id in (select doc_id from ok)""")
 def decisions_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
-    made = c.where("not (doc_id % 3 = 0 and para_index = 0)").select("doc_id", F.col("para_index").alias("seq"), F.col("para_index").alias("idx"), F.col("is_anchor").alias("is_title"), (F.col("suggested_level") + 7).alias("level"))
+    made = c.where("length(text) % 29 <> 0").select("doc_id", F.col("para_index").alias("seq"), F.col("para_index").alias("idx"), F.col("is_anchor").alias("is_title"), (F.col("suggested_level") + 7).alias("level"))
     again = made.withColumn("seq", F.col("seq") + 100_000).withColumn("level", F.lit(1))  # later answers to the same question don't count
     return decisions.validate(made.unionByName(again), c)
 
@@ -408,3 +386,201 @@ def toc_region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.when(n % 9 == 0, F.array(F.lit(1))).when(n % 4 == 0, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
     items = lines(spark, sf_dir).select("doc_id", "seq", F.lit("p").alias("kind"), "text", (n % 9 == 0).alias("is_toc"), event.alias("fld_events"))
     return cleaning.contents_regions(items).select("doc_id", "seq", "in_contents")
+
+
+# whole files: documents written as word-processor files and read again
+_STYLES = (("S0", "body text", None, 21, None, None, 200), ("S1", "heading 2", "S0", None, True, 1, None), ("S2", "own", "S1", None, None, None, None), ("S3", "own too", "S2", None, None, None, None), ("S4", "far off", "S3", None, None, None, None))
+PRINTABLE = "regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each document: formatting by the lengths of its lines, a one-row table for each line with a bar."""
+    n = F.length("text")
+    rows = lines(spark, sf_dir).select(
+        "doc_id", "seq", "text", F.concat(F.lit("S"), (n % 5).cast("string")).alias("style_id"), F.when(n % 3 == 0, 18 + n % 4).alias("size"), F.when(n % 4 < 2, n % 4 == 0).alias("bold"),
+        F.when(n % 11 == 0, n % 5).alias("outline"), F.when(n % 2 == 0, 1).alias("list_id"), F.when(n % 2 == 0, n % 3).alias("level"), F.when(n % 7 == 0, 100 * (n % 3)).alias("first_chars"),
+        F.when(F.col("text").contains("|"), F.split("text", r"\|")).alias("cells"),
+    )
+    styles = [docx_writer.style(s, name, base, size, bold, outline, first_chars=chars) for s, name, base, size, bold, outline, chars in _STYLES]
+    kind = docx_writer.list_kind(5, ("decimal", "A%1"), ("lowerRoman", "%1.%2"), ("decimal", "%1.%2.%3"), restarts={1: 2})
+    return docx_writer.write_files(rows, styles, [kind, docx_writer.list_of(1, 5, {0: 3})])
+
+
+@query(f"with {LINES} select doc_id, seq, {PRINTABLE} text from lines where not contains(text, '|')")
+def docx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = docx.parse_files(_files(spark, sf_dir)).select("doc_id", F.inline("items"))
+    return items.where("kind = 'p'").select("doc_id", "seq", "text")
+
+
+@query(f"""with {LINES}, x as (select doc_id, seq, unnest(range(len(a)))::int col_idx, trim(unnest(a)) as content, len(a)::int total_cols from (select doc_id, seq, string_split({PRINTABLE}, '|') a from lines where contains(text, '|')))
+ select doc_id, seq, 0 row_idx, col_idx, 1 row_span, 1 col_span, content, 1 total_rows, total_cols from x""")
+def docx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = docx.parse_files(_files(spark, sf_dir)).select("doc_id", F.inline("items")).where("kind = 'tbl'")
+    cells = items.select("doc_id", "seq", "total_rows", "total_cols", F.inline("cells"))
+    return cells.select("doc_id", "seq", "row_idx", "col_idx", "row_span", "col_span", F.trim("content").alias("content"), "total_rows", "total_cols")
+
+
+_OWN = f"""{LINES}, p as (select doc_id, seq, text, length(text) n, trim({PRINTABLE}) <> '' written from lines where not contains(text, '|')),
+ ff as (select *, n % 5 st, coalesce(case when written and n % 3 = 0 then 18 + n % 4 end, case when n % 5 < 3 then 21 end)::int font, coalesce(case when written and n % 4 < 2 then n % 4 = 0 end, n % 5 in (1, 2, 3)) bold,
+ case when n % 7 = 0 then (n % 3)::double when n % 5 < 3 then 2::double end ind, coalesce(case when n % 11 = 0 then n % 5 end, case when n % 5 in (1, 2, 3) then 1 end)::int outline from p)"""
+
+
+@query(f"""with {_OWN} select doc_id, seq, ['body text', 'heading 2', 'own', 'own too', 'far off'][1 + st] style_name, font font_size_halfpt, bold, ind first_line_indent_chars, outline outline_lvl, n % 2 = 0 has_numpr,
+ case when n % 2 = 0 then 1 end::int num_id, case when n % 2 = 0 then n % 3 end::int ilvl, false mixed_run_fmt from ff""")
+def docx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = docx.parse_files(_files(spark, sf_dir)).persist()
+    items = parsed.select("doc_id", F.inline("items")).where("kind = 'p'").select("doc_id", "seq", "text", "style_id", "ppr", "runs")
+    found = features.resolve_features(items, parsed.select("doc_id", F.inline("styles")))
+    return found.select("doc_id", "seq", "style_name", "font_size_halfpt", "bold", "first_line_indent_chars", "outline_lvl", "has_numpr", "num_id", "ilvl", "mixed_run_fmt")
+
+
+_ROMAN_I = "case when {0} < 10 then (['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'])[1 + {0}] else repeat('m', ({0} // 1000)::int) || (['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'])[1 + {0} // 100 % 10] || (['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'])[1 + {0} // 10 % 10] || (['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'])[1 + {0} % 10] end"
+
+
+@query(f"""with {LINES}, e as (select doc_id, seq, length(text) % 3 l from lines where length(text) % 2 = 0 and not contains(text, '|')),
+ a as (select *, 2 + greatest(1, count(*) filter (where l = 0) over (partition by doc_id order by seq)) n0, count(*) filter (where l in (0, 2)) over (partition by doc_id order by seq) g1, count(*) filter (where l < 2) over (partition by doc_id order by seq) g2 from e),
+ b as (select *, greatest(1, count(*) filter (where l = 1) over (partition by doc_id, g1 order by seq)) n1, greatest(1, count(*) filter (where l = 2) over (partition by doc_id, g2 order by seq)) n2 from a)
+ select doc_id, seq, case l when 0 then 'A' || n0 when 1 then n0 || '.' || {_ROMAN_I.format('n1')} else n0 || '.' || {_ROMAN_I.format('n1')} || '.' || n2 end number_text from b""")
+def docx_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of files, with a start of their own and a level that a lower one restarts."""
+    parsed = docx.parse_files(_files(spark, sf_dir)).persist()
+    items = parsed.select("doc_id", F.inline("items")).where("ppr.num_id > 0").select("doc_id", F.col("seq").alias("order"), "ppr.num_id", F.coalesce("ppr.ilvl", F.lit(0)).alias("ilvl"))
+    found = numbering.render(items, parsed.select("doc_id", F.inline("levels")))
+    return found.select("doc_id", F.col("order").alias("seq"), "number_text")
+
+
+def _plain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each document: short lines are headings with an outline level by their length, no other formatting."""
+    n, none = F.length("text"), F.lit(None)
+    rows = lines(spark, sf_dir).select(
+        "doc_id", "seq", "text", none.cast("string").alias("style_id"), none.cast("int").alias("size"), none.cast("boolean").alias("bold"), F.when(n <= 50, n % 5).alias("outline"),
+        none.cast("int").alias("list_id"), none.cast("int").alias("level"), none.cast("int").alias("first_chars"), none.cast("array<string>").alias("cells"),
+    )
+    return docx_writer.write_files(rows)
+
+
+_BOOK = f"""{LINES}, w as (select doc_id, seq, {PRINTABLE} text, length(text) n from lines where trim({PRINTABLE}) <> ''),
+ k as (select *, row_number() over (partition by doc_id order by seq) - 1 i, 1 + n % 5 raw from w where n <= 50),
+ lv(doc_id, i, level) as (select doc_id, i, raw from k where i = 0 union all select k.doc_id, k.i, least(k.raw, lv.level + 1) from lv join k on k.doc_id = lv.doc_id and k.i = lv.i + 1),
+ t as (select k.*, lv.level as level from k join lv using (doc_id, i)),
+ pa as (select a.doc_id, a.i, max(b.i) parent from t a left join t b on a.doc_id = b.doc_id and b.i < a.i and b.level < a.level group by a.doc_id, a.i),
+ s as (select w.doc_id, w.seq, w.text, k.i, last_value(k.i ignore nulls) over (partition by w.doc_id order by w.seq) as section from w left join k on k.doc_id = w.doc_id and k.seq = w.seq),
+ co as (select doc_id, section as i, string_agg(trim(text), chr(10) order by seq) as content from s where i is null and section is not null group by doc_id, section),
+ nd as (select t.*, parent, coalesce(content, '') as content, (raw > level or min(level) over (partition by doc_id) <> max(level) over (partition by doc_id))::int needs_review from t join pa using (doc_id, i) left join co using (doc_id, i))"""
+
+
+@query(f"""with recursive {_BOOK} select doc_id, i::int order_num, level::int as level, trim(text) title, case when parent is null then 0 else doc_id * 4294967296 + parent + 1 end::bigint parent_id, content, length(content)::int content_chars, needs_review, 'rule' source,
+ case when needs_review = 1 then 0.5::double else 1::double end confidence from nd""")
+def ingest_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files from bytes to chapters."""
+    found = ingest.ingest(_plain_files(spark, sf_dir)).chapters
+    return found.select("doc_id", "order_num", "level", F.trim("title").alias("title"), "parent_id", "content", "content_chars", "needs_review", "source", "confidence")
+
+
+@query(f"""with recursive {_BOOK} select d.doc_id, coalesce(total_paragraphs, 0) total_paragraphs, coalesce(total_chars, 0) total_chars, coalesce(candidates, 0) candidates, coalesce(candidates, 0) anchors, 0::bigint pending, coalesce(candidates, 0) chapters, coalesce(needs_review, 0)::bigint needs_review, 0::bigint as tables
+ from documents d left join (select doc_id, count(*) total_paragraphs, sum(length(text))::bigint total_chars from w group by 1) using (doc_id) left join (select doc_id, count(*) candidates, sum(needs_review) needs_review from nd group by 1) using (doc_id)""")
+def ingest_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ingest(_plain_files(spark, sf_dir)).statistics.drop("error")
+
+
+def _store(spark: SparkSession, sf_dir: str) -> store.Store:
+    """All documents in a store of their own in the shared folder, one file twice."""
+    made = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    files = _plain_files(spark, sf_dir).select(F.format_string("doc-%d.docx", "doc_id").alias("doc_name"), "content").withColumn("path", F.col("doc_name")).withColumn("doc_hash", F.sha2("content", 256))
+    made.add(files.persist())
+    return made
+
+
+_FILES = "fi as (select min(doc_id) doc_id, any_value(text) text from documents group by text)"
+
+
+@query(f"""with recursive {_BOOK}, {_FILES.replace('min(doc_id) doc_id', "min('doc-' || doc_id || '.docx') doc_name, any_value(doc_id) doc_id")} select doc_name, 'done' status, coalesce(total_chars, 0) total_chars, coalesce(chapter_count, 0) chapter_count, 0::bigint table_count
+ from fi left join (select doc_id, sum(length(text))::bigint total_chars from w group by 1) using (doc_id) left join (select doc_id, count(*) chapter_count from nd group by 1) using (doc_id)""")
+def store_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with equal bytes are one document, under the least name."""
+    return _store(spark, sf_dir).listing().select("doc_name", "status", "total_chars", "chapter_count", "table_count")
+
+
+@query(f"""with recursive {_BOOK}, {_FILES.replace('min(doc_id) doc_id', "min('doc-' || doc_id || '.docx') doc_name, any_value(doc_id) doc_id")}, x as (select doc_name, i, lower(trim(nd.text) || ' ' || content) t from nd join fi using (doc_id)), f as (select doc_name, i, greatest(0, length(t) - 2) d, (length(t) - length(replace(t, 'the', ''))) // 3 f0, (length(t) - length(replace(t, 'tion', ''))) // 4 f1 from x),
+ st as (select count(*) n, avg(d) a, count(*) filter (where f0 > 0) d0, count(*) filter (where f1 > 0) d1 from f)
+ select doc_name, i::int order_num, round(-(case when ln((n - d0 + 0.5) / (d0 + 0.5)) <= 0 then 1e-6 else ln((n - d0 + 0.5) / (d0 + 0.5)) end * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * d / a)) + case when ln((n - d1 + 0.5) / (d1 + 0.5)) <= 0 then 1e-6 else ln((n - d1 + 0.5) / (d1 + 0.5)) end * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * d / a))), 9) as rank from f, st where f0 > 0 and f1 > 0""")
+def store_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked search through the stored index."""
+    made, terms = _store(spark, sf_dir), ["the", "tion"]
+    totals = made.table("lengths").agg(F.count("*").alias("__n"), F.avg("length").alias("__avg"))
+    ranked = search.bm25(search.with_any_term(made.table("chapters"), made.table("grams"), terms), terms, totals)
+    names = made.table("documents").select(F.col("id").alias("doc_id"), "doc_name")
+    return ranked.join(names, "doc_id").select("doc_name", "order_num", F.round("rank", 9).alias("rank"))
+
+
+@query(f"""with recursive {NODES}, m as (select *, raw as lvl, row_number() over (partition by doc_id order by seq) - 1 pos, count(*) over (partition by doc_id) total from c),
+ nx as (select *, coalesce(max(case when lvl = 1 then pos end) over (partition by doc_id order by pos rows between 1 following and 4 following), least(total, pos + 4)) nxt from m),
+ b(doc_id, pos) as (select distinct doc_id, 0::bigint from nx union all select nx.doc_id, nx.nxt from b join nx on nx.doc_id = b.doc_id and nx.pos = b.pos where nx.nxt < nx.total and nx.total > 4)
+ select m.doc_id, m.seq para_index, (count(*) - 1)::int chunk from m join b on b.doc_id = m.doc_id and b.pos <= m.pos group by m.doc_id, m.seq""")
+def decisions_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.chunks(candidates(spark, sf_dir), 4).select("doc_id", "para_index", "chunk")
+
+
+@query(f"""with {LINES} select doc_id, seq idx, coalesce({PREFIX_SQL.format('length(text)')}, '') number_prefix, substr(text, 1, 40) title, length(text) % 2 = 0 bold, (18 + 3 * (length(text) % 3))::varchar font_size,
+ case when length(text) % 7 <> 0 then (1 + length(text) % 5)::varchar else '' end suggested_level from lines where length(text) <= 50""")
+def decisions_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = "idx int, number_prefix string, title string, bold boolean, font_size string, suggested_level string"
+    return decisions.requests(candidates(spark, sf_dir)).select("doc_id", F.from_json("payload", kinds).alias("p")).select("doc_id", "p.*")
+
+
+@query(f"""with {NODES}, d as (select *, n % 3 <> 0 said, case when n % 4 <> 0 then 1 + n % 6 end lvl, n % 10 <> 9 has from c)
+ select doc_id, seq para_index, (case when has then lvl else raw end)::int raw_level, case when has then said else raw is not null end is_node,
+ case when has and said and ((raw is not null and lvl <> raw) or lvl is null) then 1 else 0 end::int needs_review, case when has and said and ((raw is not null and lvl <> raw) or lvl is null or raw is null) then 'llm' else 'rule' end source from d""")
+def tree_levels_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels and flags where a decider has spoken about nine tenths of the candidates."""
+    c, n = candidates(spark, sf_dir), F.length("text")
+    said = c.where(n % 10 != 9).select("doc_id", F.col("para_index").alias("idx"), (n % 3 != 0).alias("is_title"), F.when(n % 4 != 0, (1 + n % 6).cast("int")).alias("level"))
+    return tree.resolve_levels(c, said).select("doc_id", "para_index", "raw_level", "is_node", "needs_review", "source")
+
+
+@query(f"""with {CHAPTERS}, x as (select id, title || ' ' || content t from ch where contains(lower(title || ' ' || content), 'the') and contains(lower(title || ' ' || content), 'tion')),
+ y as (select id, t, greatest(0, least(strpos(lower(t), 'the') - 1, length(t) - 14)) s from x)
+ select id, case when s > 0 then '…' else '' end || regexp_replace(substr(t, s + 1, 14), '(?i)(tion|the)', '【\\1】', 'g') || case when s + 14 < length(t) then '…' else '' end hit from y""")
+def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ch = chapters(spark, sf_dir).where(search.match(search.indexed_text(), ["the", "tion"]))
+    return ch.select("id", search.snippet(search.indexed_text(), ["the", "tion"]).alias("hit"))
+
+
+@query(f"with {CHAPTERS} select id, chapter_path, title from ch where (contains(lower(content), 'ou') or contains(lower(title), 'ou')) and (contains(lower(content), 'the') or contains(lower(title), 'the')) order by order_num limit 30")
+def search_short_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One term is too short for the index, so the query is a plain search in document order."""
+    return search.search_content(chapters(spark, sf_dir), "ou the", top_k=30).select("id", "chapter_path", "title")
+
+
+_NAMES = ("heading 3", "标题 2", "Heading1", "heading x", "  heading  12 ", "正文", "heading")
+
+
+@query("""select doc_id, (case doc_id % 7 when 0 then 3 when 1 then 2 when 2 then 1 when 4 then 12 else case when doc_id % 2 = 0 then 4 end end)::int as level from documents""")
+def style_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels that style names state, else style ids."""
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.style_level(name, F.when(F.col("doc_id") % 2 == 0, "heading 4")).alias("level"))
+
+
+@query(f"""with {LINES}, x as (select doc_id, seq, {_HEAD_SQL.replace('doc_id', 'seq')} || text t from lines), y as (select doc_id, seq, trim(nullif(regexp_extract(t, '{_MANUAL}', 1), '')) p from x)
+ select doc_id, seq, case when p is null then '无' when regexp_matches(p, '^第.+?(部分|[章节条款])$') then '第#' || regexp_extract(p, '^第.+?(部分|[章节条款])$', 1) when regexp_matches(p, '^[（(].+[）)]$') then '（#）'
+ when regexp_matches(p, '^\\d+(\\.\\d+)+$') then '#' || repeat('.#', len(string_split(p, '.')) - 1) when regexp_matches(p, '^\\d+\\.$') then '#.' when suffix(p, '、') then '#、' when length(p) = 1 and contains('①②③④⑤⑥⑦⑧⑨⑩', p) then '①' else p end pattern from y""")
+def number_pattern_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("seq") % 10 + 1).cast("int"))
+    return lines(spark, sf_dir).select("doc_id", "seq", text.number_pattern(text.manual_prefix(F.concat(head, "text"))).alias("pattern"))
+
+
+@query(f"""with {_CELLS}, v as (select doc_id, seq, cell_pos, content, case (length(content) + seq) % 3 when 0 then 'restart' when 1 then 'continue' end vmerge from ce),
+ o as (select *, max(case when vmerge = 'restart' then seq end) over (partition by doc_id, cell_pos order by seq rows between unbounded preceding and 1 preceding) source from v),
+ u as (select doc_id, source seq, cell_pos, count(*) parts from o where vmerge = 'continue' and source is not null group by all)
+ select o.doc_id, o.seq row_idx, o.cell_pos col_idx, (1 + coalesce(parts, 0))::int row_span from o left join u on u.doc_id = o.doc_id and u.seq = o.seq and u.cell_pos = o.cell_pos where not (coalesce(vmerge, '') = 'continue' and source is not null)""")
+def grid_merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that continue the last restarted cell above in their column."""
+    kind = (F.length("content") + F.col("row_idx")) % 3
+    cells = _cells(spark, sf_dir).withColumn("col_span", F.lit(1)).withColumn("vmerge", F.when(kind == 0, "restart").when(kind == 1, "continue"))
+    return grids.merge_rows(grids.place_cells(cells, ["doc_id"]), ["doc_id"]).select("doc_id", "row_idx", "col_idx", "row_span")
+
+
+#: Earlier names of queries that then read less and now are one with these.
+for _name, _of in (("numbering_render_whole", "numbering_render"), ("grid_markdown_whole", "grid_markdown"), ("manual_prefix_split_whole", "manual_prefix_split")):
+    QUERIES[_name], ORACLE_SQL[_name] = QUERIES[_of], ORACLE_SQL[_of]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tomllib
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 PREFIX = "QUIRE_"
@@ -18,6 +18,11 @@ class Settings:
     full_map: int = 300
     rounds: int = 6
     decider: str = "rule"
+    base_url: str = "http://localhost:8000/v1"
+    model: str = "default"
+    seconds: float = 60.0
+    api_key: str = field(default="", repr=False, metadata={"secret": True})
+    authorization: str = field(default="", repr=False, metadata={"secret": True})
 
 
 def load_settings(path: str | None = None, environment: dict[str, str] | None = None) -> Settings:
@@ -27,7 +32,7 @@ def load_settings(path: str | None = None, environment: dict[str, str] | None =
     found = {}
     for f in fields(Settings):
         value = env.get(PREFIX + f.name.upper())
-        if value is None:
+        if value is None and not f.metadata.get("secret"):
             value = stated.get(f.name)
         if value not in (None, ""):
             found[f.name] = type(f.default)(value)

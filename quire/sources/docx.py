@@ -121,16 +121,18 @@ def _numbering(root: ElementTree.Element | None) -> tuple[list[dict], list[dict]
     if root is None:
         return [], []
     kinds = {_int(a.get(W + "abstractNumId")): [(i, x) for x in a.findall(W + "lvl") if (i := _int(x.get(W + "ilvl"))) is not None] for a in root.findall(W + "abstractNum")}
-    levels, first_list = [], {}
+    by_list, first_list = {}, {}  # of repeated lists and levels the last holds
     for num in root.findall(W + "num"):
         num_id, kind = _int(num.get(W + "numId")), _int(_val(num, "abstractNumId"))
         if num_id is None or kind is None:
             continue
         first_list.setdefault(kind, num_id)
+        by_list[num_id] = own = {}
         starts = {_int(o.get(W + "ilvl")): _int(_val(o, "startOverride")) for o in num.findall(W + "lvlOverride")}
         for ilvl, x in kinds.get(kind, ()):
             start = _int(_val(x, "start"))
-            levels.append({"num_id": num_id, "abstract_id": kind, "ilvl": ilvl, "num_fmt": _val(x, "numFmt") or "decimal", "lvl_text": _val(x, "lvlText") or "", "start": 1 if start is None else start, "start_override": starts.get(ilvl), "lvl_restart": _int(_val(x, "lvlRestart"))})
+            own[ilvl] = {"num_id": num_id, "abstract_id": kind, "ilvl": ilvl, "num_fmt": _val(x, "numFmt") or "decimal", "lvl_text": _val(x, "lvlText") or "", "start": 1 if start is None else start, "start_override": starts.get(ilvl), "lvl_restart": _int(_val(x, "lvlRestart"))}
+    levels = [x for own in by_list.values() for x in own.values()]
     pstyles = {style: {"style_id": style, "num_id": first_list[kind], "ilvl": ilvl} for kind, own in kinds.items() if kind in first_list for ilvl, x in own if (style := _val(x, "pStyle"))}
     return levels, list(pstyles.values())
 

@@ -142,9 +142,6 @@ def test_map_folds(spark):
 
 
 def test_chunks(spark):
-    assert decisions.chunk_bounds([1] * 3) == [0, 3]
-    assert decisions.chunk_bounds([None] * 10, 4) == [0, 4, 8, 10]
-    assert decisions.chunk_bounds([1, 2, 2, 1, 2, 1, 2], 4) == [0, 3, 5, 7]
     rows = spark.createDataFrame([(1, k, (1, 2, 2, 1, 2, 1, 2)[k]) for k in range(7)], "doc_id int, para_index int, suggested_level int")
     assert [r["chunk"] for r in decisions.chunks(rows, 4).orderBy("para_index").collect()] == [0, 0, 0, 1, 1, 2, 2]
 

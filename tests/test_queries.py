@@ -31,18 +31,18 @@ def test_query(spark, name):
 def test_markdown_shows_every_cell(spark):
     line = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id", "explode(split(text, '\\n')) as line").where("line like '%|%'")
     cells = line.selectExpr("doc_id", "explode(split(line, '[|]')) as cell").selectExpr("doc_id", "trim(cell) as cell").where("cell <> ''").distinct().collect()
-    shown = {r["doc_id"]: r["markdown"] for r in QUERIES["grid_markdown_whole"](spark, DATA).collect()}
+    shown = {r["doc_id"]: r["markdown"] for r in QUERIES["grid_markdown"](spark, DATA).collect()}
     assert cells and all(r["cell"] in shown[r["doc_id"]] for r in cells)
 
 
 def test_every_event_is_numbered(spark):
     events = {r["event_id"] for r in spark.read.parquet(f"{DATA}/events.parquet").collect()}
-    assert {r["event_id"] for r in QUERIES["numbering_render_whole"](spark, DATA).where("number_text is not null").collect()} == events
+    assert {r["event_id"] for r in QUERIES["numbering_render"](spark, DATA).where("number_text is not null").collect()} == events
 
 
 def test_every_line_is_split(spark):
     n = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("explode(split(text, '\\n'))").count()
-    assert QUERIES["manual_prefix_split_whole"](spark, DATA).count() == n
+    assert QUERIES["manual_prefix_split"](spark, DATA).count() == n
 
 
 def test_entry(spark):
