@@ -205,6 +205,12 @@ def order_key(doc_id: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return pc.fill_null(doc_id.cast(pa.int64()), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
 
 
+def fits_column(size: int) -> None:
+    """Arrow's strings hold 2 GB a chunk; rather an error than offsets that wrap."""
+    if size >= 1 << 31:
+        raise OverflowError("a chunk's texts exceed 2 GB; give a smaller chunk_bytes")
+
+
 def pack(values: np.ndarray, width: int) -> bytes:
     """Integers as their `width` low bytes, byte planes apart, so that equal high bytes compress well."""
     v = np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8)

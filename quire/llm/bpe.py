@@ -13,9 +13,11 @@ suffix, normalised by NFC and lower case, split by pattern and mapped to byte
 characters. Decoding joins the token strings with spaces, as the file has no
 decoder.
 
-Null text: no tokens. Special tokens in a text become their ids. Repeated rows
-are encoded each. Extra columns are ignored unless carried. An empty table
-gives an empty result.
+Null or empty text: no tokens. Null doc_id: a value like others. Special tokens in
+a text become their ids. Repeated rows are encoded each, alike. Very long texts
+are encoded whole, in a block of their own, and a very long word by merging with
+a heap. Extra columns are ignored unless carried. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations

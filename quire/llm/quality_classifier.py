@@ -11,6 +11,9 @@ Labels are learned from at most `sample` labelled rows (a documented bound),
 those of least hash of doc_id; all documents are scored.
 
 Null or empty texts have no indicators and get the score of an empty text.
+Very long texts are scored whole, in a block of their own. Null doc_id: scored,
+never learned from, not held out. A score that equals the threshold predicts 1;
+equal texts have equal scores. An empty table gives an empty result.
 Repeated rows are scored each. Rows that share a doc_id in the labels count as
 one with the greater label. Without labels of both classes every score is the
 share of label 1 (0.5 without any). Extra columns are ignored.

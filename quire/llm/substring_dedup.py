@@ -12,9 +12,12 @@ a window long and occurred before are removed. Reference shards are the size
 of the corpus together, so they are dealt out by anchor (see `_repeats`)
 instead of being broadcast; equal fragments are collapsed before.
 
-Null text: no words. Null doc_id: after all other documents; rows that share a
-doc_id are taken as one document in the order of their texts. Extra columns
-are ignored. An empty table gives an empty result.
+Null, empty or wordless text: no words. Null doc_id: after all other documents;
+rows that share a doc_id are taken as one document in the order of their texts,
+and one chunk holds them all. Ties: of equal windows the first start stays. Very
+long texts are taken whole; a chunk needs some thirty times the bytes of its
+longest text in memory. Extra columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from quire.llm._repeats import HOT, Fragments, Unit, indexed, owners, repeats, twice
 from quire.llm._rounds import layout, run
-from quire.llm._text import spread
+from quire.llm._text import fits_column, spread
 
 SCHEMA = "n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>"
 
@@ -152,6 +155,7 @@ def _kept_words(buf: np.ndarray, offs: np.ndarray, spans: tuple[np.ndarray, np.n
     drop = np.ones(len(out), bool)
     drop[at[1:][has] - 1] = False  # the space after a document's last word
     offsets = at - np.append(0, np.cumsum(has))
+    fits_column(int(offsets[-1]))
     text = pa.Array.from_buffers(pa.string(), len(first) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out[drop])])
     return pa.table({"n_words": np.diff(first), "n_removed": removed_counts(removed, first), "kept": text, "removed": span_lists(removed, first)})
 

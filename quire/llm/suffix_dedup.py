@@ -12,9 +12,11 @@ and all but those in its first document are removed. Fragments come from
 `_repeats`, which collapses equal ones before; a fragment's edge counts as a
 left context of its own.
 
-Null doc_id: after all other documents. Rows that share a doc_id are one
-document and remove nothing from each other. Extra columns are ignored. An
-empty table gives an empty result.
+Empty text: no bytes. Null doc_id: after all other documents. Rows that share a
+doc_id are one document, held by one chunk, and remove nothing from each other.
+Very long texts are taken whole; a chunk needs some thirty times the bytes of its
+longest text in memory. Extra columns are ignored by suffix_dedup and carried by
+without_repeats, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quire.llm._repeats import HOT, Fragments, Unit, indexed, owners, repeats, twice
 from quire.llm._rounds import layout, plain_names, run
-from quire.llm._text import spread
+from quire.llm._text import fits_column, spread
 from quire.llm.substring_dedup import removed_counts, span_lists
 
 SCHEMA = "n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start:long,end:long>>"
@@ -122,6 +124,7 @@ def array_index(unit: Unit, f: Fragments) -> np.ndarray:
 
 def _kept_bytes(buf: np.ndarray, offs: np.ndarray, spans: object, removed: np.ndarray, first: np.ndarray) -> pa.Table:
     kept = np.append(0, np.cumsum(~removed))[first]
+    fits_column(int(kept[-1]))
     data = pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(buf[~removed] if len(buf) else buf)])
     lists = span_lists(removed, first)
     return pa.table({"n_bytes": np.diff(first), "n_removed": removed_counts(removed, first), "n_spans": np.diff(lists.offsets.to_numpy()).astype(np.int64), "kept": data, "removed": lists})
@@ -134,6 +137,7 @@ def _kept_characters(buf: np.ndarray, offs: np.ndarray, spans: object, removed:
     gone = np.minimum.reduceat(removed, heads) if len(heads) else removed
     keep = ~np.repeat(gone, np.diff(np.append(heads, len(buf))))
     bytes_at = np.append(0, np.cumsum(keep))[first]
+    fits_column(int(bytes_at[-1]))
     chars_at = np.append(0, np.cumsum(keep & lead))[first]
     text = pa.Array.from_buffers(pa.string(), len(first) - 1, [None, pa.py_buffer(bytes_at.astype(np.int32)), pa.py_buffer(buf[keep] if len(buf) else buf)])
     return pa.table({"kept": text, "kept_chars": np.diff(chars_at), "n_bytes": np.diff(first)})
