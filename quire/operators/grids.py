@@ -53,5 +53,7 @@ def to_markdown(grids: DataFrame) -> DataFrame:
     has = "total_rows > 0 and total_cols > 0 and size(cells) > 0"
     steps = {"__header": header, "__places": places, "__shown": shown, "__lines": f"transform({order}, r -> {row})", "markdown": text}
     for name, step in steps.items():
-        grids = grids.withColumn(name, F.expr(f"case when {has} then {step} end"))
+        # a second mention of __shown outside the lambda keeps the optimizer from working it out anew for every row
+        ready = f"{has} and size(__shown) > 0" if name == "__lines" else has
+        grids = grids.withColumn(name, F.expr(f"case when {ready} then {step} end"))
     return grids.withColumn("markdown", F.coalesce("markdown", F.lit(""))).drop(*(x for x in steps if x != "markdown"))

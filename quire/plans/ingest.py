@@ -71,8 +71,10 @@ def ingest(files: DataFrame, decide: Decider | None = decisions.rule_decisions)
     nodes = cut(nodes)
     opens = nodes.select("doc_id", "para_index", F.col("order_num").alias("heading"))
     marked = body.join(opens, ["doc_id", "para_index"], "left")
-    shown = grids.to_markdown(marked.withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<row_idx:int,col_idx:int,row_span:int,col_span:int,content:string,is_header:boolean>>"))))
-    attributed = sections.attribute(shown.where((F.col("kind") == "p") | (F.col("markdown") != "")))
+    filled = marked.withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<row_idx:int,col_idx:int,row_span:int,col_span:int,content:string,is_header:boolean>>")))
+    # tables without cells go before their text is made, since a filter on the text would be evaluated through all its steps
+    shown = grids.to_markdown(filled.where("kind = 'p' or (total_rows > 0 and total_cols > 0 and size(cells) > 0)"))
+    attributed = sections.attribute(shown)
     attributed = attributed.withColumn("text", F.when(F.col("kind") == "p", text.strip(F.col("text"))).otherwise(F.col("markdown")))
     attributed = cut(attributed)
     content = sections.contents(attributed).withColumnRenamed("section", "order_num")
