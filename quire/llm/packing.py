@@ -10,11 +10,12 @@ segment lengths, the position of every token, which starts again at zero with
 every segment, and `resets`, the places where it does. Segments name their
 document and the offset in it. `write_ids` writes the matrices as plain files.
 
-Documents are dealt to buckets of bounded size by a hash of doc_id; each is
-packed on its own, so the loss against packing everything at once is at most a
-few open sequences a bucket. Null or empty texts have no tokens and no segment.
-Null doc_id: a value like others. Repeated rows are packed each; pieces of equal
-size keep the order of ids and texts. Very long texts are cut into as many full
+Documents are dealt to buckets of bounded size by a hash of doc_id and text, so
+that one id or null ids in most rows spread too; each bucket is packed on its
+own, so the loss against packing everything at once is at most a few open
+sequences a bucket. Null or empty texts have no tokens and no segment. Null
+doc_id: a value like others. Repeated rows are packed each, wholly equal ones in
+one bucket; pieces of equal size keep the order of ids and texts. Very long texts are cut into as many full
 pieces as they need. Extra columns are ignored. An empty table gives an empty
 result.
 """
@@ -34,7 +35,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._rounds import by_chunk, clamp, sorted_chunk
+from quire.llm._rounds import clamp, sorted_chunk
 
 SCHEMA = "bucket int, row int, n_tokens int, ids binary, cu_lengths array<int>, positions binary, resets array<int>, segments array<struct<doc_id:long,offset:long,n:int>>"
 
@@ -139,7 +140,9 @@ def packing(docs: DataFrame, vocabulary: str, pattern: str, length: int = 2048,
         tokens = [np.array(encode(t.as_py() or ""), "<u4") for t in table["text"]]
         return pack_documents(bucket, table["doc_id"].to_pylist(), tokens, length, pad)
 
-    return by_chunk(docs, buckets).groupBy("chunk").applyInArrow(work, SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("chunk"), "doc_id", "text")
+    return dealt.groupBy("chunk").applyInArrow(work, SCHEMA)
 
 
 def write_ids(packed: DataFrame, path: str) -> None:

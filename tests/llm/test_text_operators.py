@@ -128,6 +128,16 @@ def test_packing_loses_nothing(spark, docs, rows, nothing, tmp_path):
     assert index == {(r.bucket, r.row): r.cu_lengths for r in sequences}
 
 
+@pytest.mark.parametrize("same", [None, 7])
+def test_one_id_in_most_rows_is_packed_in_many_buckets(spark, rows, same):
+    texts = [t for _, t in rows] + [t for _, t in rows[:5]]
+    packed = packing(frame(spark, [(same, t) for t in texts]), RANKS, public_tokenizers.PATTERN, length=64, bucket_bytes=6000).collect()
+    encode = encoding(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    assert len({r.bucket for r in packed}) > 5 and {s.doc_id for r in packed for s in r.segments} == {same}
+    given = Counter(x for t in texts for x in encode.encode_ordinary(t or ""))
+    assert Counter(x for r in packed for x in np.frombuffer(r.ids, "<u4")[: r.n_tokens].tolist()) == given
+
+
 def test_best_fit_decreasing():
     rnd = random.Random(3)
     for _ in range(200):
