@@ -1,8 +1,10 @@
 """From raw documents to token ids: quality filter, near-duplicate removal, repeat removal, decontamination, encoding.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it
-kept; all but the last return the columns of documents. Rows that share a
-doc_id are one document. A null doc_id is kept like others.
+kept; all but the last return the columns of documents. Extra columns are carried
+through all stages but the last, whatever their names. An empty table gives an
+empty one. Very long texts are worked on whole. What a stage does with nulls,
+ties and repeated rows is stated with it.
 """
 
 from __future__ import annotations
@@ -23,14 +25,22 @@ _SCORE = "__quality_score"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts have one and the same score and go or stay by it. Repeated rows are judged
+    alike; a score that equals the threshold is kept. Labels are not inputs of a score.
+    """
     plain = plain_names(docs, ("doc_id", "text"))
     model = fit(plain, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(plain, model, to=_SCORE).where(F.col(_SCORE) >= QUALITY_THRESHOLD).drop(_SCORE).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that Jaccard links connect, the document of least doc_id."""
+    """Of each group that Jaccard links connect, the document of least doc_id.
+
+    Rows that share a doc_id are one document and go or stay together. Rows without a doc_id stay, as do
+    documents without words. Of equal texts the least doc_id stays.
+    """
     plain = plain_names(docs, ("doc_id", "text"))
     found = jaccard_join(plain)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
@@ -38,17 +48,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the long strings that an earlier one has; those that lose everything go."""
+    """Documents without the long strings that one of smaller doc_id has; those that lose everything go.
+
+    Whole characters are cut. Rows that share a doc_id, or have none, are one document and lose nothing to
+    each other; those without come last. A null text stays null, an empty one empty.
+    """
     return without_repeats(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark.
+
+    Rows are judged each, with or without a doc_id; null and empty texts stay. An empty benchmark removes nothing.
+    """
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the decoded text."""
+    """Token ids of each document, with digests of the ids and of the decoded text.
+
+    A row for each row, with or without a doc_id; null and empty texts have no tokens.
+    """
     found = bpe(docs, VOCABULARY)
     return found.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
