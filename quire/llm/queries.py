@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.alignment import alignment
 from quire.llm.bpe import bpe
 from quire.llm.decontaminate import decontaminate
 from quire.llm.jaccard_join import jaccard_join
+from quire.llm.language_id import language_id
 from quire.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from quire.llm.packing import packing
 from quire.llm.quality_classifier import quality_classifier
@@ -19,9 +21,11 @@ from quire.llm.sharding import sharding
 from quire.llm.substring_dedup import substring_dedup
 from quire.llm.suffix_dedup import suffix_dedup
 from quire.llm.toxicity import toxicity
+from quire.llm.whitening import quantised, whitening
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,5 +80,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "most_symbol_rate", "most_repeat_rate", "most_dup_line_rate")
 
 
-_ALL = (op1_substring_dedup, op2_decontaminate, op3_suffix_dedup, op4_quality_classifier, op5_toxicity, op6_jaccard_join, op7_packing, op8_bpe, op9_sharding, op10_quality_rules)
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("vector"))
+    return whitening(vectors, fill=100_000.0, whole=True)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, PIECES)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_substring_dedup, op2_decontaminate, op3_suffix_dedup, op4_quality_classifier, op5_toxicity, op6_jaccard_join, op7_packing, op8_bpe, op9_sharding, op10_quality_rules, op11_whitening, op12_alignment, op13_language_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
