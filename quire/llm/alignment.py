@@ -125,8 +125,8 @@ def exact(ids: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary, texts: l
     total = np.append(0, np.cumsum(vocabulary.size[ids]))
     ends = total[np.cumsum(lengths)] if len(lengths) else np.zeros(0, np.int64)
     found = vocabulary.bytes_of(ids).tobytes()
-    starts = np.append(0, ends[:-1])
-    return np.array([found[a:b] == t for a, b, t in zip(starts.tolist(), ends.tolist(), texts, strict=True)], bool)
+    starts = np.append(0, ends)
+    return np.array([found[a:b] == t for a, b, t in zip(starts[:-1].tolist(), ends.tolist(), texts, strict=True)], bool)
 
 
 def event_runs(texts: list[str | None], a: ByteLevel, b: Pieces) -> Iterator[tuple[int, int, int, np.ndarray | None]]:

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+from bisect import bisect_right
 from collections import Counter
+from functools import cache
 
 import public_tokenizers
 import pytest
@@ -18,18 +20,29 @@ from quire.llm.queries import PIECES, QUERIES, RANKS
 SCHEMA = "doc_id long, text string, lang string, n_a string, chunk int, `key` int"
 
 
-def tokens(text):
-    """(A ids, their bytes, B ids, their bytes) as the libraries give them."""
+@cache
+def libraries():
     a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+@cache
+def tokens(text):
+    """(A ids, their bytes, B ids, their bytes) as the libraries give them."""
+    a, b = libraries()
     byte = {c: b for b, c in enumerate(byte_characters())}
     ids = a.encode(" " + text, add_special_tokens=False).ids
-    b = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     found = b.encode(text)
     of = lambda k: bytes([int(b.id_to_piece(k)[3:-1], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("▁", " ").encode()
     return ids, [bytes(byte[c] for c in a.id_to_token(k)) for k in ids], found, [of(k) for k in found]
 
 
+def between(a, b, ends, last, cut):
+    """For long texts: the same, found by bisection."""
+    return tuple(ids[bisect_right(own, last) : bisect_right(own, cut)] for ids, own in ((a, ends[0]), (b, ends[1])))
+
+
 def plain(texts):
     """A row for each text."""
     held, out = Counter(), []
@@ -47,7 +60,7 @@ def plain(texts):
                     ends.append(own)
                 last = 0
                 for cut in sorted(set(ends[0]) & set(ends[1])):
-                    groups.append(([i for i, e in zip(a, ends[0], strict=True) if last < e <= cut], [i for i, e in zip(b, ends[1], strict=True) if last < e <= cut]))
+                    groups.append(tuple([i for i, e in zip(ids, own, strict=True) if last < e <= cut] for ids, own in ((a, ends[0]), (b, ends[1]))) if len(a) < 3000 else between(a, b, ends, last, cut))
                     last = cut
         links = [(x, y) for g in groups for x in g[0] for y in g[1]]
         held.update(set(links))
