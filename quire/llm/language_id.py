@@ -30,7 +30,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.llm._rounds import cut
 from quire.llm._text import M1, M3, U64, blocks, load64, text_bytes
@@ -114,18 +113,18 @@ def solve(within: np.ndarray, products: np.ndarray, targets: np.ndarray, n: int,
 
 
 def language_sample(docs: DataFrame, folds: int, held_out: int, sample: int) -> DataFrame:
-    """doc_id, lang, rank, text of at most `sample` rows outside the held-out fold: of each language those of least hash of doc_id, ranked, and least ranks first.
+    """doc_id, lang, rank, text of at most `sample` rows outside the held-out fold, about as many of each language as the bound allows.
 
-    A language of many rows is thinned by a threshold on that hash before its rows are ranked, so that no task ranks them all.
+    A row's rank is what its place in its language is expected to be, by a hash of
+    doc_id: the hash as a fraction of its range, times the language's number of
+    rows. Least ranks are taken, so no task sees a language's rows together.
     """
-    key = F.xxhash64("doc_id")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = base.where("lang is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out)
     many = known.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), 4.0 * sample / F.col("n"))  # far more than are taken
-    few = known.select("doc_id", "lang").join(many, "lang").where((F.pmod(key, F.lit(1 << 30)) / float(1 << 30)) < share).select("doc_id", "lang").distinct()
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))).where(F.col("rank") <= sample)
-    chosen = ranked.orderBy("rank", "lang").limit(sample)
+    few = known.select("doc_id", "lang").join(many, "lang").withColumn("rank", part * F.col("n")).where(F.col("rank") < 2 * sample).select("doc_id", "lang", "rank").distinct()
+    chosen = few.orderBy("rank", "lang", "doc_id").limit(sample)
     return known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))  # chosen: `sample` rows at most
 
 
@@ -141,7 +140,7 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, sample: int = 4000,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes() for x in spectra(batch["text"])], pa.binary())], ["found"])
 
-    chosen = rows.orderBy("rank", "lang").limit(landmarks).select("text").mapInArrow(places, "found binary").collect()
+    chosen = rows.orderBy("rank", "lang", "doc_id").limit(landmarks).select("text").mapInArrow(places, "found binary").collect()
     marks = sorted((np.frombuffer(r.found, "<u4").astype(np.int64) for r in chosen), key=lambda x: x.tolist())
     given = spark.sparkContext.broadcast((languages, marks))  # at most 2**18 places of each landmark
 
