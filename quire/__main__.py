@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from quire.plans.ask import ask
 from quire.plans.deciders import decider
 from quire.plans.store import Store
-from quire.sources.config import load_settings
+from quire.sources.config import Settings, load_settings
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -26,6 +26,13 @@ def main(argv: list[str] | None = None) -> None:
     settings = load_settings(a.config)
     spark = SparkSession.builder.appName("quire").getOrCreate()
     store = Store(spark, a.store or settings.store)
+    try:
+        run(store, settings, a)
+    except LookupError as e:  # no such document or chapter
+        raise SystemExit(str(e)) from e
+
+
+def run(store: Store, settings: Settings, a: argparse.Namespace) -> None:
     if a.command == "ask":
         trace = ask(store, a.doc, a.question, rounds=settings.rounds)
         print(json.dumps({"steps": trace.steps, "answer": trace.answer}, ensure_ascii=False))

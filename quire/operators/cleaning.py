@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,30 +15,53 @@ from quire.functions.text import NOISE, blank
 EDGE = 3
 
 
+def field_depth(marks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds depth: open fields after each paragraph that holds field marks, never below zero.
+
+    A mark e takes the depth x to max(0, x + e). Such steps x -> max(a, x + b)
+    compose to one of their kind, so a paragraph's marks are one step and the
+    steps before it are one: their sum, less the least that a sum came to below
+    zero. Two running windows give both, whatever the number of marks.
+    """
+    w = Window.partitionBy(key).orderBy("seq")
+    walk = F.aggregate("fld_events", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("least")), lambda acc, e: F.struct((acc["sum"] + e).alias("sum"), F.least(acc["least"], acc["sum"] + e).alias("least")))
+    stepped = marks.withColumn("__walk", walk).withColumn("__sum", F.sum("__walk.sum").over(w))
+    lowest = F.min(F.col("__sum") - F.col("__walk.sum") + F.col("__walk.least")).over(w)
+    return stepped.withColumn("depth", (F.col("__sum") - F.least(F.lit(0), lowest)).cast("int")).drop("__walk", "__sum")
+
+
 def contents_regions(items: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds in_contents: contents-field paragraphs and those in their results.
 
     items: key, seq, kind ('p' or 'tbl'), is_toc, fld_events (array of +1 and -1).
-    Field depth carries over paragraphs and a contents field that stays open
-    drops what follows until the depth falls below where it began, so the state
-    is folded over the document's paragraphs that hold field marks, in order.
+    Field depth carries over paragraphs, and a contents field that stays open
+    drops what follows until the depth falls below where it began. Where a region
+    begins depends on where the one before has ended, so the paragraphs that hold
+    marks are gone through once, sorted, with two numbers as state; the others
+    take what the last of these left.
     """
-    shut = "cast(null as int)"
-    depth = "aggregate(x.fld_events, acc.depth, (d, e) -> greatest(0, d + e))"
-    fold = f"""
-        aggregate(marks, named_struct('depth', 0, 'skip', {shut}, 'out', cast(array() as array<struct<seq:int,gone:boolean,open:boolean>>)),
-          (acc, x) -> named_struct(
-            'depth', {depth},
-            'skip', case when acc.skip is not null and acc.depth >= acc.skip then case when {depth} < acc.skip then {shut} else acc.skip end
-                         when x.is_toc and {depth} > 0 then {depth} else acc.skip end,
-            'out', concat(acc.out, array(named_struct('seq', x.seq, 'gone', (acc.skip is not null and acc.depth >= acc.skip) or x.is_toc,
-              'open', case when acc.skip is not null and acc.depth >= acc.skip then {depth} >= acc.skip else x.is_toc and {depth} > 0 end)))),
-          acc -> acc.out)"""
     toc, events = F.coalesce("is_toc", F.lit(False)), F.coalesce("fld_events", F.array().cast("array<int>"))
-    # only paragraphs with fields change the state; the others take what the last of these left
-    marks = items.where((F.col("kind") == "p") & (toc | (F.size(events) > 0)))
-    marks = marks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), toc.alias("is_toc"), events.alias("fld_events")))).alias("marks"))
-    joined = items.join(marks.select(key, F.inline(F.expr(fold))), [key, "seq"], "left")
+    marks = items.where((F.col("kind") == "p") & (toc | (F.size(events) > 0))).select(F.col(key), F.col("seq").cast("int").alias("seq"), toc.alias("is_toc"), events.alias("fld_events"))
+    deep = field_depth(marks, key).select(F.col(key), "seq", "is_toc", "depth")
+    schema = f"{key} {items.schema[key].dataType.simpleString()}, seq int, gone boolean, open boolean"
+
+    def regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, begun = object(), None  # begun: the depth where the open region began
+        for batch in batches:
+            gone, still = [], []
+            for own, contents, depth in zip(batch[key].to_pylist(), batch["is_toc"].to_pylist(), batch["depth"].to_pylist(), strict=True):
+                if own != document:
+                    document, begun = own, None
+                gone.append(begun is not None or contents)
+                if begun is not None:
+                    begun = None if depth < begun else begun
+                elif contents and depth > 0:
+                    begun = depth
+                still.append(begun is not None)
+            yield pa.RecordBatch.from_arrays([batch[key], batch["seq"], pa.array(gone, pa.bool_()), pa.array(still, pa.bool_())], [key, "seq", "gone", "open"])
+
+    found = deep.repartition(key).sortWithinPartitions(key, "seq").mapInArrow(regions, schema)
+    joined = items.join(found, [key, "seq"], "left")
     before = F.last("open", ignorenulls=True).over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     inside = (F.col("kind") == "p") & F.coalesce(F.col("gone"), before, F.lit(False))
     return joined.withColumn("in_contents", inside).drop("gone", "open")

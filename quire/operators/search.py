@@ -7,12 +7,13 @@ one scan of the chapters; corpus statistics are one aggregate of a few numbers.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import occurrences, quoted
+from quire.operators import postings
 
 # Okapi BM25 (Robertson and Zaragoza, 2009).
 K1, B = 1.2, 0.75
@@ -58,24 +59,31 @@ def match(text: Column, terms: list[str]) -> Column:
     return reduce(and_, (F.lower(text).contains(t.lower()) for t in terms))
 
 
-def bm25(chapters: DataFrame, terms: list[str], totals: DataFrame | None = None) -> DataFrame:
-    """Chapters that match all terms with `rank`, least first; statistics are over all chapters.
-
-    totals: one row of their number __n and mean length __avg; with it, `chapters` may be only those that hold some term.
-    """
+def bm25(chapters: DataFrame, terms: list[str]) -> DataFrame:
+    """Chapters that match all terms with `rank`, least first; statistics are over all chapters."""
     text = chapters.withColumn("__text", indexed_text())
     counted = text.select("*", F.greatest(F.lit(0), F.length("__text") - 2).alias("__d"), *(occurrences(F.col("__text"), t).alias(f"__f{k}") for k, t in enumerate(terms)))
-    whole = [F.count("*").alias("__n"), F.avg("__d").alias("__avg")] if totals is None else []
-    stats = counted.agg(*whole, *(F.count_if(F.col(f"__f{k}") > 0).alias(f"__df{k}") for k in range(len(terms))))
-    stats = stats if totals is None else stats.join(F.broadcast(totals))  # one row each
+    stats = counted.agg(F.count("*").alias("__n"), F.avg("__d").alias("__avg"), *(F.count_if(F.col(f"__f{k}") > 0).alias(f"__df{k}") for k in range(len(terms))))
     hits = counted.where(reduce(and_, (F.col(f"__f{k}") > 0 for k in range(len(terms))))).join(F.broadcast(stats))  # one row, by its aggregate
+    return hits.withColumn("rank", -relevance([F.col(f"__f{k}") for k in range(len(terms))], F.col("__d"))).select(*chapters.columns, "rank")
+
+
+def relevance(tf: list[Column], length: Column) -> Column:
+    """Okapi BM25 of a text with these numbers of occurrences, given __n, __avg and the terms' numbers of texts __df0, __df1, ..."""
     score = F.lit(0.0)
-    for k in range(len(terms)):
-        n, df, f = F.col("__n"), F.col(f"__df{k}"), F.col(f"__f{k}")
+    for k, f in enumerate(tf):
+        n, df = F.col("__n"), F.col(f"__df{k}")
         idf = F.log((n - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__d") / F.col("__avg")))
-    return hits.withColumn("rank", -score).select(*chapters.columns, "rank")
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.col("__avg")))
+    return score
+
+
+def ranked_matches(found: DataFrame, n_terms: int, totals: DataFrame) -> DataFrame:
+    """Of postings.matches the texts that hold all terms, with `rank`, least first. totals: one row of __n and __avg of all texts."""
+    stats = found.agg(*(F.count_if(F.element_at("tf", k + 1) > 0).alias(f"__df{k}") for k in range(n_terms))).join(F.broadcast(totals))  # one row each
+    hits = postings.holding(found).join(F.broadcast(stats))
+    return hits.withColumn("rank", -relevance([F.element_at("tf", k + 1) for k in range(n_terms)], F.col("length"))).select(*found.columns, "rank")
 
 
 def snippet(text: Column, terms: list[str], width: int = 14) -> Column:
@@ -89,39 +97,14 @@ def snippet(text: Column, terms: list[str], width: int = 14) -> Column:
     return F.concat(F.when(start > 0, "…").otherwise(""), marked, F.when(start + size < F.length(text), "…").otherwise(""))
 
 
-def lengths(chapters: DataFrame) -> DataFrame:
-    """id, length: what ranking needs to know of every chapter."""
-    return chapters.select("id", F.greatest(F.lit(0), F.length(indexed_text()) - 2).alias("length"))
-
-
-def grams_of(term: str) -> list[str]:
-    low = term.lower()
-    return sorted({low[k : k + 3] for k in range(len(low) - 2)})
-
-
-def with_any_term(chapters: DataFrame, index: DataFrame, terms: list[str]) -> DataFrame:
-    """Chapters that can hold some term, by the terms' trigrams in stored postings."""
-    sets = [grams_of(t) for t in terms]
-    full = [F.count_if(F.col("gram").isin(g)) == len(g) for g in sets]
-    ids = index.where(F.col("gram").isin(sorted({x for g in sets for x in g}))).groupBy("id").agg(reduce(or_, full).alias("any")).where("any").select("id")
-    return chapters.join(ids, "id", "left_semi")
-
-
-def search_content(chapters: DataFrame, keywords: str, doc_id: int | None = None, chapter_id: int | None = None, top_k: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Best chapters for the keywords with id, chapter_path, title, hit; short terms make the whole query a plain search.
-
-    index: stored postings and lengths of all chapters, so that only texts that can hold a term are read.
-    """
+def search_content(chapters: DataFrame, keywords: str, doc_id: int | None = None, chapter_id: int | None = None, top_k: int = 5) -> DataFrame:
+    """Best chapters for the keywords with id, chapter_path, title, hit; short terms make the whole query a plain search."""
     terms = split_terms(keywords)
     if not terms:
         raise ValueError("no keywords")
     if any(len(t) < SHORTEST_INDEXED for t in terms):
         return search_like(chapters, terms, doc_id, chapter_id, top_k).select("id", "chapter_path", "title", "hit")
-    if index is None:
-        ranked = bm25(chapters, terms)
-    else:
-        totals = index[1].agg(F.count("*").alias("__n"), F.avg("length").alias("__avg"))
-        ranked = bm25(with_any_term(chapters, index[0], terms), terms, totals)
+    ranked = bm25(chapters, terms)
     ranked = ranked.where(F.col("doc_id") == doc_id) if doc_id is not None else ranked
     ranked = ranked.where(F.col("id") == chapter_id) if chapter_id is not None else ranked
     return ranked.orderBy("rank", "id").limit(top_k).select("id", "chapter_path", "title", snippet(indexed_text(), terms).alias("hit"), "rank")
@@ -138,17 +121,3 @@ def find_title(chapters: DataFrame, keywords: str, doc_id: int | None = None, mo
     # every plain hit is a full-text hit too, so that one scan serves both
     hits = own.where(match(title, terms) if all(len(t) >= SHORTEST_INDEXED for t in terms) else plain)
     return hits.orderBy("order_num", "id").limit(most).select("id", "level", "chapter_path", "title")
-
-
-def postings(chapters: DataFrame) -> DataFrame:
-    """gram, id: each distinct lower-case trigram of the indexed text, for corpora where scans are too slow."""
-    text = F.lower(indexed_text())
-    grams = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
-    return chapters.select(F.explode(grams).alias("gram"), "id")
-
-
-def match_postings(chapters: DataFrame, index: DataFrame, term: str) -> DataFrame:
-    """Chapters that hold the term, by its trigrams' postings and then the text itself."""
-    grams = grams_of(term)
-    ids = index.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id")
-    return chapters.join(ids, "id", "left_semi").where(match(indexed_text(), [term]))

@@ -1,16 +1,19 @@
 """Chapter trees from a document's ordered heading candidates.
 
-All steps are windows over a document's nodes in order, so one sort of each
-document serves them together.
+Levels, flags and parents are windows over a document's nodes in order; paths are
+joins by pointer doubling. No document is brought together in one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from quire.functions.text import number_pattern
+from quire.plans.shared import cut as shared_cut
 
 
 def _ordered(key: str, order: str) -> WindowSpec:
@@ -63,22 +66,46 @@ def clamp_levels(nodes: DataFrame, key: str = "doc_id", order: str = "para_index
     return out.withColumn("clamped", F.col(raw).isNull() | (F.greatest(F.col(raw), F.lit(1)) > F.col("level")))
 
 
-def link_parents(nodes: DataFrame, name: Column, key: str = "doc_id") -> DataFrame:
-    """Adds parent_order (null for a root) and chapter_path (names from the root on, joined by ' / ').
+def parents(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds parent_order, null for a root.
 
     nodes: as clamped. Levels rise by one at most, so the last node above a node
-    is the last one of the level before its own; trees may be of any depth.
+    is the last one of the level before its own.
     """
     w = Window.partitionBy(key, "__on").orderBy("order_num").rowsBetween(Window.unboundedPreceding, -1)
     places = F.array(F.struct(F.col("level").alias("__on"), F.lit(True).alias("__opens")), F.struct((F.col("level") - 1).alias("__on"), F.lit(False).alias("__opens")))
-    placed = nodes.withColumn("__name", name).select("*", F.inline(places))
-    placed = placed.withColumn("__up", F.last(F.when(F.col("__opens"), F.col("order_num")), ignorenulls=True).over(w)).where("not __opens")
-    row = F.struct("order_num", F.col("__up").alias("up"), F.col("__name").alias("name"), F.struct(*nodes.columns).alias("row"))
-    listed = placed.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("__all"))
-    step = "if(s.up is null, s, named_struct('up', __all[s.up].up, 'path', concat_ws(' / ', __all[s.up].name, s.path)))"
-    path = f"aggregate(sequence(1, x.row.level), named_struct('up', x.up, 'path', concat_ws(' / ', x.name)), (s, k) -> {step}, s -> s.path)"
-    out = listed.select(F.expr(f"inline(transform(__all, x -> named_struct('row', x.row, 'parent_order', x.up, 'chapter_path', {path})))"))
-    return out.select("row.*", "parent_order", "chapter_path")
+    placed = nodes.select("*", F.inline(places))
+    return placed.withColumn("parent_order", F.last(F.when(F.col("__opens"), F.col("order_num")), ignorenulls=True).over(w)).where("not __opens").drop("__on", "__opens")
+
+
+def paths(linked: DataFrame, key: str = "doc_id", name: str = "__name", cut: Callable[[DataFrame], DataFrame] = shared_cut) -> DataFrame:
+    """key, order_num, chapter_path: names from the root on, joined by ' / ', for nodes with parent_order.
+
+    Pointer doubling: each node has the names of a stretch of its ancestors and a
+    pointer to the one above these; joining a node to where it points doubles both,
+    so a tree of depth d takes log2(d) joins of narrow rows, dealt by node, and no
+    document is ever one row.
+    """
+    state = cut(linked.select(key, "order_num", F.col("parent_order").alias("__up"), F.col(name).alias("__path"), "level"))
+    deepest = state.agg(F.max("level")).first()[0] or 1  # one number
+    state = state.drop("level")
+    for step in range(max(0, (deepest - 1).bit_length())):
+        above = state.select(F.col(key), F.col("order_num").alias("__at"), F.col("__up").alias("__next"), F.col("__path").alias("__above"))
+        at = F.coalesce("__up", -1 - F.col("order_num"))  # roots meet nothing, each by a key of its own
+        joined = state.withColumn("__at", at).join(above, [key, "__at"], "left")
+        state = joined.select(key, "order_num", F.col("__next").alias("__up"), F.concat_ws(" / ", "__above", "__path").alias("__path"))
+        if step % 3 == 2:
+            state = cut(state)
+    return state.select(key, "order_num", F.col("__path").alias("chapter_path"))
+
+
+def link_parents(nodes: DataFrame, name: Column, key: str = "doc_id", cut: Callable[[DataFrame], DataFrame] = shared_cut) -> DataFrame:
+    """Adds parent_order (null for a root) and chapter_path (names from the root on, joined by ' / '); trees may be of any depth.
+
+    cut: writes a table that is read several times and goes on from what was written.
+    """
+    linked = cut(parents(nodes.withColumn("__name", name), key))
+    return linked.drop("__name").join(paths(linked, key, cut=cut), [key, "order_num"]).select(*nodes.columns, "parent_order", "chapter_path")
 
 
 def flag_patterns(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -97,7 +124,7 @@ def flag_near_pending(nodes: DataFrame, pending: DataFrame, key: str = "doc_id")
     return joined.withColumn("needs_review", F.when(F.col("hit") == 1, 1).otherwise(F.col("needs_review"))).drop("hit")
 
 
-def build_tree(candidates: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+def build_tree(candidates: DataFrame, decisions: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] = shared_cut) -> DataFrame:
     """Nodes with level, parent_order, order_num, chapter_path, source, needs_review, confidence."""
     resolved = resolve_levels(candidates, decisions)
     nodes = clamp_levels(resolved.where("is_node"))
@@ -107,6 +134,6 @@ def build_tree(candidates: DataFrame, decisions: DataFrame | None = None) -> Dat
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("text"), F.lit(""))
     nodes = nodes.withColumn("title", title)
     name = F.when(F.coalesce(F.col("number_prefix"), F.lit("")) != "", F.concat_ws(" ", "number_prefix", "title")).otherwise(F.col("title"))
-    linked = link_parents(nodes, name)
+    linked = link_parents(nodes, name, cut=cut)
     confidence = F.when(F.col("needs_review") == 1, 0.5).when(F.col("source") == "rule", 1.0).otherwise(0.7)
     return linked.withColumn("confidence", confidence).drop("raw_level", "clamped", "is_node", "decided")

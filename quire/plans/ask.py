@@ -7,14 +7,17 @@ and needs no model.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from quire.plans.ingest import PER_DOCUMENT
 from quire.plans.store import Store
 
 #: Words that make the default policy search or find.
 SEARCH_WORDS = ("废标", "保证金", "评分")
+DEPOSIT, SCORING = "保证金", "评分"
 FIND_WORDS = ("在哪", "哪个章节")
 STEP_CHARS = 2000
 
@@ -37,14 +40,14 @@ Policy = Callable[[list[dict]], list[Call] | str]
 
 
 def keyword_policy(messages: list[dict]) -> list[Call] | str:
-    """One tool by the question's words, then an answer that quotes what it found."""
-    results = [m["content"] for m in messages if m["role"] == "tool"]
+    """One tool by the last question's words, then an answer that quotes what it found."""
+    asked = max(k for k, m in enumerate(messages) if m["role"] == "user")
+    results = [m["content"] for m in messages[asked:] if m["role"] == "tool"]
     if results:
         return "\n".join(r[:400] for r in results)
-    question = next(m["content"] for m in messages if m["role"] == "user")
+    question = messages[asked]["content"]
     if any(w in question for w in SEARCH_WORDS):
-        word = next(w for w in SEARCH_WORDS if w in question)
-        return [Call("search_content", {"keywords": "评分" if word == "废标" else word})]
+        return [Call("search_content", {"keywords": DEPOSIT if DEPOSIT in question else SCORING})]
     if any(w in question for w in FIND_WORDS):
         return [Call("find_chapter", {"title_keywords": "评标"})]
     return [Call("get_document_map", {})]
@@ -61,7 +64,10 @@ class Tools:
         return row["map"] if row else f"Document {self.doc_id} has no chapters."
 
     def get_chapter(self, chapter_id: int, max_chars: int | None = None, offset: int = 0) -> str:
-        row = self.store.page(chapter_id, max_chars or self.max_chars, offset).where(f"doc_id = {int(self.doc_id)}").first()
+        row = None
+        if chapter_id // PER_DOCUMENT == self.doc_id:
+            with contextlib.suppress(LookupError):
+                row = self.store.page(chapter_id, max_chars or self.max_chars, offset).first()
         if row is None:
             return f"Document {self.doc_id} has no chapter {chapter_id}."
         below = [r["child"] for r in self.store.children(chapter_id).collect()]
@@ -83,9 +89,12 @@ class Tools:
 
 
 def ask(store: Store, doc_id: int, question: str, policy: Policy = keyword_policy, rounds: int = 6, thread: str | None = None) -> Trace:
-    """Let the policy use tools for at most `rounds` rounds; the messages are logged under the trace's thread."""
+    """Let the policy use tools for at most `rounds` rounds. A thread that has messages goes on: the policy sees them, and the new ones are logged after them."""
+    store.require(doc_id)
     tools, trace = Tools(store, doc_id), Trace(thread or uuid.uuid4().hex)
-    messages = [{"role": "system", "content": tools.get_document_map()}, {"role": "user", "content": question}]
+    earlier = [r.asDict() for r in store.thread(trace.thread).select("role", "content", "call_id").collect()] if thread else []
+    opening = [] if earlier else [{"role": "system", "content": tools.get_document_map()}]
+    messages = [*earlier, *opening, {"role": "user", "content": question}]
     for _ in range(rounds + 1):
         said = policy(messages)
         if isinstance(said, str):
@@ -101,5 +110,5 @@ def ask(store: Store, doc_id: int, question: str, policy: Policy = keyword_polic
             messages.append({"role": "tool", "content": result, "call_id": call.id})
             results.setdefault(call.id, result)
         trace.steps += [{"id": c.id, "tool": c.tool, "args": c.args, "result": results[c.id][:STEP_CHARS]} for c in calls]
-    store.log(trace.thread, [*messages, {"role": "assistant", "content": trace.answer}])
+    store.log(trace.thread, [*messages[len(earlier) :], {"role": "assistant", "content": trace.answer}])
     return trace

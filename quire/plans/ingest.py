@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import cleaning, decisions, features, grids, numbering, sections, tree
-from quire.plans.shared import cut
+from quire.plans.shared import Scratch
 from quire.sources.docx import parse_files
 
 #: Makes ids of chapters and tables from a document's id and a place, which is below it in any file.
@@ -26,10 +26,16 @@ class Ingested:
     cells: DataFrame
     statistics: DataFrame
     errors: DataFrame
+    scratch: Scratch
 
+    def close(self) -> None:
+        """Delete what the batch wrote on its way; its tables can't be read after that."""
+        self.scratch.close()
 
-def headings(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def headings(parsed: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(body items that stay, heading candidates among them)."""
+    cut = (scratch or Scratch(parsed.sparkSession)).cut
     items = parsed.select("doc_id", F.inline("items"))
     body = cut(cleaning.select_body(items))
     styles = parsed.select("doc_id", F.inline("styles"))
@@ -50,24 +56,25 @@ def headings(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return body, cut(candidates)
 
 
-def valid_decisions(candidates: DataFrame, said: DataFrame) -> DataFrame:
+def valid_decisions(candidates: DataFrame, said: DataFrame, scratch: Scratch) -> DataFrame:
     """Decisions of documents whose decisions cover just their candidates; the others' candidates are left to the rules."""
     said = said if "seq" in said.columns else said.withColumn("seq", F.lit(0))
-    return decisions.validate(cut(said), candidates)  # asked once
+    return decisions.validate(scratch.cut(said), candidates)  # asked once
 
 
-def ingest(files: DataFrame, decide: Decider | None = decisions.rule_decisions) -> Ingested:
+def ingest(files: DataFrame, decide: Decider | None = decisions.rule_decisions, scratch: Scratch | None = None) -> Ingested:
     """files: doc_id, content. decide: candidates to decisions; none leaves levels to the rules alone,
     as do decisions that are incomplete.
 
-    Parsed rows are used several times, so they are cached; the caller unpersists
-    through Spark's catalog when done. Body items, candidates, decisions, nodes
-    and attributed items are written to the checkpoint folder, which keeps plans
-    small and survives lost executors.
+    Parsed files, body items, candidates, decisions, nodes and attributed items
+    are written to the shared folder (`scratch`), which keeps plans small and
+    survives lost executors; `Ingested.close` deletes them.
     """
-    parsed = parse_files(files).persist()
-    body, candidates = headings(parsed)
-    nodes = tree.build_tree(candidates, valid_decisions(candidates, decide(candidates)) if decide else None)
+    scratch = scratch or Scratch(files.sparkSession)
+    cut = scratch.cut
+    parsed = cut(parse_files(files))
+    body, candidates = headings(parsed, scratch)
+    nodes = tree.build_tree(candidates, valid_decisions(candidates, decide(candidates), scratch) if decide else None, cut)
     nodes = cut(nodes)
     opens = nodes.select("doc_id", "para_index", F.col("order_num").alias("heading"))
     marked = body.join(opens, ["doc_id", "para_index"], "left")
@@ -97,4 +104,4 @@ def ingest(files: DataFrame, decide: Decider | None = decisions.rule_decisions)
     for part in counts:
         statistics = statistics.join(part, "doc_id", "left")
     statistics = statistics.na.fill(0)
-    return Ingested(chapters, tables, cells, statistics, parsed.where("error is not null").select("doc_id", "error"))
+    return Ingested(chapters, tables, cells, statistics, parsed.where("error is not null").select("doc_id", "error"), scratch)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,27 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and go on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables of one job in the shared folder: written, read again, and deleted together when the job is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.tables = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write `df` and go on from what was written."""
+        self.tables += 1
+        place = f"{self.path}/{self.tables}"
+        df.write.parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
+
+    def close(self) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()

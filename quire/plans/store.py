@@ -1,73 +1,162 @@
-"""Stored tables: a registry of documents by content hash, their chapters, tables and cells, and a full-text index.
-
-Tables are Parquet folders parted by blocks of documents. Writing a batch
-replaces the rows of its documents in the blocks that it touches and nothing
-else. While that goes on the documents' status is `processing`; a batch that
-breaks off leaves them so, and adding the same files again repairs it. Reading
-one document touches its block alone; ranked search reads the postings of the
-terms' trigrams and then only the texts that can hold a term.
+"""Stored tables: a registry of documents by content hash, their chapters, tables and cells, and two full-text indexes.
+
+A batch is appended: its rows go to new files, and one small version file, which
+is renamed into its place, makes them count. The version names the batches that
+count, in order, and for each table whether the batch replaces documents; the
+replaced ids are a table too, so that readers leave out what a later batch has
+replaced. A reader sees a whole version or the one before, never half a batch,
+and nothing is written but the new documents. Two writers can't make the same
+version: the later one fails and may try again. `compact` writes all that counts
+as one batch; files of older versions can then be deleted.
+
+While a batch is written its documents have status `processing`; a batch that
+breaks off leaves them so, with their old rows, and adding the files again
+repairs it. Tables of documents are parted by blocks of documents, so that
+reading one document touches its block alone; postings are parted by hash of
+their trigram, so that a search touches its terms' parts alone.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from quire.operators import catalog, decisions, search
+from quire.operators import catalog, decisions, postings, search
 from quire.plans.ingest import PER_DOCUMENT, Decider, Ingested, ingest
-from quire.plans.shared import cut
+from quire.plans.shared import Scratch
 from quire.sources.docx import read_files
 
-BLOCK = 1000
-MESSAGES = "thread_id string, seq int, role string, content string, call_id string"
+BLOCK, BUCKETS = 1000, 64
+MESSAGES = "thread_id string, seq long, role string, content string, call_id string"
 SCHEMAS = {
     "documents": "id long, doc_name string, doc_type string, doc_hash string, status string, error_msg string, total_chars long, create_time timestamp",
     "chapters": "id long, doc_id long, parent_id long, level int, number_prefix string, title string, content string, content_chars int, order_num int, chapter_path string, source string, confidence double, needs_review int",
     "tables": "id long, doc_id long, chapter_id long, table_caption string, total_rows int, total_cols int, order_num int, chapter_path string",
-    "grams": "gram string, id long, doc_id long",
-    "lengths": "id long, doc_id long, length long",
     "cells": "table_id long, doc_id long, row_idx int, col_idx int, row_span int, col_span int, content string, is_header int",
+    "statistics": "doc_id long, error string, total_paragraphs long, total_chars long, candidates long, anchors long, pending long, chapters long, needs_review long, tables long",
+    "postings": f"gram string, {postings.INDEX.replace('gram string, ', '')}",
 }
+#: Columns by which files and row groups are skipped, with a Bloom filter.
+SOUGHT = {"documents": "doc_hash", "postings": "gram", "chapters": "id", "tables": "id", "cells": "table_id", "statistics": "doc_id"}
+#: The fields of both indexes.
+FIELDS = {"text": search.indexed_text, "title": lambda: F.coalesce(F.col("title"), F.lit(""))}
+
+
+class Conflict(RuntimeError):
+    """Another writer has made the version that this one was about to make."""
+
+
+@dataclass
+class Version:
+    """What counts: batches in order, each with its tables and with those of whose documents it replaces some; and totals of all chapters."""
+
+    number: int = 0
+    batches: list[dict] = field(default_factory=list)
+    chapters: int = 0
+    trigrams: int = 0
+
+    def of(self, name: str) -> list[str]:
+        return [b["batch"] for b in self.batches if name in b["tables"]]
+
+
+def _key(name: str) -> str:
+    return "id" if name == "documents" else "doc_id"
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        for name, schema in SCHEMAS.items():  # an empty table is a table
-            kind = StructType.fromDDL(schema).add("block", "long")
-            if not self._exists(name):
-                spark.createDataFrame([], kind).write.partitionBy("block").parquet(f"{path}/{name}")
-
-    def _exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-    def table(self, name: str, doc_id: int | None = None) -> DataFrame:
-        """A stored table, or its rows of one document, for which one block is read."""
-        schema = StructType.fromDDL(SCHEMAS[name]).add("block", "long")
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    # files
+    def _place(self, *parts: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self) -> Version:
+        """The version that counts now."""
+        folder, fs = self._place("versions")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        names = sorted(n for n in names if n.endswith(".json") and not n.startswith("."))
+        if not names:
+            return Version()
+        return Version(**json.loads(self.spark.read.text(f"{self.path}/versions/{names[-1]}", wholetext=True).first()[0]))
+
+    def _commit(self, old: Version, new: Version) -> None:
+        """Make `new` the version after `old`, at once or not at all."""
+        new = replace(new, number=old.number + 1)
+        passing, fs = self._place("versions", f".{uuid.uuid4().hex}")
+        out = fs.create(passing)
+        out.write(bytearray(json.dumps(new.__dict__).encode()))
+        out.close()
+        jvm, place = self.spark._jvm, self._place("versions", f"{new.number:012d}.json")[0]
+        kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.NONE  # fails if the name is taken
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(passing, place, how)
+        except Exception as e:
+            fs.delete(passing, False)
+            if fs.exists(place):
+                raise Conflict(f"version {new.number} is another writer's") from e
+            raise
+
+    def _batch(self, version: Version) -> str:
+        """Name of a new batch: its place in the order, and what no other writer has."""
+        return f"{version.number + 1:012d}-{uuid.uuid4().hex[:12]}"
+
+    def _write(self, name: str, batch: str, rows: DataFrame) -> None:
+        kind = StructType.fromDDL(SCHEMAS[name])
+        part = F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)) if name == "postings" else F.floor(F.col(_key(name)) / BLOCK)
+        column = "bucket" if name == "postings" else "block"
+        found = rows.select(*(F.col(f.name).cast(f.dataType) for f in kind)).withColumn(column, part.cast("long"))
+        found = found.hint("rebalance", column).sortWithinPartitions(column, kind.names[0])  # a large block is split over tasks
+        found.write.option(f"parquet.bloom.filter.enabled#{SOUGHT[name]}", "true").partitionBy(column).parquet(f"{self.path}/{name}/batch={batch}")
+
+    def _rows(self, name: str, batches: list[str]) -> DataFrame:
+        column = "bucket" if name == "postings" else "block"
+        schema = StructType.fromDDL(SCHEMAS[name]).add(column, "long").add("batch", "string")
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/{name}/batch={b}" for b in batches]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths)
+
+    def _replaced(self, name: str, version: Version) -> DataFrame | None:
+        """doc, last: the last batch that replaces rows of the document in the table; none if no batch does."""
+        first = next(iter(version.of(name)), None)
+        later = [b["batch"] for b in version.batches if name in b["replaces"] and b["batch"] > (first or "")]
+        if first is None or not later:
+            return None
+        read = self.spark.read.schema("doc long, batch string").option("basePath", f"{self.path}/replaced/{_key(name)}").parquet(*(f"{self.path}/replaced/{_key(name)}/batch={b}" for b in later))
+        return read.groupBy("doc").agg(F.max("batch").alias("last"))
+
+    def _live(self, name: str, rows: DataFrame, version: Version, doc: Column) -> DataFrame:
+        replaced = self._replaced(name, version)
+        if replaced is None:
+            return rows
+        joined = rows.withColumn("__doc", doc).join(replaced.withColumnRenamed("doc", "__doc"), "__doc", "left")
+        return joined.where(F.col("last").isNull() | (F.col("batch") >= F.col("last"))).drop("__doc", "last")
+
+    # tables
+    def table(self, name: str, doc_id: int | None = None, version: Version | None = None) -> DataFrame:
+        """A stored table, or its rows of one document, for which one block is read. Postings come with their batch."""
+        version = version or self.version()
+        rows = self._rows(name, version.of(name))
+        if name == "postings":
+            return rows
         if doc_id is not None:
-            key = "id" if name == "documents" else "doc_id"
-            rows = rows.where((F.col("block") == int(doc_id) // BLOCK) & (F.col(key) == int(doc_id)))
-        return rows.drop("block")
-
-    def _replace(self, name: str, rows: DataFrame, ids: DataFrame, key: str) -> None:
-        """Put `rows` in the place of what the table has of the documents `ids` (column doc)."""
-        block = F.floor(F.col(key) / BLOCK)
-        touched = ids.select(F.floor(F.col("doc") / BLOCK).alias("block")).distinct()
-        old = self.table(name).withColumn("block", block).join(touched, "block", "left_semi").join(ids, F.col(key) == F.col("doc"), "left_anti")
-        kept = old.select(*StructType.fromDDL(SCHEMAS[name]).names, "block")
-        new = rows.select(*(F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(SCHEMAS[name]))).withColumn("block", block)
-        order = StructType.fromDDL(SCHEMAS[name]).names[0]  # so that readers of one gram or id skip most row groups
-        kept.unionByName(new).repartition("block").sortWithinPartitions("block", order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(f"{self.path}/{name}")
+            rows = rows.where((F.col("block") == int(doc_id) // BLOCK) & (F.col(_key(name)) == int(doc_id)))
+        return self._live(name, rows, version, F.col(_key(name))).drop("block", "batch")
 
     def register(self, files: DataFrame) -> DataFrame:
-        """doc_hash, doc_name, path, doc_id of each different content: the registry's id for a known one, the next free ones for new.
+        """doc_hash, doc_name, path, doc_id, known of each different content: the registry's id for a known one, the next free ones for new.
 
         Only names and hashes are shuffled; of equal files the least name and path count.
         """
@@ -80,79 +169,195 @@ class Store:
         ahead = fresh.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
         within = F.row_number().over(Window.partitionBy("part").orderBy("doc_hash"))
         numbered = fresh.withColumn("within", within).join(F.broadcast(ahead), "part").select("doc_hash", (F.lit(last) + F.col("before") + F.col("within")).alias("doc_id"))  # at most 256 rows
-        return distinct.join(known.unionByName(numbered), "doc_hash")
+        ids = known.withColumn("known", F.lit(True)).unionByName(numbered.withColumn("known", F.lit(False)))
+        return distinct.join(ids, "doc_hash")
 
-    def _set_status(self, registered: DataFrame, statistics: DataFrame | None) -> None:
-        """`processing` without statistics, else `done` or `failed` with the number of characters; names, times and, if none is given, that number stay."""
-        old = self.table("documents").select(F.col("id").alias("doc_id"), F.col("doc_name").alias("old_name"), F.col("create_time").alias("old_time"), F.col("total_chars").alias("old_chars"))
+    def _registry(self, registered: DataFrame, old: DataFrame, statistics: DataFrame | None) -> DataFrame:
+        """Rows of the registry: `processing` without statistics, else `done` or `failed` with the number of characters; names, times and, if none is given, that number stay."""
+        old = old.select(F.col("id").alias("doc_id"), F.col("doc_name").alias("old_name"), F.col("create_time").alias("old_time"), F.col("total_chars").alias("old_chars"))
         found = registered.join(old, "doc_id", "left")
         if statistics is None:
             status, error, chars = F.lit("processing"), F.lit(None).cast("string"), F.col("old_chars")
         else:
-            found = found.join(statistics, "doc_id")
+            found = found.join(statistics.select("doc_id", "error", "total_chars"), "doc_id")
             status, error, chars = F.when(F.col("error").isNull(), "done").otherwise("failed"), F.col("error"), F.coalesce("total_chars", "old_chars")
-        rows = found.select(
+        return found.select(
             F.col("doc_id").alias("id"), F.coalesce("old_name", "doc_name").alias("doc_name"), F.lit("docx").alias("doc_type"), "doc_hash",
             status.alias("status"), error.alias("error_msg"), chars.alias("total_chars"), F.coalesce("old_time", F.current_timestamp()).alias("create_time"),
         )
-        self._replace("documents", cut(rows), registered.select(F.col("doc_id").alias("doc")), "id")
+
+    def _replaces(self, batch: str, key: str, ids: DataFrame) -> bool:
+        """Write the ids that a batch replaces; are there any?"""
+        if ids.isEmpty():
+            return False
+        ids.select(F.col("doc_id").alias("doc")).write.parquet(f"{self.path}/replaced/{key}/batch={batch}")
+        return True
+
+    @staticmethod
+    def _totals(chapters: DataFrame) -> tuple[int, int]:
+        """(chapters, trigrams of their texts)."""
+        size = F.greatest(F.lit(0), F.length(F.lower(search.indexed_text())) - (postings.GRAM - 1))
+        n, total = chapters.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+        return n, total
 
     def add(self, files: DataFrame, decide: Decider | None = decisions.rule_decisions) -> DataFrame:
         """Ingest files (path, content, doc_name, doc_hash) and give their statistics; the same bytes again replace what they made before."""
         began = time.monotonic()
-        registered = cut(self.register(files))  # what follows rewrites the tables that it came from
-        self._set_status(registered, None)
-        contents = files.join(registered.select("path", "doc_hash", "doc_id"), ["path", "doc_hash"]).select("doc_id", "content")
-        found: Ingested = ingest(contents, decide)
-        statistics = cut(found.statistics)
-        ids = registered.select(F.col("doc_id").alias("doc"))
-        indexed = found.chapters.join(statistics.where("error is null").select("doc_id"), "doc_id", "left_semi").persist()
-        keyed = indexed.select(F.col("id"), "doc_id")
-        parts = {"chapters": indexed, "tables": found.tables, "cells": found.cells, "grams": search.postings(indexed).join(keyed, "id"), "lengths": search.lengths(indexed).join(keyed, "id")}
-        for name, rows in parts.items():
-            self._replace(name, rows, ids, "doc_id")
-        self._set_status(registered, statistics)
-        indexed.unpersist()
+        with Scratch(self.spark) as scratch:
+            start = self.version()
+            registered = scratch.cut(self.register(files))
+            known = registered.where("known")
+            first = self._batch(start)
+            self._write("documents", first, self._registry(registered, self.table("documents", version=start), None))
+            over = ["documents"] if self._replaces(first, "id", known) else []
+            self._commit(start, Version(batches=[*start.batches, {"batch": first, "tables": ["documents"], "replaces": over}], chapters=start.chapters, trigrams=start.trigrams))
+            now = self.version()
+            contents = files.join(registered.select("path", "doc_hash", "doc_id"), ["path", "doc_hash"]).select("doc_id", "content")
+            found: Ingested = ingest(contents, decide, scratch)
+            batch = self._batch(now)
+            self._write("statistics", batch, found.statistics)
+            statistics = self._rows("statistics", [batch]).drop("block", "batch")
+            for name in ("chapters", "tables", "cells"):
+                self._write(name, batch, getattr(found, name))
+            chapters = self._rows("chapters", [batch])
+            self._write("postings", batch, postings.build(chapters, {k: f() for k, f in FIELDS.items()}))
+            self._write("documents", batch, self._registry(registered, self.table("documents", version=now), statistics))
+            added = self._totals(chapters)
+            over = [n for n in SCHEMAS if n != "documents"] if self._replaces(batch, "doc_id", known) else []
+            gone = self._totals(self.table("chapters", version=now).join(known.select("doc_id"), "doc_id", "left_semi")) if over else (0, 0)
+            self._replaces(batch, "id", registered)
+            entry = {"batch": batch, "tables": list(SCHEMAS), "replaces": ["documents", *over]}
+            self._commit(now, Version(batches=[*now.batches, entry], chapters=now.chapters + added[0] - gone[0], trigrams=now.trigrams + added[1] - gone[1]))
         return statistics.withColumn("elapsed_seconds", F.lit(round(time.monotonic() - began, 3)))
 
     def add_folder(self, folder: str, decide: Decider | None = decisions.rule_decisions) -> DataFrame:
         return self.add(read_files(self.spark, folder), decide)
 
+    def compact(self) -> None:
+        """Write what counts as one batch without replaced rows. Files of older versions stay for their readers until `vacuum`."""
+        now = self.version()
+        batch = self._batch(now)
+        for name in SCHEMAS:
+            if name != "postings":
+                self._write(name, batch, self.table(name, version=now))
+        chapters = self._rows("chapters", [batch])
+        self._write("postings", batch, postings.build(chapters, {k: f() for k, f in FIELDS.items()}))
+        n, total = self._totals(chapters)
+        self._commit(now, Version(batches=[{"batch": batch, "tables": list(SCHEMAS), "replaces": []}], chapters=n, trigrams=total))
+
+    def vacuum(self) -> int:
+        """Delete batches that the present version doesn't name, also those of batches that broke off; how many folders went. Not while others read or write."""
+        keep, gone = {b["batch"] for b in self.version().batches}, 0
+        for parts in [(n,) for n in SCHEMAS] + [("replaced", "id"), ("replaced", "doc_id")]:
+            folder, fs = self._place(*parts)
+            for status in fs.listStatus(folder) if fs.exists(folder) else []:
+                if status.getPath().getName().removeprefix("batch=") not in keep:
+                    gone += fs.delete(status.getPath(), True)
+        return gone
+
     # message logs
     def log(self, thread: str, messages: list[dict]) -> None:
-        """Append a thread's messages, in order."""
-        rows = [(thread, k, m["role"], m["content"], m.get("call_id")) for k, m in enumerate(messages)]
+        """Append messages to a thread, in order, after those that it has."""
+        last = self.thread(thread).agg(F.max("seq")).first()[0]
+        first = 0 if last is None else last + 1
+        rows = [(thread, first + k, m["role"], m["content"], m.get("call_id")) for k, m in enumerate(messages)]
         self.spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(f"{self.path}/messages")
 
     def thread(self, thread: str) -> DataFrame:
-        if not self._exists("messages"):
+        folder, fs = self._place("messages")
+        if not fs.exists(folder):
             return self.spark.createDataFrame([], MESSAGES)
         return self.spark.read.schema(MESSAGES).parquet(f"{self.path}/messages").where(F.col("thread_id") == thread).orderBy("seq")
 
     # views
+    def require(self, doc_id: int) -> None:
+        """An error for an id that the registry doesn't have."""
+        if self.table("documents", doc_id).isEmpty():
+            raise LookupError(f"no document {doc_id}")
+
     def listing(self) -> DataFrame:
-        return catalog.listing(self.table("documents"), self.table("chapters"), self.table("tables"))
+        version = self.version()
+        return catalog.listing(*(self.table(n, version=version) for n in ("documents", "chapters", "tables")))
 
     def stats(self, doc_id: int) -> DataFrame:
-        return catalog.stats(self.table("chapters", doc_id), self.table("tables", doc_id))
+        """Name, status, characters and error of a document, and its numbers of chapters, chapters to review, roots and tables."""
+        self.require(doc_id)
+        version = self.version()
+        counts = catalog.stats(self.table("chapters", doc_id, version), self.table("tables", doc_id, version))
+        named = self.table("documents", doc_id, version).select(F.col("id").alias("doc_id"), "doc_name", "status", "total_chars", "error_msg")
+        return named.join(counts, "doc_id", "left").na.fill(0, [c for c in counts.columns if c != "doc_id"])
 
     def map(self, doc_id: int) -> DataFrame:
+        self.require(doc_id)
         return catalog.document_map(self.table("chapters", doc_id))
 
     def tree(self, doc_id: int) -> DataFrame:
+        self.require(doc_id)
         return catalog.tree_lines(self.table("chapters", doc_id)).orderBy("order_num")
 
+    def chapter(self, chapter_id: int) -> DataFrame:
+        """The row of one chapter; an error if there is none."""
+        found = self.table("chapters", chapter_id // PER_DOCUMENT).where(F.col("id") == chapter_id)
+        if found.isEmpty():
+            raise LookupError(f"no chapter {chapter_id}")
+        return found
+
     def page(self, chapter_id: int, max_chars: int = 4000, offset: int = 0) -> DataFrame:
-        return catalog.chapter_page(self.table("chapters", chapter_id // PER_DOCUMENT).where(F.col("id") == chapter_id), max_chars, offset)
+        return catalog.chapter_page(self.chapter(chapter_id), max_chars, offset)
 
     def children(self, chapter_id: int) -> DataFrame:
         return catalog.children(self.table("chapters", chapter_id // PER_DOCUMENT)).where(F.col("parent_id") == chapter_id).orderBy("order_num")
 
-    def search(self, doc_id: int, keywords: str, chapter_id: int | None = None, top_k: int = 5) -> DataFrame:
-        """Ranked by statistics of the whole store, from its stored postings and lengths; short terms scan the document's own chapters."""
-        plain = any(len(t) < search.SHORTEST_INDEXED for t in search.split_terms(keywords))
-        chapters = self.table("chapters", doc_id if plain else None)
-        return search.search_content(chapters, keywords, doc_id, chapter_id, top_k, (self.table("grams"), self.table("lengths")))
+    def matches(self, field: str, terms: list[str], version: Version) -> DataFrame:
+        """id, doc_id, length, tf of all chapters that hold any term, from one of the indexes: only the parts of the terms' trigrams are read."""
+        grams = sorted({"", *(g for t in terms for g in postings.cover(t).values())})
+        buckets = self.spark.range(1).select(F.array(*(F.pmod(F.xxhash64(F.lit(g)), F.lit(BUCKETS)) for g in grams)).alias("b")).first().b
+        index = self.table("postings", version=version).where(F.col("bucket").isin(sorted(set(buckets))))
+        found = postings.matches(index, field, terms, ("batch", "segment")).withColumn("doc_id", F.floor((F.col("id") - 1) / PER_DOCUMENT).cast("long"))
+        return self._live("postings", found, version, F.col("doc_id")).select("id", "doc_id", "length", "tf")
+
+    def ranked(self, keywords: str, version: Version | None = None) -> DataFrame:
+        """id, doc_id, length, tf, rank of all chapters that hold all keywords of three characters or more, by statistics of the whole store. Reads no text."""
+        version, terms = version or self.version(), search.split_terms(keywords)
+        totals = self.spark.range(1).select(F.lit(float(version.chapters)).alias("__n"), F.lit(version.trigrams / max(version.chapters, 1)).alias("__avg"))
+        return search.ranked_matches(self.matches("text", terms, version), len(terms), totals)
+
+    def _texts(self, best: DataFrame, order: tuple[str, ...], most: int, version: Version) -> DataFrame:
+        """The chapters of the first `most` rows (id, doc_id and what orders them) of `best`, whose blocks and ids alone are then read."""
+        top = best.orderBy(*order).limit(most).toPandas()  # `most` rows
+        ids = [int(x) for x in top["id"]]
+        blocks = sorted({int(d) // BLOCK for d in top["doc_id"]})
+        rows = self._rows("chapters", version.of("chapters")).where(F.col("block").isin(blocks or [-1]) & F.col("id").isin(ids or [-1]))
+        chapters = self._live("chapters", rows, version, F.col("doc_id")).drop("block", "batch")
+        kinds = StructType([f for f in best.schema if f.name == "id" or f.name in order])
+        return chapters.join(F.broadcast(self.spark.createDataFrame([tuple(r) for r in top[kinds.names].itertuples(index=False)], kinds)), "id").orderBy(*order)
 
-    def find(self, doc_id: int, keywords: str) -> DataFrame:
-        return search.find_title(self.table("chapters", doc_id), keywords, doc_id)
+    def search(self, doc_id: int | None, keywords: str, chapter_id: int | None = None, top_k: int = 5) -> DataFrame:
+        """Best chapters of a document, or of all, with id, chapter_path, title, hit, rank: ranked from the index, and then only those texts are read. Short terms scan the document's own chapters."""
+        terms = search.split_terms(keywords)
+        if not terms:
+            raise ValueError("no keywords")
+        if doc_id is not None:
+            self.require(doc_id)
+        if any(len(t) < search.SHORTEST_INDEXED for t in terms):
+            return search.search_content(self.table("chapters", doc_id), keywords, doc_id, chapter_id, top_k)
+        version = self.version()
+        best = self.ranked(keywords, version)
+        best = best.where(F.col("doc_id") == doc_id) if doc_id is not None else best
+        best = best.where(F.col("id") == chapter_id) if chapter_id is not None else best
+        return self._texts(best, ("rank", "id"), top_k, version).select("id", "chapter_path", "title", search.snippet(search.indexed_text(), terms).alias("hit"), "rank")
+
+    def find(self, doc_id: int | None, keywords: str, most: int = 20) -> DataFrame:
+        """Chapters of a document, or of all, whose title holds all keywords, in document order, from the index of titles; short terms, and terms that it doesn't have, scan the document's own titles."""
+        terms = search.split_terms(keywords)
+        if not terms:
+            raise ValueError("no keywords")
+        if doc_id is not None:
+            self.require(doc_id)
+        version = self.version()
+        if any(len(t) < search.SHORTEST_INDEXED for t in terms):
+            return search.find_title(self.table("chapters", doc_id, version), keywords, doc_id, most)
+        found = postings.holding(self.matches("title", terms, version))
+        found = found.where(F.col("doc_id") == doc_id) if doc_id is not None else found
+        found = found.withColumn("place", (F.col("id") - 1) % PER_DOCUMENT)  # of the chapter in its document
+        return self._texts(found, ("place", "id"), most, version).select("id", "level", "chapter_path", "title")

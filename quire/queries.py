@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import numbers, text
-from quire.operators import catalog, cleaning, decisions, features, grids, numbering, search, sections, tree
+from quire.operators import catalog, cleaning, decisions, features, grids, numbering, postings, search, sections, tree
 from quire.plans import ingest, store
-from quire.plans.shared import shared_folder
+from quire.plans.shared import cut, shared_folder
 from quire.sources import docx, docx_writer
 
 PREFIXES = ("第一章", "1.2", "（三）", "2、", "①")
@@ -306,8 +306,9 @@ def search_fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {CHAPTERS} select id from ch where contains(lower(title || ' ' || content), 'pathetic')")
 def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ch = chapters(spark, sf_dir)
-    return search.match_postings(ch, search.postings(ch), "pathetic").select("id")
+    """Chapters that hold a term, from postings with places alone."""
+    index = postings.build(chapters(spark, sf_dir), {"text": search.indexed_text()})
+    return postings.holding(postings.matches(index, "text", ["pathetic"])).select("id")
 
 
 _BM25 = f"""with {CHAPTERS}, x as (select id, lower(title || ' ' || content) t from ch), f as (select id, greatest(0, length(t) - 2) d, (length(t) - length(replace(t, 'the', ''))) // 3 f0, (length(t) - length(replace(t, 'tion', ''))) // 4 f1 from x),
@@ -428,7 +429,7 @@ _OWN = f"""{LINES}, p as (select doc_id, seq, text, length(text) n, trim({PRINTA
 @query(f"""with {_OWN} select doc_id, seq, ['body text', 'heading 2', 'own', 'own too', 'far off'][1 + st] style_name, font font_size_halfpt, bold, ind first_line_indent_chars, outline outline_lvl, n % 2 = 0 has_numpr,
  case when n % 2 = 0 then 1 end::int num_id, case when n % 2 = 0 then n % 3 end::int ilvl, false mixed_run_fmt from ff""")
 def docx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = docx.parse_files(_files(spark, sf_dir)).persist()
+    parsed = cut(docx.parse_files(_files(spark, sf_dir)))
     items = parsed.select("doc_id", F.inline("items")).where("kind = 'p'").select("doc_id", "seq", "text", "style_id", "ppr", "runs")
     found = features.resolve_features(items, parsed.select("doc_id", F.inline("styles")))
     return found.select("doc_id", "seq", "style_name", "font_size_halfpt", "bold", "first_line_indent_chars", "outline_lvl", "has_numpr", "num_id", "ilvl", "mixed_run_fmt")
@@ -443,7 +444,7 @@ _ROMAN_I = "case when {0} < 10 then (['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vi
  select doc_id, seq, case l when 0 then 'A' || n0 when 1 then n0 || '.' || {_ROMAN_I.format('n1')} else n0 || '.' || {_ROMAN_I.format('n1')} || '.' || n2 end number_text from b""")
 def docx_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of files, with a start of their own and a level that a lower one restarts."""
-    parsed = docx.parse_files(_files(spark, sf_dir)).persist()
+    parsed = cut(docx.parse_files(_files(spark, sf_dir)))
     items = parsed.select("doc_id", F.inline("items")).where("ppr.num_id > 0").select("doc_id", F.col("seq").alias("order"), "ppr.num_id", F.coalesce("ppr.ilvl", F.lit(0)).alias("ilvl"))
     found = numbering.render(items, parsed.select("doc_id", F.inline("levels")))
     return found.select("doc_id", F.col("order").alias("seq"), "number_text")
@@ -487,30 +488,40 @@ def _store(spark: SparkSession, sf_dir: str) -> store.Store:
     """All documents in a store of their own in the shared folder, one file twice."""
     made = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
     files = _plain_files(spark, sf_dir).select(F.format_string("doc-%d.docx", "doc_id").alias("doc_name"), "content").withColumn("path", F.col("doc_name")).withColumn("doc_hash", F.sha2("content", 256))
-    made.add(files.persist())
+    made.add(cut(files))
     return made
 
 
-_FILES = "fi as (select min(doc_id) doc_id, any_value(text) text from documents group by text)"
+_STORED = "fi as (select min('doc-' || doc_id || '.docx') doc_name, any_value(doc_id) doc_id, any_value(text) text from documents group by text)"
 
 
-@query(f"""with recursive {_BOOK}, {_FILES.replace('min(doc_id) doc_id', "min('doc-' || doc_id || '.docx') doc_name, any_value(doc_id) doc_id")} select doc_name, 'done' status, coalesce(total_chars, 0) total_chars, coalesce(chapter_count, 0) chapter_count, 0::bigint table_count
+@query(f"""with recursive {_BOOK}, {_STORED} select doc_name, 'done' status, coalesce(total_chars, 0) total_chars, coalesce(chapter_count, 0) chapter_count, 0::bigint table_count
  from fi left join (select doc_id, sum(length(text))::bigint total_chars from w group by 1) using (doc_id) left join (select doc_id, count(*) chapter_count from nd group by 1) using (doc_id)""")
 def store_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with equal bytes are one document, under the least name."""
     return _store(spark, sf_dir).listing().select("doc_name", "status", "total_chars", "chapter_count", "table_count")
 
 
-@query(f"""with recursive {_BOOK}, {_FILES.replace('min(doc_id) doc_id', "min('doc-' || doc_id || '.docx') doc_name, any_value(doc_id) doc_id")}, x as (select doc_name, i, lower(trim(nd.text) || ' ' || content) t from nd join fi using (doc_id)), f as (select doc_name, i, greatest(0, length(t) - 2) d, (length(t) - length(replace(t, 'the', ''))) // 3 f0, (length(t) - length(replace(t, 'tion', ''))) // 4 f1 from x),
+@query(f"""with recursive {_BOOK}, {_STORED}, x as (select doc_name, i, lower(trim(nd.text) || ' ' || content) t from nd join fi using (doc_id)), f as (select doc_name, i, greatest(0, length(t) - 2) d, (length(t) - length(replace(t, 'the', ''))) // 3 f0, (length(t) - length(replace(t, 'tion', ''))) // 4 f1 from x),
  st as (select count(*) n, avg(d) a, count(*) filter (where f0 > 0) d0, count(*) filter (where f1 > 0) d1 from f)
  select doc_name, i::int order_num, round(-(case when ln((n - d0 + 0.5) / (d0 + 0.5)) <= 0 then 1e-6 else ln((n - d0 + 0.5) / (d0 + 0.5)) end * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * d / a)) + case when ln((n - d1 + 0.5) / (d1 + 0.5)) <= 0 then 1e-6 else ln((n - d1 + 0.5) / (d1 + 0.5)) end * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * d / a))), 9) as rank from f, st where f0 > 0 and f1 > 0""")
 def store_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked search through the stored index."""
-    made, terms = _store(spark, sf_dir), ["the", "tion"]
-    totals = made.table("lengths").agg(F.count("*").alias("__n"), F.avg("length").alias("__avg"))
-    ranked = search.bm25(search.with_any_term(made.table("chapters"), made.table("grams"), terms), terms, totals)
+    made = _store(spark, sf_dir)
+    names = made.table("documents").select(F.col("id").alias("doc_id"), "doc_name")
+    ranked = made.ranked("the tion").join(names, "doc_id")
+    return ranked.select("doc_name", ((F.col("id") - 1) % ingest.PER_DOCUMENT).cast("int").alias("order_num"), F.round("rank", 9).alias("rank"))
+
+
+@query(f"""with recursive {_BOOK}, {_STORED}, x as (select doc_name, i, trim(nd.text) title from nd join fi using (doc_id))
+ select doc_name, i::int order_num, title from x where contains(lower(title), 'the') and contains(lower(title), 'ion')""")
+def store_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that hold both terms, from the stored index of titles; a title is read once its place is known."""
+    made = _store(spark, sf_dir)
+    version = made.version()
+    found = postings.holding(made.matches("title", ["the", "ion"], version)).select("id")
     names = made.table("documents").select(F.col("id").alias("doc_id"), "doc_name")
-    return ranked.join(names, "doc_id").select("doc_name", "order_num", F.round("rank", 9).alias("rank"))
+    return made.table("chapters").join(found, "id", "left_semi").join(names, "doc_id").select("doc_name", "order_num", F.trim("title").alias("title"))
 
 
 @query(f"""with recursive {NODES}, m as (select *, raw as lvl, row_number() over (partition by doc_id order by seq) - 1 pos, count(*) over (partition by doc_id) total from c),

@@ -183,7 +183,9 @@ def test_stored_index_and_status(spark, tmp_path):
 
         scanned = search_content(chapters, words, doc).collect()
         assert store.search(doc, words).collect() == scanned
-    assert store.table("lengths").count() == chapters.count() and store.table("grams").where("gram = '保证金'").count() == 1
+    index = store.table("postings")
+    assert index.where("field = 'text' and gram = ''").agg(F.sum(F.size("ids"))).first()[0] == chapters.count() == store.version().chapters
+    assert index.where("field = 'text' and gram = '保证金'").select(F.aggregate("counts", F.lit(0), lambda a, x: a + x)).first()[0] == 1
     plan = store.map(doc)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(block" in plan
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import numbers, text
-from quire.operators import catalog, decisions, features, numbering, search, tree
+from quire.operators import catalog, decisions, features, numbering, postings, search, tree
 from quire.sources.config import load_settings
 
 
@@ -129,7 +129,8 @@ def test_search_is_literal(spark):
     assert chapters.where("id = 2").select(text.occurrences(F.col("content"), "aa")).first()[0] == 5
     assert chapters.where("id = 1").select(text.occurrences(F.col("content"), "\\Emax")).first()[0] == 1
     assert search.search_content(chapters, "aab AAAB").first()["id"] == 2
-    assert [r["id"] for r in search.match_postings(chapters, search.postings(chapters), "aaab").collect()] == [2]
+    index = postings.build(chapters, {"text": search.indexed_text()})
+    assert [r["id"] for r in postings.holding(postings.matches(index, "text", ["aaab"])).collect()] == [2]
     with pytest.raises(ValueError, match="no keywords"):
         search.search_content(chapters, " ")
 
