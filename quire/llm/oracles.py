@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm.quality_rules import PRIOR, RATES
+from quire.llm.quality_rules import CELLS, PRIOR, RATES, VALLEY
 
 WORD = r"[^\x20\x09-\x0D]+"
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -20,7 +20,9 @@ def _mixed(name: str, keys: list[str], parent: str, on: str) -> str:
 
 
 _LEVEL = "case rate " + " ".join(f"when {k} then {r.level}::double" for k, r in enumerate(RATES)) + " end"
-_LIMITS = ", ".join(f"max(hi + {r.reach} * (hi - mid)) filter (where rate = {k}) l{k}" for k, r in enumerate(RATES))
+_REACH = "case rate " + " ".join(f"when {k} then {r.reach}" for k, r in enumerate(RATES)) + " end"
+_AHEAD = "case rate " + " ".join(f"when {k} then max(p) over (partition by lang, rate order by bin range between current row and {r.gap} following)" for k, r in enumerate(RATES)) + " end"
+_LIMITS = ", ".join(f"max(case when mid <= most then least(own, most) else own end) filter (where rate = {k}) l{k}" for k in range(len(RATES)))
 
 QUALITY_RULES = f"""with d as (select row_number() over () k, doc_id, lang, source, coalesce(text, '') as t from documents),
  a as (select *, regexp_extract_all(t, '{WORD}') w from d),
@@ -36,9 +38,14 @@ QUALITY_RULES = f"""with d as (select row_number() over () k, doc_id, lang, sour
  c as (select lang, source, rate, bin, count(*) n from x group by all),
  ca as (select rate, bin, sum(sum(n)) over (partition by rate order by bin) / sum(sum(n)) over (partition by rate) p from c group by rate, bin),
  {_mixed('cl', ['lang'], 'ca', 'true')},
- {_mixed('cs', ['lang', 'source'], 'cl', 'o.lang is not distinct from k.lang')},
- q as (select lang, source, rate, min(bin) filter (where p >= {_LEVEL}) hi, min(bin) filter (where p >= 0.5::double) mid from cs group by all),
- lim as (select lang, source, {_LIMITS} from q group by all)
+ va as (select *, {_AHEAD} ahead, min(bin) filter (where p >= 0.5::double) over (partition by lang, rate) mid from cl),
+ vl as (select lang, rate, min(bin) filter (where bin >= mid and ahead - p < {VALLEY}::double) most from va group by all),
+ gs as (select k.lang, k.source, o.rate, o.bin, o.p from (select distinct lang, source from c) k join cl o on o.lang is not distinct from k.lang),
+ cs as (select g.lang, g.source, g.rate, g.bin, g.p, sum(coalesce(s.n, 0)) over (partition by g.lang, g.source, g.rate order by g.bin) below, sum(coalesce(s.n, 0)) over (partition by g.lang, g.source, g.rate) total
+  from gs g left join c s on s.lang is not distinct from g.lang and s.source is not distinct from g.source and s.rate = g.rate and s.bin = g.bin),
+ q as (select lang, source, rate, min(bin) filter (where p >= ({_LEVEL} * (total + {PRIOR}::double) - below) / {PRIOR}::double) hi, min(bin) filter (where p >= (0.5::double * (total + {PRIOR}::double) - below) / {PRIOR}::double) mid from cs group by all),
+ ql as (select q.*, least({CELLS}, hi + ({_REACH.replace('rate', 'q.rate')}) * (hi - mid)) own, most from q join vl on vl.lang is not distinct from q.lang and vl.rate = q.rate),
+ lim as (select lang, source, {_LIMITS} from ql group by all)
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(not base_failed and r0 <= l0 and r1 <= l1 and r2 <= l2, false) kept, l0 most_symbol_rate, l1 most_repeat_rate, l2 most_dup_line_rate
  from m left join lim on lim.lang is not distinct from m.lang and lim.source is not distinct from m.source"""
 

@@ -10,12 +10,22 @@ word, repeated lines per line) are summed up in quantile sketches, histograms of
 are built by partial aggregation; a quantile is off by one cell at most, and the
 same rows give the same sketch in any order. Each language and source has its
 own limits: with q the `level` quantile of a rate and m its median, a document
-goes when its rate is beyond q + reach * (q - m). No limit is a constant.
+goes when its rate is beyond q + reach * (q - m). Where a source holds more junk
+than 1 - level, that would be a limit that the junk has set, so it may not
+exceed the language's: the least rate, from the median on, with less than `VALLEY`
+of the language's documents within `gap` cells above it. A share of junk below a
+half leaves the median alone, and so leaves the valley between the texts that
+make up the bulk and a mode of junk, wherever it lies. It is measured in shares
+of documents, so it is the same at any size. A source whose own median lies beyond
+its language's valley is of another kind and has its own limit alone. No limit is
+a constant.
 
 A small group says little by itself, so every group's distribution is mixed with
 its language's, which counts as `prior` more documents, and the language's with
 that of all documents; one formula holds for groups of any size. Documents that
-fail the base rules stay out of the sketches.
+fail the base rules stay out of the sketches. A source's quantiles are read off
+its own cells and its language's curve, which is one row, so the work follows the
+number of cells that sources have.
 
 Null text: no words, so it fails the base rules; so does an empty one. Null lang
 or source is a value of its own. Repeated rows count each; equal rates are
@@ -31,7 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +53,7 @@ NEW_LINE = byte_set("\n")
 FEATURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 CELLS = 1000
 PRIOR = 50
+VALLEY = 0.0025
 
 
 @dataclass(frozen=True)
@@ -54,12 +65,13 @@ class Rate:
     whole: str
     level: float
     reach: int
+    gap: int
 
 
 RATES = (
-    Rate("symbol_rate", "n_symbols", "word_chars", 0.9, 3),
-    Rate("repeat_rate", "n_repeat_words", "n_words", 0.95, 3),
-    Rate("dup_line_rate", "n_dup_lines", "n_lines", 0.98, 1),
+    Rate("symbol_rate", "n_symbols", "word_chars", 0.9, 3, 60),
+    Rate("repeat_rate", "n_repeat_words", "n_words", 0.95, 3, 150),
+    Rate("dup_line_rate", "n_dup_lines", "n_lines", 0.98, 1, 400),
 )
 
 
@@ -123,35 +135,56 @@ def sketches(measured: DataFrame) -> DataFrame:
     return measured.where(~F.col("base_failed")).select("lang", "source", cells).groupBy("lang", "source", "x.rate", "x.cell").agg(F.count("*").alias("n"))
 
 
-def mixed(groups: DataFrame, sketch: DataFrame, above: DataFrame, keys: list[str], prior: int) -> DataFrame:
-    """keys, rate, cell, p: each group's cumulative shares, mixed with `above` (its parent's: cell, p for each rate), which counts as `prior` documents."""
-    own, same = sketch.withColumnsRenamed({k: f"own_{k}" for k in keys}), F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"own_{k}"))
-    if "lang" in above.columns:
-        grid = groups.join(above.withColumnRenamed("lang", "of_lang"), F.col("lang").eqNullSafe(F.col("of_lang"))).drop("of_lang")
-    else:
-        every_cell = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(RATES) - 1))).alias("rate")).select("*", F.explode(F.sequence(F.lit(0), F.lit(CELLS)).cast("array<bigint>")).alias("cell"))
-        grid = every_cell.join(above, ["rate", "cell"])
-    own = own.withColumnsRenamed({"rate": "own_rate", "cell": "own_cell"})
-    joined = grid.join(own, same & (F.col("rate") == F.col("own_rate")) & (F.col("cell") == F.col("own_cell")), "left")
-    every, n = Window.partitionBy(*keys, "rate"), F.coalesce(F.col("n"), F.lit(0))
-    below, total = F.sum(n).over(every.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)), F.sum(n).over(every)
-    return joined.select(*keys, "rate", "cell", ((below + F.lit(float(prior)) * F.col("p")) / (total + F.lit(float(prior)))).alias("p"))
+def _of(values: list[float | int]) -> Column:
+    """The value of each row's rate."""
+    return F.element_at(F.array(*map(F.lit, values)), F.col("rate") + 1)
+
+
+def _shares(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """cells (keys, rate, cell, n) with `below`, the number up to each cell, and `total`."""
+    every = Window.partitionBy(*keys, "rate")
+    return cells.select("*", F.sum("n").over(every.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)).alias("below"), F.sum("n").over(every).alias("total"))
+
+
+def language_curves(by_source: DataFrame, prior: int) -> DataFrame:
+    """lang, rate, cell, p: cumulative shares of each language, mixed with those of all documents, at every cell that any document has."""
+    overall = _shares(by_source.groupBy("rate", "cell").agg(F.sum("n").alias("n")), []).select("rate", "cell", (F.col("below") / F.col("total")).alias("p"))
+    own = by_source.groupBy("lang", "rate", "cell").agg(F.sum("n").alias("n")).withColumnsRenamed({"lang": "own_lang", "rate": "own_rate", "cell": "own_cell"})
+    grid = by_source.select("lang").distinct().join(F.broadcast(overall))  # at most CELLS + 1 rows for each rate
+    joined = grid.join(own, F.col("lang").eqNullSafe(F.col("own_lang")) & (F.col("rate") == F.col("own_rate")) & (F.col("cell") == F.col("own_cell")), "left")
+    shares = _shares(joined.select("lang", "rate", "cell", "p", F.coalesce("n", F.lit(0)).alias("n")), ["lang"])
+    return shares.select("lang", "rate", "cell", ((F.col("below") + F.lit(float(prior)) * F.col("p")) / (F.col("total") + F.lit(float(prior)))).alias("p"))
+
+
+def curve_rows(curves: DataFrame) -> DataFrame:
+    """lang, rate, curve (its cells in order, as one array), most: the last cell before the valley."""
+    w = Window.partitionBy("lang", "rate")
+    ahead = [F.when(F.col("rate") == k, F.max("p").over(w.orderBy("cell").rangeBetween(0, r.gap))) for k, r in enumerate(RATES)]
+    seen = curves.withColumn("ahead", F.coalesce(*ahead)).withColumn("mid", F.min(F.when(F.col("p") >= 0.5, F.col("cell"))).over(w))
+    last = F.min(F.when((F.col("cell") >= F.col("mid")) & (F.col("ahead") - F.col("p") < VALLEY), F.col("cell")))  # the greatest cell has nothing above it
+    return seen.groupBy("lang", "rate").agg(F.sort_array(F.collect_list(F.struct("cell", "p"))).alias("curve"), last.alias("most"))
 
 
 def limits(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
     """lang, source and the greatest cell that each rate may have."""
-    by_source = cut(sketches(measured))  # a few hundred rows for each group
-    every = Window.partitionBy("rate")
-    below = F.sum("n").over(every.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    overall = by_source.groupBy("rate", "cell").agg(F.sum("n").alias("n")).select("rate", "cell", (below / F.sum("n").over(every)).alias("p"))
-    by_lang = by_source.groupBy("lang", "rate", "cell").agg(F.sum("n").alias("n"))
-    lang = mixed(by_source.select("lang").distinct(), by_lang, overall, ["lang"], prior)
-    source = mixed(by_source.select("lang", "source").distinct(), by_source, lang, ["lang", "source"], prior)
-    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("rate") + 1)
-    read = source.groupBy("lang", "source", "rate").agg(F.min(F.when(F.col("p") >= of([r.level for r in RATES]), F.col("cell"))).alias("high"), F.min(F.when(F.col("p") >= 0.5, F.col("cell"))).alias("mid"))
-    limit = F.col("high") + of([r.reach for r in RATES]) * (F.col("high") - F.col("mid"))
+    by_source = cut(sketches(measured))
+    curves = curve_rows(language_curves(by_source, prior)).withColumnRenamed("lang", "of_lang")
+    # between two of a source's own cells its count is fixed, so the first cell whose mixed share is enough is read off the language's curve
+    w = Window.partitionBy("lang", "source", "rate").orderBy("cell")
+    shares = _shares(by_source, ["lang", "source"]).select("lang", "source", "rate", "cell", "below", "total", F.coalesce(F.lead("cell").over(w), F.lit(CELLS + 1)).alias("next"), F.row_number().over(w).alias("at"))
+    first = F.struct(F.lit(0).cast("bigint").alias("cell"), F.lit(0).cast("bigint").alias("below"), F.col("cell").alias("next"))
+    spans = F.when(F.col("at") == 1, F.array(first, F.struct("cell", "below", "next"))).otherwise(F.array(F.struct("cell", "below", "next")))
+    stretches = shares.select("lang", "source", "rate", "total", F.inline(spans))
+    joined = stretches.join(curves.withColumnRenamed("rate", "of_rate"), F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("rate") == F.col("of_rate")))
+
+    def quantile(level: Column) -> Column:
+        need = (level * (F.col("total") + F.lit(float(prior))) - F.col("below")) / F.lit(float(prior))
+        enough = F.try_element_at(F.filter("curve", lambda x: x["p"] >= need), F.lit(1))["cell"]
+        return F.min(F.when(F.greatest("cell", enough) < F.col("next"), F.when(enough.isNotNull(), F.greatest("cell", enough))))
+
+    read = joined.groupBy("lang", "source", "rate").agg(quantile(_of([r.level for r in RATES])).alias("high"), quantile(F.lit(0.5)).alias("mid"), F.max("most").alias("most"))
+    own = F.least(F.lit(CELLS), F.col("high") + _of([r.reach for r in RATES]) * (F.col("high") - F.col("mid")))
+    limit = F.when(F.col("mid") <= F.col("most"), F.least(own, F.col("most"))).otherwise(own)
     return read.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == k, limit)).alias(f"most_{r.name}") for k, r in enumerate(RATES)))
 
 

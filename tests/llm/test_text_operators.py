@@ -14,7 +14,8 @@ from quire.llm.bpe import SpeculativeBpe, bpe
 from quire.llm.decontaminate import decontaminate, without_contaminated
 from quire.llm.packing import best_fit_decreasing, encoding, packing, read_ids, write_ids
 from quire.llm.quality_classifier import quality_classifier
-from quire.llm.quality_rules import RATES, quality_rules
+from pyspark.sql import functions as F
+from quire.llm.quality_rules import CELLS, RATES, VALLEY, limits, quality_rules
 from quire.llm.sharding import Group, ShardMap, Slot, sharding
 from quire.llm.toxicity import isotonic, toxicity
 
@@ -279,11 +280,42 @@ def test_sketches_are_exact_to_a_cell(spark, docs):
             p = (sum(x <= cell for x in own) + 50 * p) / (len(own) + 50)
             return (sum(x <= cell for x in cells[lang, src]) + 50 * p) / (len(cells[lang, src]) + 50)
 
+        def share_of(cell, lang):
+            every, own = ([x for (a, _), v in cells.items() if a == lang or whole for x in v] for whole in (True, False))
+            return (sum(x <= cell for x in own) + 50 * sum(x <= cell for x in every) / len(every)) / (len(own) + 50)
+
         grid = sorted({x for v in cells.values() for x in v})
         for lang, src in list(cells):
             high, mid = (next(c for c in grid if share(c, lang, src) >= q - 1e-12) for q in (rate.level, 0.5))
             limit = {r["most_" + rate.name] for r, d in keep if source[d] == (lang, src)}
-            assert limit == {high + rate.reach * (high - mid)}
+            bulk = next(c for c in grid if share_of(c, lang) >= 0.5)
+            most = next(c for c in grid if c >= bulk and share_of(c + rate.gap, lang) - share_of(c, lang) < VALLEY)
+            own = min(CELLS, high + rate.reach * (high - mid))
+            assert limit == {min(own, most) if mid <= most else own}
+
+
+@pytest.mark.parametrize("share", [5, 15, 30])
+def test_junk_in_a_source_lifts_no_limit(spark, share):
+    rnd = random.Random(share)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    rows, junk = [], set()
+    for k in range(600):
+        w = [word() for _ in range(rnd.randint(60, 120))]
+        if k % 100 < share:
+            junk.add(2 * k)
+            w = [x + "##$"[: max(1, len(x) // 3)] for x in w] if k % 2 else [*w[:30], *w[:30], *w[30:]]  # a third of symbols, or a passage twice
+        elif k % 7 == 0:
+            w[9] += "#"
+        rows.append((2 * k, " ".join(w)))
+    got = {r.doc_id: r.kept for r in quality_rules(frame(spark, rows)).collect()}  # one source
+    assert sum(not got[d] for d in junk) >= 0.9 * len(junk)
+    assert sum(not v for d, v in got.items() if d not in junk) <= 0.01 * (600 - len(junk))
+
+
+def test_many_sources(spark):
+    """Quantiles follow the cells that sources have, not a grid for each."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), (F.col("id") % 10_000).cast("string").alias("source"), F.lit(False).alias("base_failed"), *((F.col("id") % (7 + k)).alias(r.name) for k, r in enumerate(RATES)))
+    assert limits(rows).count() == 10_000
 
 
 # classifiers
