@@ -122,8 +122,8 @@ def language_sample(docs: DataFrame, folds: int, held_out: int, sample: int) ->
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = base.where("lang is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out)
-    many = known.groupBy("lang").agg(F.count("*").alias("n"))
-    few = known.select("doc_id", "lang").join(many, "lang").withColumn("rank", part * F.col("n")).where(F.col("rank") < 2 * sample).select("doc_id", "lang", "rank").distinct()
+    many = known.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language; the model is 2**18 numbers for each
+    few = known.select("doc_id", "lang").join(F.broadcast(many), "lang").withColumn("rank", part * F.col("n")).where(F.col("rank") < 2 * sample).select("doc_id", "lang", "rank").distinct()
     chosen = few.orderBy("rank", "lang", "doc_id").limit(sample)
     return known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))  # chosen: `sample` rows at most
 
