@@ -6,9 +6,11 @@ one scan of the chapters; corpus statistics are one aggregate of a few numbers.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,14 +88,48 @@ def ranked_matches(found: DataFrame, n_terms: int, totals: DataFrame) -> DataFra
     return hits.withColumn("rank", -relevance([F.element_at("tf", k + 1) for k in range(n_terms)], F.col("length"))).select(*found.columns, "rank")
 
 
+def best_window(text: Column, terms: list[str], size: int) -> Column:
+    """Where the window of `size` characters begins that shows most: of the windows that begin with a term's hit the one with
+    most different terms, then most hits, then the first; moved to have its hits in the middle, within the text.
+
+    Windows and texts are counted in trigrams, of which a text has two less than characters. One pass over the hits
+    of a text, with a pointer for each term at either end of the window; meant for the few texts that are shown.
+    """
+    wanted, grams = [t.lower() for t in terms], size - 2
+
+    def start(low: str) -> int:
+        hits = [[m.start() for m in re.finditer(f"(?={re.escape(t)})", low)] for t in wanted]
+        first, past, best = [0] * len(wanted), [0] * len(wanted), None
+        for at in sorted({i for h in hits for i in h}):
+            shown, end = 0, at
+            for k, h in enumerate(hits):
+                while first[k] < len(h) and h[first[k]] < at:
+                    first[k] += 1
+                while past[k] < len(h) and h[past[k]] < at + grams:
+                    past[k] += 1
+                if past[k] > first[k]:
+                    shown += 999 + past[k] - first[k]
+                    end = max(end, h[past[k] - 1] + len(wanted[k]) - 2)
+            if best is None or shown > best[0]:
+                best = shown, at, end
+        if best is None:
+            return 0
+        return max(0, min(best[1] - int((grams - (best[2] - best[1])) / 2), len(low) - 2 - grams))
+
+    @F.pandas_udf("int")
+    def starts(low: pd.Series) -> pd.Series:
+        return low.fillna("").map(start).astype("int32")
+
+    return starts(F.lower(text))
+
+
 def snippet(text: Column, terms: list[str], width: int = 14) -> Column:
-    """A window of `width` characters about the first term's first hit, hits in brackets, ellipses where it is cut."""
-    at = F.locate(terms[0].lower(), F.lower(text))
-    size = max(width, len(terms[0]))
-    start = F.greatest(F.lit(0), F.least(at - 1, F.length(text) - size))
-    piece = F.substring(text, start + 1, F.lit(size))
+    """The best window of `width` characters, hits in brackets, ellipses where it is cut."""
+    size = max(width, *map(len, terms))
     quoted = "(?i)(" + "|".join(f"\\Q{t}\\E" for t in sorted(terms, key=len, reverse=True)) + ")"
-    marked = F.regexp_replace(piece, quoted, "【$1】")
+
+    start = best_window(text, terms, size)
+    marked = F.regexp_replace(F.substring(text, start + 1, F.lit(size)), quoted, "【$1】")
     return F.concat(F.when(start > 0, "…").otherwise(""), marked, F.when(start + size < F.length(text), "…").otherwise(""))
 
 

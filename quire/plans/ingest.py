@@ -33,6 +33,14 @@ class Ingested:
         self.scratch.close()
 
 
+def rendered_numbers(paragraphs: DataFrame, pstyles: DataFrame, levels: DataFrame) -> DataFrame:
+    """doc_id, para_index, number_text of the paragraphs of a list: by their own list, else by one that their style belongs to."""
+    styled = pstyles.select("doc_id", "style_id", F.col("num_id").alias("style_num"), F.col("ilvl").alias("style_ilvl"))
+    joined = paragraphs.join(styled, ["doc_id", "style_id"], "left")
+    counted = joined.select("doc_id", F.col("para_index").alias("order"), F.coalesce("num_id", "style_num").alias("num_id"), F.when(F.col("num_id").isNotNull(), F.col("ilvl")).otherwise(F.col("style_ilvl")).alias("ilvl"))
+    return numbering.render(counted.where("num_id > 0").withColumn("ilvl", F.coalesce("ilvl", F.lit(0))), levels).select("doc_id", F.col("order").alias("para_index"), "number_text")
+
+
 def headings(parsed: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(body items that stay, heading candidates among them)."""
     cut = (scratch or Scratch(parsed.sparkSession)).cut
@@ -40,11 +48,9 @@ def headings(parsed: DataFrame, scratch: Scratch | None = None) -> tuple[DataFra
     body = cut(cleaning.select_body(items))
     styles = parsed.select("doc_id", F.inline("styles"))
     levels = parsed.select("doc_id", F.inline("levels"))
-    pstyles = parsed.select("doc_id", F.inline("pstyles")).select("doc_id", "style_id", F.col("num_id").alias("style_num"), F.col("ilvl").alias("style_ilvl"))
+    pstyles = parsed.select("doc_id", F.inline("pstyles"))
     paragraphs = features.resolve_features(body.where("kind = 'p'").select("doc_id", "seq", "para_index", "text", "style_id", "ppr", "runs"), styles)
-    numbered = paragraphs.join(pstyles, ["doc_id", "style_id"], "left")
-    counted = numbered.select("doc_id", F.col("para_index").alias("order"), F.coalesce("num_id", "style_num").alias("num_id"), F.when(F.col("num_id").isNotNull(), F.col("ilvl")).otherwise(F.col("style_ilvl")).alias("ilvl"))
-    rendered = numbering.render(counted.where("num_id > 0").withColumn("ilvl", F.coalesce("ilvl", F.lit(0))), levels).select("doc_id", F.col("order").alias("para_index"), "number_text")
+    rendered = rendered_numbers(paragraphs, pstyles, levels)
     joined = paragraphs.join(features.baselines(paragraphs), "doc_id", "left").where(features.is_candidate()).join(rendered, ["doc_id", "para_index"], "left")
     manual = text.manual_prefix(F.col("text"))
     level = features.suggest_level(F.col("outline_lvl"), text.style_level(F.col("style_name"), F.col("style_id")))

@@ -413,6 +413,13 @@ def docx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.where("kind = 'p'").select("doc_id", "seq", "text")
 
 
+@query(f"with {LINES} select doc_id, seq, {PRINTABLE} text from lines where not contains(text, '|')")
+def docx_paragraphs_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by SQL alone: the parser as a table function."""
+    docx.register(spark)
+    return spark.sql("select f.doc_id, i.seq, i.text from {files} f, lateral docx_items(f.content) i where i.kind = 'p'", files=_files(spark, sf_dir))
+
+
 @query(f"""with {LINES}, x as (select doc_id, seq, unnest(range(len(a)))::int col_idx, trim(unnest(a)) as content, len(a)::int total_cols from (select doc_id, seq, string_split({PRINTABLE}, '|') a from lines where contains(text, '|')))
  select doc_id, seq, 0 row_idx, col_idx, 1 row_span, 1 col_span, content, 1 total_rows, total_cols from x""")
 def docx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,6 +442,76 @@ def docx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "seq", "style_name", "font_size_halfpt", "bold", "first_line_indent_chars", "outline_lvl", "has_numpr", "num_id", "ilvl", "mixed_run_fmt")
 
 
+# files with tables of spans, paragraphs of two runs, and styles that number by themselves
+_RICH = f"""{LINES}, p as (select doc_id, seq, {PRINTABLE} text, length(text) n from lines), tb as (select *, coalesce(trim(substr(text, 1, 4)), '') a, coalesce(trim(substr(text, 5, 4)), '') b from p where n % 10 = 9 and n % 20 <> 19),
+ gc as (select doc_id, seq, n, unnest([
+   {{'r': 0, 'c': 0, 'h': 1, 'w': 2, 't': a}}, {{'r': 0, 'c': 2, 'h': case when n % 3 = 0 then 3 else 2 end, 'w': 1, 't': b}}, {{'r': 1, 'c': 0, 'h': 1, 'w': 1, 't': b}}, {{'r': 1, 'c': 1, 'h': 1, 'w': 1, 't': a}},
+   {{'r': 2, 'c': 0, 'h': 1, 'w': case when n % 3 = 0 then 2 else 1 end, 't': 'end'}}, {{'r': 2, 'c': 1, 'h': 1, 'w': 2, 't': case when n % 3 = 0 then null else a end}}]) x from tb),
+ ce as (select doc_id, seq, n, x.r row_idx, x.c col_idx, x.h row_span, x.w col_span, x.t as content, x.r = 0 and n % 4 < 2 is_header from gc where x.t is not null)"""
+
+
+def _rich_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each document. By the length of a line: a table of three rows with merged cells or one without rows, or a paragraph, maybe of two runs or of a style of a list; short ones have an outline level."""
+    n, none, t = F.length("text"), F.lit(None), F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    a, b, third = F.trim(F.substring(t, 1, 4)), F.trim(F.substring(t, 5, 4)), n % 3 == 0
+    kind = "struct<text:string,span:int,merge:string,bold:boolean>"
+    of = lambda text, span=None, merge=None, bold=None: F.struct(text.alias("text"), F.lit(span).cast("int").alias("span"), F.lit(merge).cast("string").alias("merge"), (none if bold is None else bold).cast("boolean").alias("bold"))
+    head = F.when(n % 4 < 2, True)
+    last = F.when(third, F.array(of(F.lit("end"), 2), of(F.lit(""), None, "continue"))).otherwise(F.array(of(F.lit("end")), of(a, 2)))
+    grid = F.array(F.array(of(a, 2, None, head), of(b, None, "restart", head)), F.array(of(b), of(a), of(F.lit(""), None, "continue")), last)
+    rows = lines(spark, sf_dir).select(
+        "doc_id", "seq", "text", F.when(n % 5 == 0, "L1").when(n % 5 == 1, "L2").alias("style_id"), none.cast("int").alias("size"), none.cast("boolean").alias("bold"), F.when(n <= 50, n % 5).alias("outline"),
+        none.cast("int").alias("list_id"), none.cast("int").alias("level"), none.cast("int").alias("first_chars"), none.cast("array<string>").alias("cells"),
+        F.when(n % 20 == 19, F.array().cast(f"array<array<{kind}>>")).when(n % 10 == 9, grid).alias("grid"), F.lit(3).alias("grid_cols"), F.when(n % 7 == 0, "x").alias("tail"), F.lit(30).alias("tail_size"),
+    )
+    kinds = docx_writer.list_kind(5, ("decimal", "%1."), ("lowerLetter", "%1.%2"), styles={0: "L1", 1: "L2"})
+    return docx_writer.write_files(rows, [docx_writer.style("L1", "list one"), docx_writer.style("L2", "list two", "L1")], [kinds, docx_writer.list_of(3, 5)])
+
+
+@query(f"with {_RICH} select doc_id, seq, row_idx, col_idx, row_span, col_span, content, is_header, 3 total_rows, 3 total_cols from ce")
+def docx_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of tables with cells over several columns and rows, and bold heads."""
+    items = docx.parse_files(_rich_files(spark, sf_dir)).select("doc_id", F.inline("items")).where("kind = 'tbl'")
+    return items.select("doc_id", "seq", "total_rows", "total_cols", F.inline("cells")).withColumn("content", F.trim("content"))
+
+
+@query(f"""with {_RICH} select doc_id, seq, text || case when n % 7 = 0 then 'x' else '' end text, n % 7 = 0 and trim(text) <> '' mixed_run_fmt, case when n % 7 = 0 and trim(text) = '' then 30 end::int font_size_halfpt from p where n % 10 <> 9""")
+def docx_mixed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of two runs, the second of a size of its own."""
+    parsed = cut(docx.parse_files(_rich_files(spark, sf_dir)))
+    items = parsed.select("doc_id", F.inline("items")).where("kind = 'p'").select("doc_id", "seq", "text", "style_id", "ppr", "runs")
+    return features.resolve_features(items, parsed.select("doc_id", F.inline("styles"))).select("doc_id", "seq", "text", "mixed_run_fmt", "font_size_halfpt")
+
+
+@query(f"""with {_RICH}, e as (select doc_id, seq, n % 5 l, count(*) filter (where n % 5 = 0) over w n0 from p where n % 10 <> 9 and n % 5 < 2 window w as (partition by doc_id order by seq)),
+ x as (select *, greatest(1, count(*) filter (where l = 1) over (partition by doc_id, n0 order by seq)) k from e), lt(i, k, s) as (select distinct k, k, '' from x union all select i, (k - 1) // 26, chr((97 + (k - 1) % 26)::int) || s from lt where k > 0)
+ select doc_id, seq, case when l = 0 then greatest(1, n0) || '.' else greatest(1, n0) || '.' || s end number_text from x join lt on lt.i = x.k and lt.k <= 0""".replace("with ", "with recursive ", 1))
+def docx_style_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of paragraphs that belong to a list by their style alone."""
+    parsed = cut(docx.parse_files(_rich_files(spark, sf_dir)))
+    items = parsed.select("doc_id", F.inline("items")).where("kind = 'p'").select("doc_id", F.col("seq").alias("para_index"), "text", "style_id", "ppr", "runs")
+    paragraphs = features.resolve_features(items, parsed.select("doc_id", F.inline("styles")))
+    found = ingest.rendered_numbers(paragraphs, parsed.select("doc_id", F.inline("pstyles")), parsed.select("doc_id", F.inline("levels")))
+    return found.select("doc_id", F.col("para_index").alias("seq"), "number_text")
+
+
+_PLACED = f"""{_RICH}, wr as (select * from p where trim(text) <> '' or n % 10 = 9), hd as (select doc_id, seq, row_number() over (partition by doc_id order by seq) - 1 i from wr where n <= 50 and n % 10 <> 9 and trim(text) <> ''),
+ sc as (select wr.doc_id, wr.seq, wr.n, last_value(i ignore nulls) over (partition by wr.doc_id order by wr.seq) i from wr left join hd on hd.doc_id = wr.doc_id and hd.seq = wr.seq),
+ ta as (select *, doc_id * 4294967296 + i + 1 chapter_id, row_number() over (partition by doc_id, i order by seq) - 1 order_num, row_number() over (partition by doc_id order by seq) place from sc where n % 10 = 9 and n % 20 <> 19 and i is not null)"""
+
+
+@query(f"with {_PLACED} select (doc_id * 4294967296 + place)::bigint id, doc_id, chapter_id::bigint chapter_id, 3 total_rows, 3 total_cols, order_num::int order_num from ta")
+def ingest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with their chapters and places in them; those without rows are left out."""
+    return ingest.ingest(_rich_files(spark, sf_dir)).tables.select("id", "doc_id", "chapter_id", "total_rows", "total_cols", "order_num")
+
+
+@query(f"with {_PLACED} select (ta.doc_id * 4294967296 + place)::bigint table_id, ta.doc_id, row_idx, col_idx, row_span, col_span, content, is_header::int is_header from ta join ce using (doc_id, seq)")
+def ingest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ingest(_rich_files(spark, sf_dir)).cells
+
+
+
 _ROMAN_I = "case when {0} < 10 then (['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'])[1 + {0}] else repeat('m', ({0} // 1000)::int) || (['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'])[1 + {0} // 100 % 10] || (['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'])[1 + {0} // 10 % 10] || (['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'])[1 + {0} % 10] end"
 
 
@@ -550,8 +627,12 @@ def tree_levels_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {CHAPTERS}, x as (select id, title || ' ' || content t from ch where contains(lower(title || ' ' || content), 'the') and contains(lower(title || ' ' || content), 'tion')),
- y as (select id, t, greatest(0, least(strpos(lower(t), 'the') - 1, length(t) - 14)) s from x)
- select id, case when s > 0 then '…' else '' end || regexp_replace(substr(t, s + 1, 14), '(?i)(tion|the)', '【\\1】', 'g') || case when s + 14 < length(t) then '…' else '' end hit from y""")
+ h as (select id, t, length(t) - 2 toks, list_filter(range(length(t)), lambda i: substr(lower(t), i + 1, 3) = 'the') a, list_filter(range(length(t)), lambda i: substr(lower(t), i + 1, 4) = 'tion') b from x),
+ st as (select id, t, toks, a, b, unnest(list_distinct(list_concat(a, b))) s from h),
+ sc as (select *, len(list_filter(a, lambda i: i >= s and i < s + 12)) ca, len(list_filter(b, lambda i: i >= s and i < s + 12)) cb, greatest(coalesce(list_max(list_filter(a, lambda i: i >= s and i < s + 12)), -9) + 1, coalesce(list_max(list_filter(b, lambda i: i >= s and i < s + 12)), -9) + 2) e from st),
+ be as (select id, t, toks, greatest(0, least(s - trunc((12 - (e - s)) / 2.0)::bigint, toks - 12)) s from sc
+  qualify row_number() over (partition by id order by case when ca > 0 then 999 + ca else 0 end + case when cb > 0 then 999 + cb else 0 end desc, s) = 1)
+ select id, case when s > 0 then '…' else '' end || regexp_replace(substr(t, s + 1, 14), '(?i)(tion|the)', '【\\1】', 'g') || case when s + 12 < toks then '…' else '' end hit from be""")
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch = chapters(spark, sf_dir).where(search.match(search.indexed_text(), ["the", "tion"]))
     return ch.select("id", search.snippet(search.indexed_text(), ["the", "tion"]).alias("hit"))
@@ -590,8 +671,3 @@ def grid_merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (F.length("content") + F.col("row_idx")) % 3
     cells = _cells(spark, sf_dir).withColumn("col_span", F.lit(1)).withColumn("vmerge", F.when(kind == 0, "restart").when(kind == 1, "continue"))
     return grids.merge_rows(grids.place_cells(cells, ["doc_id"]), ["doc_id"]).select("doc_id", "row_idx", "col_idx", "row_span")
-
-
-#: Earlier names of queries that then read less and now are one with these.
-for _name, _of in (("numbering_render_whole", "numbering_render"), ("grid_markdown_whole", "grid_markdown"), ("manual_prefix_split_whole", "manual_prefix_split")):
-    QUERIES[_name], ORACLE_SQL[_name] = QUERIES[_of], ORACLE_SQL[_of]

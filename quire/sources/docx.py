@@ -191,3 +191,17 @@ def parse_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, [key, *(f.name for f in arrow)])
 
     return files.select(key, "content").mapInArrow(work, f"{key} {files.schema[key].dataType.simpleString()}, {PARSED}")
+
+
+class DocxItems:
+    """Table function: the body items of one file, a row each; none for a file that can't be read."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        for x in parse(content or b"")["items"]:
+            yield tuple(x.get(c) for c in ("seq", "kind", "text", "is_toc", "style_id", "total_rows", "total_cols"))
+
+
+def register(spark: SparkSession) -> None:
+    """Make `docx_items(content)` a function of SQL, to be used with LATERAL over a table of files."""
+    made = F.udtf(DocxItems, returnType="seq int, kind string, text string, is_toc boolean, style_id string, total_rows int, total_cols int", useArrow=True)
+    spark.udtf.register("docx_items", made)

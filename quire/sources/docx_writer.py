@@ -94,7 +94,8 @@ def write_files(paragraphs: DataFrame, styles: Iterable[Element] = (), numbering
     """doc_id, content: a file for each document.
 
     paragraphs: doc_id, seq, text, style_id, size, bold (of the run), outline, list_id, level, first_chars, cells (array of
-    texts; a one-row table in the place of a paragraph). A document is one file, so it is one task's group.
+    texts; a one-row table in the place of a paragraph). May also have grid (array of rows of text, span, merge, bold: a table of
+    `grid_cols` columns in the place of a paragraph) and tail, tail_size (a second run). A document is one file, so it is one task's group.
     """
     style_xml, list_xml = [ElementTree.tostring(x) for x in styles], [ElementTree.tostring(x) for x in numbering]
 
@@ -104,8 +105,11 @@ def write_files(paragraphs: DataFrame, styles: Iterable[Element] = (), numbering
             if r["cells"] is not None:
                 body.append(table(len(r["cells"]), [cell(_printable(c)) for c in r["cells"]]))
                 continue
-            text = run(_printable(r["text"] or ""), r["size"], r["bold"])
-            body.append(paragraph(text, style=r["style_id"], outline=r["outline"], list_id=r["list_id"], level=r["level"], first_chars=None if r["first_chars"] is None else str(r["first_chars"])))
+            if r.get("grid") is not None:
+                body.append(table(r["grid_cols"], *([cell(_printable(c["text"]), c["span"], c["merge"], c["bold"]) for c in row] for row in r["grid"])))
+                continue
+            runs = [run(_printable(r["text"] or ""), r["size"], r["bold"]), *([run(r["tail"], r["tail_size"])] if r.get("tail") else [])]
+            body.append(paragraph(*runs, style=r["style_id"], outline=r["outline"], list_id=r["list_id"], level=r["level"], first_chars=None if r["first_chars"] is None else str(r["first_chars"])))
         content = document(body, map(ElementTree.fromstring, style_xml), map(ElementTree.fromstring, list_xml))
         return pa.table({"doc_id": rows["doc_id"].slice(0, 1), "content": pa.array([content], pa.binary())})
 

@@ -56,28 +56,22 @@ def test_a_batch_that_breaks_off_changes_nothing_but_the_status(spark, tmp_path,
 
 
 def test_adds_leave_nothing_cached_and_no_scratch(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
-    for k in range(3):
+    shared = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir() or "file:///nowhere")
+    fs = shared.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    left = lambda: {s.getPath().getName() for s in (fs.listStatus(shared) if fs.exists(shared) else []) if s.getPath().getName().startswith("scratch-")}
+    store, cached, mine = Store(spark, str(tmp_path / "store")), spark.sparkContext._jsc.getPersistentRDDs().size(), left()
+    for k in range(2):
         store.add(files(spark, (f"f{k}", book(f"第{k}章"))))
-    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
-    shared = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
-    left = shared.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(shared)
-    mine = {s.getPath().getName() for s in left if s.getPath().getName().startswith("scratch-")}
-    store.add(files(spark, ("again", book("又一章"))))
-    left = shared.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(shared)
-    assert {s.getPath().getName() for s in left if s.getPath().getName().startswith("scratch-")} == mine
-    assert store.version().chapters == 4 == store.table("chapters").count()
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached and left() == mine
+    assert store.version().chapters == 2 == store.table("chapters").count()
 
 
-def test_of_two_writers_one_fails(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    store.add(files(spark, ("a", book("甲章"))))
-    start = store.version()
-    store.compact()
-    with pytest.raises(Conflict):
-        store._commit(start, start)
-    assert store.version().number == start.number + 1 and store.table("chapters").count() == 1
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A store of one book and one file that can't be read."""
+    store = Store(spark, str(tmp_path_factory.mktemp("small") / "store"))
+    store.add(files(spark, ("a", docx(paragraph("投标保证金", outline=0), paragraph("保证金为五万元。"), paragraph("评分办法", outline=0), paragraph("评分标准按照百分制计算。"))), ("bad", b"no zip")))
+    return store
 
 
 def test_ranked_search_reads_only_the_best_texts(spark, tmp_path):
@@ -120,10 +114,9 @@ def test_postings_against_counting(spark):
     assert postings.matches(postings.build(df.limit(0), {"text": F.col("t")}), "text", terms).isEmpty()
 
 
-def test_questions_in_a_thread_go_on(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    store.add(files(spark, ("a", docx(paragraph("投标保证金", outline=0), paragraph("保证金为五万元。"), paragraph("评分办法", outline=0), paragraph("评分标准按照百分制计算。")))))
-    doc = store.table("documents").first()["id"]
+def test_questions_in_a_thread_go_on(small):
+    store = small
+    doc = store.table("documents").where("doc_name = 'a'").first()["id"]
     first = ask(store, doc, "保证金是多少？", thread="t")
     seen = []
 
@@ -139,14 +132,44 @@ def test_questions_in_a_thread_go_on(spark, tmp_path):
     assert keyword_policy([{"role": "user", "content": "废标和保证金"}]) == [Call("search_content", {"keywords": "保证金"})]
 
 
-def test_what_is_not_there(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    assert store.listing().count() == 0 and store.search(None, "什么都没有").count() == 0
-    store.add(files(spark, ("a", book("甲章")), ("bad", b"no zip")))
-    for view in (store.stats, store.map, store.tree, lambda d: store.search(d, "甲章节"), lambda d: store.find(d, "甲章节")):
+def test_what_is_not_there(spark, small, tmp_path):
+    empty = Store(spark, str(tmp_path / "store"))
+    assert empty.listing().count() == 0 and empty.search(None, "什么都没有").count() == 0
+    for view in (small.stats, small.map, small.tree, lambda d: small.search(d, "甲章节"), lambda d: small.find(d, "甲章节")):
         with pytest.raises(LookupError, match="no document 99"):
             view(99)
     with pytest.raises(LookupError, match="no chapter 5"):
-        store.page(5)
-    stats = {r["doc_name"]: (r["status"], r["chapters"], r["tables"], r["error_msg"] is None) for d in (1, 2) for r in store.stats(d).collect()}
-    assert stats == {"a": ("done", 1, 0, True), "bad": ("failed", 0, 0, False)}
+        small.page(5)
+    stats = {r["doc_name"]: (r["status"], r["chapters"], r["tables"], r["error_msg"] is None) for d in (1, 2) for r in small.stats(d).collect()}
+    assert stats == {"a": ("done", 2, 0, True), "bad": ("failed", 0, 0, False)}
+
+
+def test_of_two_writers_one_fails(small):
+    start = small.version()
+    small.compact()
+    with pytest.raises(Conflict):
+        small._commit(start, start)
+    assert small.version().number == start.number + 1 and small.table("chapters").count() == 2
+
+
+def test_snippets_show_the_best_window(spark):
+    def plain(text, terms, size):
+        low, grams = text.lower(), size - 2
+        hits = {t: [i for i in range(len(low)) if low.startswith(t.lower(), i)] for t in terms}
+        best = None
+        for at in sorted({i for h in hits.values() for i in h}):
+            inside = {t: [i for i in h if at <= i < at + grams] for t, h in hits.items()}
+            shown = sum(999 + len(h) for h in inside.values() if h)
+            if best is None or shown > best[0]:
+                best = shown, at, max(max(h) + len(t) - 2 for t, h in inside.items() if h)
+        if best is None:
+            return 0
+        return max(0, min(best[1] - int((grams - (best[2] - best[1])) / 2), len(text) - 2 - grams))
+
+    rnd = random.Random(12)
+    texts = ["Deposit first, then a long way to the deposit of a bid", "no hit", "", "deposit", *("".join(rnd.choice(["bid ", "Deposit ", "xx ", "yyyy "]) for _ in range(rnd.randint(1, 30))) for _ in range(40))]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string")
+    for terms in (["deposit"], ["bid", "deposit"], ["deposit", "bid ", "yyyy"]):
+        got = {r[0]: r[1] for r in df.select("id", search.best_window(F.col("t"), terms, 20)).collect()}
+        assert got == {k: plain(t, terms, 20) for k, t in enumerate(texts)}
+    assert df.where("id = 0").select(search.snippet(F.col("t"), ["bid", "deposit"], 20)).first()[0] == "…the 【deposit】 of a 【bid】"
