@@ -15,9 +15,10 @@ from pyspark.sql.window import Window
 
 from quire.functions import numbers, text
 from quire.operators import catalog, cleaning, decisions, features, grids, numbering, postings, search, sections, tree
-from quire.plans import ingest, store
+from quire.plans import bucketed, ingest, store
 from quire.plans.shared import cut, shared_folder
-from quire.sources import docx, docx_writer
+from quire.sources import docx, docx_format, docx_writer
+from quire.streaming import messages
 
 PREFIXES = ("第一章", "1.2", "（三）", "2、", "①")
 
@@ -112,6 +113,18 @@ def document_listing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.listing(ch.select(F.col("doc_id").alias("id")).distinct(), ch.select("doc_id"), tables)
 
 
+@query(ORACLE_SQL["document_listing_counts"])
+def document_listing_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored tables that are bucketed by document: neither sums nor joins move a row."""
+    ch, name = chapters(spark, sf_dir), f"quire_{uuid.uuid4().hex}"
+    tables = table(spark, sf_dir, "documents").where(F.col("text").contains("|")).select(F.floor(F.col("doc_id") / 20).alias("doc_id"))
+    stored = bucketed.Bucketed(spark, name, f"{shared_folder(spark)}/{name}", 8)
+    stored.write("documents", ch.select(F.col("doc_id").alias("id")).distinct(), "id")
+    stored.write("chapters", ch.select("doc_id", "id", "order_num", "level"), "doc_id")
+    stored.write("tables", tables, "doc_id")
+    return stored.listing()
+
+
 @query(f"with {CHAPTERS} select doc_id, count(*) chapters, count(*) filter (where needs_review = 1) needs_review, count(*) filter (where level = 1) roots, sum(content_chars)::bigint content_chars, count(*) filter (where content like '%|%') as tables from ch group by doc_id")
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch = chapters(spark, sf_dir)
@@ -420,6 +433,16 @@ def docx_paragraphs_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select f.doc_id, i.seq, i.text from {files} f, lateral docx_items(f.content) i where i.kind = 'p'", files=_files(spark, sf_dir))
 
 
+@query(f"with {LINES} select doc_id, seq, {PRINTABLE} text from lines where not contains(text, '|')")
+def docx_paragraphs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a folder: files written by the sink and read by the source, of whose items two fields are made."""
+    docx_format.register(spark)
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    _files(spark, sf_dir).select(F.format_string("%d.docx", "doc_id").alias("doc_name"), "content").write.format("docx").mode("append").save(folder)
+    found = spark.read.format("docx").schema("doc_name string, items array<struct<seq:int,kind:string,text:string>>").load(folder)
+    return found.select(F.substring_index("doc_name", ".", 1).cast("long").alias("doc_id"), F.inline("items")).where("kind = 'p'").drop("kind")
+
+
 @query(f"""with {LINES}, x as (select doc_id, seq, unnest(range(len(a)))::int col_idx, trim(unnest(a)) as content, len(a)::int total_cols from (select doc_id, seq, string_split({PRINTABLE}, '|') a from lines where contains(text, '|')))
  select doc_id, seq, 0 row_idx, col_idx, 1 row_span, 1 col_span, content, 1 total_rows, total_cols from x""")
 def docx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -671,3 +694,13 @@ def grid_merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (F.length("content") + F.col("row_idx")) % 3
     cells = _cells(spark, sf_dir).withColumn("col_span", F.lit(1)).withColumn("vmerge", F.when(kind == 0, "restart").when(kind == 1, "continue"))
     return grids.merge_rows(grids.place_cells(cells, ["doc_id"]), ["doc_id"]).select("doc_id", "row_idx", "col_idx", "row_span")
+
+
+@query("select conv_id::varchar thread_id, (row_number() over (partition by conv_id order by turn) - 1)::bigint seq, turn::varchar message_id, role, text as content from conversations")
+def message_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a stream of messages, sent twice: each gets its number in its thread once."""
+    files = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    sent = files.select(F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").cast("string").alias("message_id"), F.col("turn").alias("at"), "role", F.col("text").alias("content"))
+    place = f"{shared_folder(spark)}/messages-{uuid.uuid4().hex}"
+    messages.write_numbered(messages.number(sent.union(sent)), f"{place}/log", f"{place}/at").awaitTermination()
+    return messages.read_log(spark, f"{place}/log").select("thread_id", "seq", "message_id", "role", "content")
