@@ -8,8 +8,13 @@ given: the words that at least `support` toxic documents of the labelled sample
 hold, in different surroundings, and that are far rarer elsewhere.
 
 Labels are learned from at most `sample` labelled rows (a documented bound),
-those of least hash of doc_id: the trees from four fifths of them, the isotonic
-curve from the rest. All documents are scored.
+those of least hash of doc_id. The isotonic curve must not see margins of rows that
+the lexicon or the trees have learned from, so the rows are parted into `FOLDS` by
+hash of the text, which keeps copies together, and each part gets its margins from
+a lexicon and trees of the others; the model itself learns from all of them. A
+point of the curve is drawn to the share of label 1 as if `DOUBT` more rows of
+that share had been seen there, so one or two labels make no alarm. All documents
+are scored.
 
 Null or empty texts have zero features and get the score of an empty text.
 Very long texts are scored whole, in a block of their own. Null doc_id: scored,
@@ -31,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm._rounds import cut
 from quire.llm._text import LOWER, NOT_ALNUM, SPACE, blocks, byte_set, hash_words, pair, split_words, text_bytes
 from quire.llm.quality_classifier import labelled_sample, sampled_texts
 
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "du", "dich", "dir", "ihr", "tu", "te", "toi", "vous", "usted", "tú")
 NEAR = 5
 BINS = 32
+DOUBT = 2.0
+FOLDS = 5
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _ALPHA = np.array([97 <= (b | 32) <= 122 or b >= 0x80 for b in range(256)])
@@ -151,8 +159,11 @@ def boost(x: np.ndarray, y: np.ndarray, depth: int = 3, rounds: int = 60, rate:
     return np.array(features), np.array(limits), np.array(values), base
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of the rising curve of least squares through (margin, y), by pooling adjacent violators."""
+def isotonic(margin: np.ndarray, y: np.ndarray, doubt: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the rising curve of least squares through (margin, y), by pooling adjacent violators.
+
+    doubt: rows of the mean of y that are added to each level, which then rises again by its running maximum.
+    """
     order = np.argsort(margin, kind="stable")
     xs, inverse = np.unique(margin[order], return_inverse=True)
     total, weight = np.bincount(inverse, weights=y[order]), np.bincount(inverse).astype(float)
@@ -163,8 +174,8 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             t, n, _, last = pools.pop()
             pools[-1] = [pools[-1][0] + t, pools[-1][1] + n, pools[-1][2], last]
     x = np.array([v for p in pools for v in (p[2], p[3])])
-    level = np.array([p[0] / p[1] for p in pools for _ in (0, 1)])
-    return x, level
+    level = np.array([(p[0] + doubt * y.mean()) / (p[1] + doubt) for p in pools for _ in (0, 1)])
+    return x, np.maximum.accumulate(level)
 
 
 def _constant(y: np.ndarray) -> Trees:
@@ -210,31 +221,36 @@ def learned_words(sample: DataFrame, support: int = 6, lift: float = 8.0) -> lis
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = 8000) -> Trees:
     chosen = labelled_sample(labels, column, folds, held_out, sample)  # at most `sample` rows of two numbers
-    texts = sampled_texts(docs, chosen)
-    lexicon = _codes(learned_words(texts))
+    texts = cut(sampled_texts(docs, chosen).withColumn("fold", F.coalesce(F.pmod(F.xxhash64("text"), F.lit(FOLDS)), F.lit(0)).cast("int")))  # read often
+    sizes = Counter({(r["fold"], r["label"]): r["count"] for r in texts.groupBy("fold", "label").count().collect()})
+    both = lambda used: all(sum(sizes[k, label] for k in used) for label in (0, 1))
+    if not both(range(FOLDS)):
+        return _constant(np.array([label for (_, label), n in sizes.items() for _ in range(n)], float))
+    others = [[k for k in range(FOLDS) if k != f] for f in range(FOLDS)]
+    apart = all(both(used) for used in others)  # else the curve sees what the trees have learned from
+    used = [list(range(FOLDS)), *(others if apart else [])]
+    lexicons = [_codes(learned_words(texts.where(F.col("fold").isin(u)))) for u in used]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = text_bytes(batch["text"])
             for lo, hi in blocks(offs):
-                x = dense_features(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lexicon)
+                x = np.hstack([dense_features(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lexicon) for lexicon in lexicons])
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["label"], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
-
-    rows = texts.mapInArrow(work, "doc_id long, label int, x array<double>").toArrow()
-    doc, y = rows["doc_id"].to_numpy(), rows["label"].to_numpy().astype(float)
-    if not len(y) or y.min() == y.max():
-        return _constant(y)
-    x = np.array(rows["x"].to_pylist())
-    order = np.lexsort([*x.T, doc])
-    x, y = x[order], y[order]
-    calibrate = np.arange(len(y)) % 5 == 4
-    if y[~calibrate].min() == y[~calibrate].max() or y[calibrate].min() == y[calibrate].max():
-        calibrate = np.zeros(len(y), bool)
-    feature, limit, value, base = boost(x[~calibrate], y[~calibrate])
-    model = Trees(lexicon, feature, limit, value, base, np.zeros(1), np.zeros(1))
-    held = calibrate if calibrate.any() else ~calibrate
-    model.curve_x, model.curve_y = isotonic(model.margin(x[held]), y[held])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["label"], part["fold"], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "fold", "x"])
+
+    rows = texts.mapInArrow(work, "doc_id long, label int, fold int, x array<double>").toArrow()
+    x, y = np.array(rows["x"].to_pylist()), rows["label"].to_numpy().astype(float)
+    order = np.lexsort([*x.T, rows["doc_id"].to_numpy()])
+    y, fold = y[order], rows["fold"].to_numpy()[order]
+    views = np.split(x[order], len(lexicons), axis=1)
+    learn = lambda view, mine, lexicon: Trees(lexicon, *boost(view[mine], y[mine]), np.zeros(1), np.zeros(1))
+    model = learn(views[0], np.ones(len(y), bool), lexicons[0])
+    margin = model.margin(views[0])
+    for k, (view, lexicon) in enumerate(zip(views[1:], lexicons[1:], strict=True)):
+        if (fold == k).any():
+            margin[fold == k] = learn(view, fold != k, lexicon).margin(view[fold == k])
+    model.curve_x, model.curve_y = isotonic(margin, y, DOUBT)
     return model
 
 
