@@ -7,8 +7,9 @@ judged on the input and never cross documents.
 Each shard sorts the suffixes of its fragments with their common prefixes (an
 enhanced suffix array) and scans it with a stack for the intervals of its
 common-prefix tree that are at least `length` deep. Those with different bytes
-to the left are the maximal repeats; each is put out with all its occurrences,
-and all but those in its first document are removed. Fragments come from
+to the left are the maximal repeats of these fragments; of each one's occurrences
+all but those in its first document are removed. `repeat_groups` puts out the maximal
+repeats of whole texts. Fragments come from
 `_repeats`, which collapses equal ones before; a fragment's edge counts as a
 left context of its own.
 
