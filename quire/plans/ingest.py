@@ -49,7 +49,8 @@ def headings(parsed: DataFrame, scratch: Scratch | None = None) -> tuple[DataFra
     styles = parsed.select("doc_id", F.inline("styles"))
     levels = parsed.select("doc_id", F.inline("levels"))
     pstyles = parsed.select("doc_id", F.inline("pstyles"))
-    paragraphs = features.resolve_features(body.where("kind = 'p'").select("doc_id", "seq", "para_index", "text", "style_id", "ppr", "runs"), styles)
+    resolved = features.resolve_features(body.where("kind = 'p'").select("doc_id", "seq", "para_index", "text", "style_id", "ppr", "runs"), styles)
+    paragraphs = cut(resolved)  # read four times
     rendered = rendered_numbers(paragraphs, pstyles, levels)
     joined = paragraphs.join(features.baselines(paragraphs), "doc_id", "left").where(features.is_candidate()).join(rendered, ["doc_id", "para_index"], "left")
     manual = text.manual_prefix(F.col("text"))
@@ -72,8 +73,8 @@ def ingest(files: DataFrame, decide: Decider | None = decisions.rule_decisions,
     """files: doc_id, content. decide: candidates to decisions; none leaves levels to the rules alone,
     as do decisions that are incomplete.
 
-    Parsed files, body items, candidates, decisions, nodes and attributed items
-    are written to the shared folder (`scratch`), which keeps plans small and
+    Parsed files, body items, paragraphs with their features, candidates, decisions,
+    nodes and attributed items are written to the shared folder (`scratch`), which keeps plans small and
     survives lost executors; `Ingested.close` deletes them.
     """
     scratch = scratch or Scratch(files.sparkSession)
