@@ -59,11 +59,14 @@ def diverges() -> Column:
     return unknown | _true(font != base_font) | indent.isNull() | _true(indent != base_indent)
 
 
-def is_candidate() -> Column:
-    """The cascade over a paragraph's features and its document's baselines; the first rule that holds decides."""
+def is_candidate(manual: bool = True) -> Column:
+    """The cascade over a paragraph's features and its document's baselines; the first rule that holds decides.
+
+    manual: does a number typed at the start of the text make a paragraph a numbered one, as its list does?
+    """
     text, font, indent, base_font, base_indent = (F.col(c) for c in ("text", "font_size_halfpt", "first_line_indent_chars", "base_font", "base_indent"))
     short = F.length(text) <= LONGEST_HEADING
-    numbered = (_true(F.col("has_numpr")) | text.rlike(MANUAL_NUMBER)) & short
+    numbered = ((_true(F.col("has_numpr")) | text.rlike(MANUAL_NUMBER)) if manual else _true(F.col("has_numpr"))) & short
     last = F.right(F.regexp_replace(text, r"(?U)\s+$", ""), F.lit(1))
     return (
         F.when(blank(text), False)
