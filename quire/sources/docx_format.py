@@ -37,6 +37,7 @@ import hashlib
 import time
 import uuid
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -53,11 +54,14 @@ from pyspark.sql.datasource import (
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quire.sources.docx import PARSED, parse
+from quire.sources.docx import BATCH_BYTES, BATCH_ITEMS, PARSED, parse
 
 SCHEMA = f"path string, doc_name string, doc_hash string, {PARSED}"
 COLUMNS = ("path", "doc_name", "doc_hash", "items", "styles", "levels", "pstyles", "error")
 
+#: Files that a commit moves at the same time.
+MOVERS = 16
+
 
 @dataclass(order=True, frozen=True)
 class Found:
@@ -106,18 +110,31 @@ class _Reading:
         return out
 
     def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
-        """A batch for each file, so that memory holds one parsed file."""
+        """Batches of parsed files, bounded by their items and bytes; a large file is a batch by itself."""
         files, _ = fs.FileSystem.from_uri(self.uri)
         kinds, names = to_arrow_schema(self.schema), set(self.schema.names)
+        rows, items, size = [], 0, 0
         for path in partition.paths if partition else ():  # none if there are no files
             row = {"path": path, "doc_name": path.rsplit("/", 1)[-1]}
             if names - {"path", "doc_name"}:
                 with files.open_input_stream(path) as stream:
                     content = stream.read()
-                row["doc_hash"] = hashlib.sha256(content).hexdigest()
+                size += len(content)
+                if "doc_hash" in names:
+                    row["doc_hash"] = hashlib.sha256(content).hexdigest()
                 if names - {"path", "doc_name", "doc_hash"}:
                     row |= parse(content)
-            yield pa.RecordBatch.from_arrays([pa.array([row[k.name]], k.type) for k in kinds], schema=kinds)
+                    items += len(row["items"])
+            rows.append(row)
+            if items >= BATCH_ITEMS or size >= BATCH_BYTES:
+                yield self._batch(rows, kinds)
+                rows, items, size = [], 0, 0
+        if rows:
+            yield self._batch(rows, kinds)
+
+    @staticmethod
+    def _batch(rows: list[dict], kinds: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k.name] for r in rows], k.type) for k in kinds], schema=kinds)
 
 
 class DocxReader(_Reading, DataSourceReader):
@@ -178,8 +195,9 @@ class DocxWriter(DataSourceArrowWriter):
         if taken:
             self.abort(messages)
             raise FileExistsError(f"names that are taken or occur twice, {min(taken)} among them")
-        for passing, target in moves:
-            files.move(passing, target)
+        with ThreadPoolExecutor(MOVERS) as movers:  # a move waits for the file system, not for the driver
+            for _ in movers.map(files.move, *zip(*moves, strict=True), chunksize=64) if moves else ():
+                pass
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:

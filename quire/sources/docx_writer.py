@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 from xml.etree.ElementTree import Element
 
@@ -76,18 +77,72 @@ def list_of(list_id: int, kind: int, starts: dict[int, int] | None = None) -> El
     return element("num", valued("abstractNumId", kind), *(element("lvlOverride", valued("startOverride", v), ilvl=k) for k, v in (starts or {}).items()), numId=list_id)
 
 
-def document(body: Iterable[Element], styles: Iterable[Element] = (), numbering: Iterable[Element] = ()) -> bytes:
+def _packed(parts: dict[str, bytes]) -> bytes:
     out = io.BytesIO()
-    parts = {"document": element("document", element("body", *body)), "styles": element("styles", *styles), "numbering": element("numbering", *numbering)}
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-        for name, root in parts.items():
-            archive.writestr(zipfile.ZipInfo(f"word/{name}.xml"), ElementTree.tostring(root, "utf-8"))
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
+        for name, xml in parts.items():
+            archive.writestr(zipfile.ZipInfo(f"word/{name}.xml"), xml, zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
-def _printable(text: str) -> str:
-    """Without the characters that XML can't hold."""
-    return "".join(c for c in text if c in "\t\n\r" or c >= " " and not "\ud800" <= c <= "\udfff" and c not in "￾￿")
+def document(body: Iterable[Element], styles: Iterable[Element] = (), numbering: Iterable[Element] = ()) -> bytes:
+    parts = {"document": element("document", element("body", *body)), "styles": element("styles", *styles), "numbering": element("numbering", *numbering)}
+    return _packed({name: ElementTree.tostring(root, "utf-8") for name, root in parts.items()})
+
+
+#: The characters that XML can't hold.
+_UNPRINTABLE = re.compile("[^\t\n\r -\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
+def _written(text: str | None) -> str:
+    """Text of an element or attribute as markup, without the characters that XML can't hold; line ends stay what they are."""
+    return _UNPRINTABLE.sub("", text or "").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("\r", "&#13;")
+
+
+# the same as `run`, `cell`, `paragraph` and `table` as markup, without a tree for each of very many rows
+def _run_markup(text: str | None, size: int | None = None, bold: bool | None = None) -> str:
+    b = "" if bold is None else "<w:b/>" if bold else '<w:b w:val="off"/>'
+    sz = "" if size is None else f'<w:sz w:val="{size}"/>'
+    return f"<w:r><w:rPr>{b}{sz}</w:rPr><w:t>{_written(text)}</w:t></w:r>"
+
+
+def _cell_markup(text: str | None, span: int | None = None, merge: str | None = None, bold: bool | None = None) -> str:
+    width = "" if span is None else f'<w:gridSpan w:val="{span}"/>'
+    vertical = "" if merge is None else '<w:vMerge w:val="restart"/>' if merge == "restart" else "<w:vMerge/>"
+    return f"<w:tc><w:tcPr>{width}{vertical}</w:tcPr><w:p><w:pPr/>{_run_markup(text, bold=bold)}</w:p></w:tc>"
+
+
+def _table_markup(columns: int, rows: Iterable[Iterable[str]]) -> str:
+    return f"<w:tbl><w:tblGrid>{'<w:gridCol/>' * columns}</w:tblGrid>{''.join(f'<w:tr>{"".join(cells)}</w:tr>' for cells in rows)}</w:tbl>"
+
+
+def _paragraph_markup(runs: str, style: str | None, outline: int | None, list_id: int | None, level: int | None, first_chars: int | None) -> str:
+    named = "" if style is None else f'<w:pStyle w:val="{_written(style)}"/>'
+    at = "" if level is None else f'<w:ilvl w:val="{level}"/>'
+    numbered = "" if list_id is None else f'<w:numPr>{at}<w:numId w:val="{list_id}"/></w:numPr>'
+    indent = "" if first_chars is None else f'<w:ind w:firstLineChars="{first_chars}"/>'
+    stated = "" if outline is None else f'<w:outlineLvl w:val="{outline}"/>'
+    return f"<w:p><w:pPr>{named}{numbered}{indent}{stated}</w:pPr>{runs}</w:p>"
+
+
+def _body(batch: pa.RecordBatch) -> Iterator[str]:
+    """The markup of each row; that of a row without a place in its document is empty."""
+    names = ("seq", "text", "style_id", "size", "bold", "outline", "list_id", "level", "first_chars", "cells", "grid", "grid_cols", "tail", "tail_size")
+    columns = [batch[n].to_pylist() if n in batch.schema.names else [None] * batch.num_rows for n in names]
+    for seq, text, style_id, size, bold, outline, list_id, level, first_chars, cells, grid, grid_cols, tail, tail_size in zip(*columns, strict=True):
+        if seq is None:
+            yield ""
+        elif cells is not None:
+            yield _table_markup(len(cells), [map(_cell_markup, cells)])
+        elif grid is not None:
+            yield _table_markup(grid_cols, ([_cell_markup(c["text"], c["span"], c["merge"], c["bold"]) for c in row] for row in grid))
+        else:
+            runs = _run_markup(text, size, bold) + (_run_markup(tail, tail_size) if tail else "")
+            yield _paragraph_markup(runs, style_id, outline, list_id, level, first_chars)
+
+
+#: Files of so many bytes, or so many files, go on together.
+BATCH_BYTES, BATCH_FILES = 4 << 20, 256
 
 
 def write_files(paragraphs: DataFrame, styles: Iterable[Element] = (), numbering: Iterable[Element] = ()) -> DataFrame:
@@ -95,22 +150,38 @@ def write_files(paragraphs: DataFrame, styles: Iterable[Element] = (), numbering
 
     paragraphs: doc_id, seq, text, style_id, size, bold (of the run), outline, list_id, level, first_chars, cells (array of
     texts; a one-row table in the place of a paragraph). May also have grid (array of rows of text, span, merge, bold: a table of
-    `grid_cols` columns in the place of a paragraph) and tail, tail_size (a second run). A document is one file, so it is one task's group.
+    `grid_cols` columns in the place of a paragraph) and tail, tail_size (a second run). A row without seq makes no paragraph, so
+    a document that has no other is an empty file. A document is one file, so it is one task's work: rows are dealt and sorted
+    by document, and a task goes through them once.
     """
-    style_xml, list_xml = [ElementTree.tostring(x) for x in styles], [ElementTree.tostring(x) for x in numbering]
-
-    def work(rows: pa.Table) -> pa.Table:
-        body = []
-        for r in rows.sort_by("seq").to_pylist():
-            if r["cells"] is not None:
-                body.append(table(len(r["cells"]), [cell(_printable(c)) for c in r["cells"]]))
-                continue
-            if r.get("grid") is not None:
-                body.append(table(r["grid_cols"], *([cell(_printable(c["text"]), c["span"], c["merge"], c["bold"]) for c in row] for row in r["grid"])))
-                continue
-            runs = [run(_printable(r["text"] or ""), r["size"], r["bold"]), *([run(r["tail"], r["tail_size"])] if r.get("tail") else [])]
-            body.append(paragraph(*runs, style=r["style_id"], outline=r["outline"], list_id=r["list_id"], level=r["level"], first_chars=None if r["first_chars"] is None else str(r["first_chars"])))
-        content = document(body, map(ElementTree.fromstring, style_xml), map(ElementTree.fromstring, list_xml))
-        return pa.table({"doc_id": rows["doc_id"].slice(0, 1), "content": pa.array([content], pa.binary())})
-
-    return paragraphs.groupBy("doc_id").applyInArrow(work, "doc_id long, content binary")
+    fixed = {"styles": ElementTree.tostring(element("styles", *styles), "utf-8"), "numbering": ElementTree.tostring(element("numbering", *numbering), "utf-8")}
+    head, tail = f'<w:document xmlns:w="{W[1:-1]}"><w:body>', "</w:body></w:document>"
+
+    def packed(body: list[str]) -> bytes:
+        return _packed({"document": "".join([head, *body, tail]).encode()} | fixed)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, body, ids, made, size = None, None, [], [], 0
+
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(made, pa.binary())], ["doc_id", "content"])
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            for own, markup in zip(batch["doc_id"].to_pylist(), _body(batch), strict=True):
+                if body is not None and own != document:
+                    ids.append(document)
+                    made.append(packed(body))
+                    size, body = size + len(made[-1]), None
+                    if size >= BATCH_BYTES or len(made) >= BATCH_FILES:
+                        yield flushed()
+                        ids, made, size = [], [], 0
+                if body is None:
+                    document, body = own, []
+                body.append(markup)
+        if body is not None:
+            ids.append(document)
+            made.append(packed(body))
+            yield flushed()
+
+    return paragraphs.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInArrow(work, f"doc_id {paragraphs.schema['doc_id'].dataType.simpleString()}, content binary")

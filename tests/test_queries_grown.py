@@ -5,6 +5,8 @@ import pytest
 from test_queries import rows
 
 from quire.queries import ORACLE_SQL, QUERIES
+from quire.sources.docx import parse_files
+from quire.sources.docx_writer import write_files
 
 
 def against_sql(spark, folder, name, table):
@@ -43,3 +45,13 @@ def numbered(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["candidate_cascade"])
 def test_lines_that_begin_with_numbers(spark, numbered, name):
     assert against_sql(spark, numbered, name, "documents")
+
+
+def test_line_ends_and_documents_over_many_batches(spark):
+    """Files written row by row: a document's rows may be many batches, or none."""
+    kind = "doc_id long, seq int, text string, style_id string, size int, bold boolean, outline int, list_id int, level int, first_chars int, cells array<string>"
+    plain = (None,) * 8
+    made = [(1, k, f"line {k}\r\n<&>\u0001", *plain) for k in range(25_000)] + [(2, None, None, *plain), (3, 1, None, *plain[:-1], ["a|\r", None]), (3, 0, "x", *plain)]
+    parsed = parse_files(write_files(spark.createDataFrame(made, kind)), columns="items array<struct<seq:int,kind:string,text:string,cells:array<struct<content:string>>>>, error string")
+    got = {r["doc_id"]: [(i["text"], i["cells"] and [c["content"] for c in i["cells"]]) for i in r["items"]] for r in parsed.collect() if r["error"] is None}
+    assert got == {1: [(f"line {k}\r\n<&>", None) for k in range(25_000)], 2: [], 3: [("x", None), (None, ["a|", ""])]}
