@@ -41,8 +41,8 @@ def rendered_numbers(paragraphs: DataFrame, pstyles: DataFrame, levels: DataFram
     return numbering.render(counted.where("num_id > 0").withColumn("ilvl", F.coalesce("ilvl", F.lit(0))), levels).select("doc_id", F.col("order").alias("para_index"), "number_text")
 
 
-def headings(parsed: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """(body items that stay, heading candidates among them)."""
+def headings(parsed: DataFrame, scratch: Scratch | None = None, typed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(body items that stay, heading candidates among them). typed: as for `ingest`."""
     cut = (scratch or Scratch(parsed.sparkSession)).cut
     items = parsed.select("doc_id", F.inline("items"))
     body = cut(cleaning.select_body(items))
@@ -52,8 +52,8 @@ def headings(parsed: DataFrame, scratch: Scratch | None = None) -> tuple[DataFra
     resolved = features.resolve_features(body.where("kind = 'p'").select("doc_id", "seq", "para_index", "text", "style_id", "ppr", "runs"), styles)
     paragraphs = cut(resolved)  # read four times
     rendered = rendered_numbers(paragraphs, pstyles, levels)
-    joined = paragraphs.join(features.baselines(paragraphs), "doc_id", "left").where(features.is_candidate()).join(rendered, ["doc_id", "para_index"], "left")
-    manual = text.manual_prefix(F.col("text"))
+    joined = paragraphs.join(features.baselines(paragraphs), "doc_id", "left").where(features.is_candidate(typed)).join(rendered, ["doc_id", "para_index"], "left")
+    manual = text.manual_prefix(F.col("text")) if typed else F.lit(None).cast("string")
     level = features.suggest_level(F.col("outline_lvl"), text.style_level(F.col("style_name"), F.col("style_id")))
     candidates = joined.select(
         "doc_id", "seq", "para_index", text.strip(F.col("text")).alias("text"), F.coalesce(manual, F.col("number_text")).alias("number_prefix"),
@@ -69,9 +69,11 @@ def valid_decisions(candidates: DataFrame, said: DataFrame, scratch: Scratch) ->
     return decisions.validate(scratch.cut(said), candidates)  # asked once
 
 
-def ingest(files: DataFrame, decide: Decider | None = decisions.rule_decisions, scratch: Scratch | None = None) -> Ingested:
+def ingest(files: DataFrame, decide: Decider | None = decisions.rule_decisions, scratch: Scratch | None = None, typed: bool = True) -> Ingested:
     """files: doc_id, content. decide: candidates to decisions; none leaves levels to the rules alone,
-    as do decisions that are incomplete.
+    as do decisions that are incomplete. typed: are numbers that a heading's text begins with its
+    numbering, and cut from its title? If not, only lists number, and titles are whole; for texts whose
+    lines may begin with amounts, addresses or the numbers of cards.
 
     Parsed files, body items, paragraphs with their features, candidates, decisions,
     nodes and attributed items are written to the shared folder (`scratch`), which keeps plans small and
@@ -80,7 +82,7 @@ def ingest(files: DataFrame, decide: Decider | None = decisions.rule_decisions,
     scratch = scratch or Scratch(files.sparkSession)
     cut = scratch.cut
     parsed = cut(parse_files(files))
-    body, candidates = headings(parsed, scratch)
+    body, candidates = headings(parsed, scratch, typed)
     nodes = tree.build_tree(candidates, valid_decisions(candidates, decide(candidates), scratch) if decide else None, cut)
     nodes = cut(nodes)
     opens = nodes.select("doc_id", "para_index", F.col("order_num").alias("heading"))

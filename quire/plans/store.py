@@ -200,8 +200,8 @@ class Store:
         n, total = chapters.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
         return n, total
 
-    def add(self, files: DataFrame, decide: Decider | None = decisions.rule_decisions) -> DataFrame:
-        """Ingest files (path, content, doc_name, doc_hash) and give their statistics; the same bytes again replace what they made before."""
+    def add(self, files: DataFrame, decide: Decider | None = decisions.rule_decisions, typed: bool = True) -> DataFrame:
+        """Ingest files (path, content, doc_name, doc_hash) and give their statistics; the same bytes again replace what they made before. typed: as for `ingest`."""
         began = time.monotonic()
         with Scratch(self.spark) as scratch:
             start = self.version()
@@ -213,7 +213,7 @@ class Store:
             self._commit(start, Version(batches=[*start.batches, {"batch": first, "tables": ["documents"], "replaces": over}], chapters=start.chapters, trigrams=start.trigrams))
             now = self.version()
             contents = files.join(registered.select("path", "doc_hash", "doc_id"), ["path", "doc_hash"]).select("doc_id", "content")
-            found: Ingested = ingest(contents, decide, scratch)
+            found: Ingested = ingest(contents, decide, scratch, typed)
             batch = self._batch(now)
             self._write("statistics", batch, found.statistics)
             statistics = self._rows("statistics", [batch]).drop("block", "batch")

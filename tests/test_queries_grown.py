@@ -42,7 +42,7 @@ def numbered(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["candidate_cascade"])
+@pytest.mark.parametrize("name", ["candidate_cascade", "ingest_chapters", "ingest_statistics", "store_ranked", "store_find"])
 def test_lines_that_begin_with_numbers(spark, numbered, name):
     assert against_sql(spark, numbered, name, "documents")
 
