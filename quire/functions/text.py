@@ -31,6 +31,11 @@ def blank(x: Column) -> Column:
     return ~F.coalesce(x.rlike(r"(?U)\S"), F.lit(False))
 
 
+def template_line(x: Column) -> Column:
+    """Does a text match NOISE? Few hold what any match has, so few are gone through by the pattern."""
+    return (x.contains("页") | x.contains("特此声明")) & x.rlike(NOISE)
+
+
 def manual_prefix(x: Column) -> Column:
     """The manual number at the start, stripped; null if there is none."""
     found = F.regexp_extract(x, MANUAL_NUMBER, 1)
@@ -62,7 +67,8 @@ def style_level(name: Column, style_id: Column) -> Column:
     """Heading level that a style's name, or else its id, states."""
 
     def stated(x: Column) -> Column:
-        return F.regexp_extract(strip(F.coalesce(x, F.lit(""))), HEADING_STYLE, 2).try_cast("int")
+        # a cast that fails costs an exception, so what states no level isn't cast
+        return F.nullif(F.regexp_extract(strip(F.coalesce(x, F.lit(""))), HEADING_STYLE, 2), F.lit("")).try_cast("int")
 
     return F.coalesce(stated(name), stated(style_id))
 

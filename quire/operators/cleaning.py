@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import NOISE, blank
+from quire.functions.text import blank, template_line
 
 #: Template noise is looked for in so many paragraphs at either end.
 EDGE = 3
@@ -67,17 +67,19 @@ def contents_regions(items: DataFrame, key: str = "doc_id") -> DataFrame:
     return joined.withColumn("in_contents", inside).drop("gone", "open")
 
 
-def template_noise(items: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFrame:
-    """Adds is_noise: a template line among the first or last paragraphs of its document."""
+def template_noise(items: DataFrame, key: str = "doc_id", order: str = "seq", template: Column | None = None) -> DataFrame:
+    """Adds is_noise: a template line among the first or last paragraphs of its document. template: is it such a line, if its text doesn't say so."""
+    template = template_line(F.col("text")) if template is None else template
     w = Window.partitionBy(key, "kind")
     at, total = F.row_number().over(w.orderBy(order)), F.count("*").over(w)
     edge = (at <= EDGE) | (at > total - EDGE)
-    return items.withColumn("is_noise", (F.col("kind") == "p") & edge & F.coalesce(F.col("text").rlike(NOISE), F.lit(False)))
+    return items.withColumn("is_noise", (F.col("kind") == "p") & edge & F.coalesce(template, F.lit(False)))
 
 
-def select_body(items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Items that stay, with para_index over the paragraphs among them."""
-    marked = contents_regions(template_noise(items, key), key)
-    kept = marked.where((F.col("kind") != "p") | ~(F.col("in_contents") | F.col("is_noise") | blank(F.col("text")))).drop("in_contents", "is_noise")
+def select_body(items: DataFrame, key: str = "doc_id", template: Column | None = None, empty: Column | None = None) -> DataFrame:
+    """Items that stay, with para_index over the paragraphs among them. template, empty: what is told of items that are without their text."""
+    marked = contents_regions(template_noise(items, key, template=template), key)
+    empty = blank(F.col("text")) if empty is None else empty
+    kept = marked.where((F.col("kind") != "p") | ~(F.col("in_contents") | F.col("is_noise") | empty)).drop("in_contents", "is_noise")
     number = F.row_number().over(Window.partitionBy(key, "kind").orderBy("seq")) - 1
     return kept.withColumn("para_index", F.when(F.col("kind") == "p", number))

@@ -18,7 +18,8 @@ def render(items: DataFrame, levels: DataFrame) -> DataFrame:
     num_id, ilvl, num_fmt, lvl_text, start, start_override. Items whose level is
     undefined, a bullet or of an unknown format get no text and don't count. A
     column lvl_restart, if there is one, names a level (from 0) that also resets
-    the level it stands at.
+    the level it stands at. Of items with a column shown all count, but only
+    those where it holds get a text and stay.
 
     A level's counter starts over whenever a higher level counts, so it is the
     number of its items since then: a running count less its value when a higher
@@ -37,6 +38,7 @@ def render(items: DataFrame, levels: DataFrame) -> DataFrame:
     resets = [(F.col("ilvl") < k) | F.coalesce((F.col("ilvl") != k) & (F.col("spec")[F.lit(k)]["restart"] == F.col("ilvl")), F.lit(False)) for k in range(LEVELS)]
     past = [F.max(F.when(resets[k], F.col(f"__c{k}"))).over(lists).alias(f"__r{k}") for k in range(LEVELS)]
     counted = counted.select("*", *past)
+    counted = counted.where("shown") if "shown" in items.columns else counted
     # one array of all levels' values, so that the formats are one expression and not one for each level
     values = []
     for k in range(LEVELS):
