@@ -79,9 +79,9 @@ def list_of(list_id: int, kind: int, starts: dict[int, int] | None = None) -> El
 
 def _packed(parts: dict[str, bytes]) -> bytes:
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
-        for name, xml in parts.items():
-            archive.writestr(zipfile.ZipInfo(f"word/{name}.xml"), xml, zipfile.ZIP_DEFLATED)
+    with zipfile.ZipFile(out, "w") as archive:
+        for name, xml in parts.items():  # what has its own ZipInfo doesn't take the archive's level
+            archive.writestr(zipfile.ZipInfo(f"word/{name}.xml"), xml, zipfile.ZIP_DEFLATED, compresslevel=1)
     return out.getvalue()
 
 
