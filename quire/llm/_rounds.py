@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Generator, Iterable
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,30 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._text import order_key, text_bytes
-from quire.plans.shared import shared_folder
+from quire.plans.shared import shared_folder, shuffles_dropped
 
 Program = Callable[[np.ndarray, np.ndarray, np.ndarray, int], Generator[dict[int, bytes], dict[int, bytes], pa.Table]]
 ShardWork = Callable[[list[bytes]], list[bytes]]
 
 MESSAGE = "chunk int, round int, shard int, data binary"
-_CLEAN = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
-
-
-@contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Inside, shuffle files of a finished query are removed at once instead of at some later collection."""
-    was = {}
-    for key in _CLEAN:
-        try:
-            was[key] = spark.conf.get(key, None)
-            spark.conf.set(key, "true")
-        except Exception:  # a key that this Spark version doesn't have
-            was.pop(key, None)
-    try:
-        yield
-    finally:
-        for key, value in was.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:

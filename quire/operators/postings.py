@@ -74,13 +74,16 @@ def _segment(field: str, number: int, ids: list[int], texts: list[str]) -> pa.Re
     )
 
 
-def build(texts: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """Index rows of `texts`, which have an `id`, for each field's text. Null texts are empty."""
+def build(texts: DataFrame, fields: dict[str, Column], part: int = 0) -> DataFrame:
+    """Index rows of `texts`, which have an `id`, for each field's text. Null texts are empty.
+
+    part: of an index that is made in several calls each has its own, so that their segments differ; below 2,048, as tasks are below a million.
+    """
     columns = [F.lower(F.coalesce(c, F.lit(""))).alias(f"field{k}") for k, c in enumerate(fields.values())]
     names = list(fields)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, held, size = TaskContext.get().partitionId() << 32, [], [[] for _ in names], 0
+        number, ids, held, size = (part << 52) + (TaskContext.get().partitionId() << 32), [], [[] for _ in names], 0
         for batch in batches:
             for key, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids.append(key)

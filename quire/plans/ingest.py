@@ -136,8 +136,7 @@ class Ingested:
         placed = sections.attribute(body.where("kind = 'p'").select("doc_id", "seq").join(self._opens, ["doc_id", "seq"], "left")).drop("heading")
         items = self._parsed.select("doc_id", F.inline("items")).where("kind = 'p'").select("doc_id", "seq", text.strip(F.col("text")).alias("text"))
         tables = grids.to_markdown(self._grids).select("doc_id", "seq", "section", F.col("markdown").alias("text"))
-        content = sections.contents(placed.join(items, ["doc_id", "seq"]).unionByName(tables)).withColumnRenamed("section", "order_num")
-        filled = self._nodes.join(content, ["doc_id", "order_num"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+        filled = sections.filled(self._nodes, [placed, items, tables])
         parent = F.coalesce(_key("parent_order"), F.lit(0))
         return filled.select(_key("order_num").alias("id"), "doc_id", parent.alias("parent_id"), "level", "number_prefix", "title", "content", F.length("content").alias("content_chars"), "order_num", "chapter_path", "source", "confidence", "needs_review")
 

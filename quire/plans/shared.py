@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the session names; one of our own only where none is named and all runs in one process, as in tests."""
@@ -25,6 +29,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, shuffle files of a finished query are removed at once instead of at some later collection."""
+    was = {}
+    for key in _CLEAN:
+        try:
+            was[key] = spark.conf.get(key, None)
+            spark.conf.set(key, "true")
+        except Exception:  # a key that this Spark version doesn't have
+            was.pop(key, None)
+    try:
+        yield
+    finally:
+        for key, value in was.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 class Scratch:
     """Tables of one job in the shared folder: written, read again, and deleted together when the job is done."""
 
@@ -35,7 +56,8 @@ class Scratch:
         """Write `df` and go on from what was written."""
         self.tables += 1
         place = f"{self.path}/{self.tables}"
-        df.write.parquet(place)
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").parquet(place)
         return self.spark.read.schema(df.schema).parquet(place)
 
     def close(self) -> None:

@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,7 @@ from pyspark.sql.window import Window
 
 from quire.operators import catalog, decisions, postings, search
 from quire.plans.ingest import PER_DOCUMENT, Decider, Ingested, ingest
-from quire.plans.shared import Scratch
+from quire.plans.shared import Scratch, shuffles_dropped
 from quire.sources.docx import read_files
 
 BLOCK, BUCKETS = 1000, 64
@@ -43,8 +44,11 @@ SCHEMAS = {
     "statistics": "doc_id long, error string, total_paragraphs long, total_chars long, candidates long, anchors long, pending long, chapters long, needs_review long, tables long",
     "postings": f"gram string, {postings.INDEX.replace('gram string, ', '')}",
 }
-#: Columns by which files and row groups are skipped, with a Bloom filter.
+#: Columns by which files and row groups are skipped, with a Bloom filter, of a size that fits a file's values: 1 MB halved up to ten times.
+BLOOM = {"parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.enabled#{}": "true", "parquet.bloom.filter.candidates.number#{}": "11"}
 SOUGHT = {"documents": "doc_hash", "postings": "gram", "chapters": "id", "tables": "id", "cells": "table_id", "statistics": "doc_id"}
+#: Characters of chapters that are indexed at a time, which bounds the postings that are on their way to their buckets.
+INDEXED = 1 << 28
 #: The fields of both indexes.
 FIELDS = {"text": search.indexed_text, "title": lambda: F.coalesce(F.col("title"), F.lit(""))}
 
@@ -118,7 +122,18 @@ class Store:
         column = "bucket" if name == "postings" else "block"
         found = rows.select(*(F.col(f.name).cast(f.dataType) for f in kind)).withColumn(column, part.cast("long"))
         found = found.hint("rebalance", column).sortWithinPartitions(column, kind.names[0])  # a large block is split over tasks
-        found.write.option(f"parquet.bloom.filter.enabled#{SOUGHT[name]}", "true").partitionBy(column).parquet(f"{self.path}/{name}/batch={batch}")
+        bloom = {k.format(SOUGHT[name]): v for k, v in BLOOM.items()}
+        with shuffles_dropped(self.spark):
+            found.write.mode("append").options(compression="zstd", **bloom).partitionBy(column).parquet(f"{self.path}/{name}/batch={batch}")
+
+    def _index(self, batch: str) -> tuple[int, int]:
+        """Index a batch's chapters, some blocks of documents at a time: (chapters, trigrams of their texts)."""
+        chapters = self._rows("chapters", [batch])
+        n, total = self._totals(chapters)
+        parts = max(1, -(-total // INDEXED))
+        for k in range(parts):
+            self._write("postings", batch, postings.build(chapters.where(F.col("block") % parts == k), {name: f() for name, f in FIELDS.items()}, k))
+        return n, total
 
     def _rows(self, name: str, batches: list[str]) -> DataFrame:
         column = "bucket" if name == "postings" else "block"
@@ -200,10 +215,10 @@ class Store:
         n, total = chapters.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
         return n, total
 
-    def add(self, files: DataFrame, decide: Decider | None = decisions.rule_decisions, typed: bool = True) -> DataFrame:
-        """Ingest files (path, content, doc_name, doc_hash) and give their statistics; the same bytes again replace what they made before. typed: as for `ingest`."""
+    def add(self, files: DataFrame, decide: Decider | None = decisions.rule_decisions, typed: bool = True, parsed: Callable[[], None] | None = None) -> DataFrame:
+        """Ingest files (path, content, doc_name, doc_hash) and give their statistics; the same bytes again replace what they made before. typed: as for `ingest`; parsed: called when the files have been read for the last time, and may go."""
         began = time.monotonic()
-        with Scratch(self.spark) as scratch:
+        with shuffles_dropped(self.spark), Scratch(self.spark) as scratch, Scratch(self.spark) as steps:
             start = self.version()
             registered = scratch.cut(self.register(files))
             known = registered.where("known")
@@ -213,16 +228,17 @@ class Store:
             self._commit(start, Version(batches=[*start.batches, {"batch": first, "tables": ["documents"], "replaces": over}], chapters=start.chapters, trigrams=start.trigrams))
             now = self.version()
             contents = files.join(registered.select("path", "doc_hash", "doc_id"), ["path", "doc_hash"]).select("doc_id", "content")
-            found: Ingested = ingest(contents, decide, scratch, typed)
+            found: Ingested = ingest(contents, decide, steps, typed)
+            if parsed:
+                parsed()
             batch = self._batch(now)
             self._write("statistics", batch, found.statistics)
             statistics = self._rows("statistics", [batch]).drop("block", "batch")
             for name in ("chapters", "tables", "cells"):
                 self._write(name, batch, getattr(found, name))
-            chapters = self._rows("chapters", [batch])
-            self._write("postings", batch, postings.build(chapters, {k: f() for k, f in FIELDS.items()}))
+            found.close()  # the index is made from the stored chapters
+            added = self._index(batch)
             self._write("documents", batch, self._registry(registered, self.table("documents", version=now), statistics))
-            added = self._totals(chapters)
             over = [n for n in SCHEMAS if n != "documents"] if self._replaces(batch, "doc_id", known) else []
             gone = self._totals(self.table("chapters", version=now).join(known.select("doc_id"), "doc_id", "left_semi")) if over else (0, 0)
             self._replaces(batch, "id", registered)
@@ -240,9 +256,7 @@ class Store:
         for name in SCHEMAS:
             if name != "postings":
                 self._write(name, batch, self.table(name, version=now))
-        chapters = self._rows("chapters", [batch])
-        self._write("postings", batch, postings.build(chapters, {k: f() for k, f in FIELDS.items()}))
-        n, total = self._totals(chapters)
+        n, total = self._index(batch)
         self._commit(now, Version(batches=[{"batch": batch, "tables": list(SCHEMAS), "replaces": []}], chapters=n, trigrams=total))
 
     def vacuum(self) -> int:

@@ -1,13 +1,17 @@
 """Versions of a store, its two indexes and its threads."""
 
+import os
 import random
+import time
 
 import pytest
 from docx_files import docx, paragraph
 from pyspark.sql import functions as F
 
-from quire.operators import postings, search
+from quire.operators import postings, search, sections
+from quire.plans import store as stores
 from quire.plans.ask import Call, ask, keyword_policy
+from quire.plans.shared import Scratch
 from quire.plans.store import Conflict, Store
 
 BODY = "正文内容足够长，可以作为基线段落来统计。"
@@ -66,6 +70,68 @@ def test_adds_leave_nothing_cached_and_no_scratch(spark, tmp_path):
     assert store.version().chapters == 2 == store.table("chapters").count()
 
 
+def files_below(top, part):
+    return {f"{d}/{n}": os.path.getsize(f"{d}/{n}") for d, _, names in os.walk(top) for n in names if part in n}
+
+
+def test_what_an_add_holds_on_disk(spark, tmp_path, monkeypatch):
+    """Files go when they are parsed, steps before the index is written; filters are as large as their values need."""
+    store, held, write = Store(spark, str(tmp_path / "store")), {}, Store._write
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    scratch = lambda: {n for n in os.listdir(shared) if n.startswith("scratch-")}
+    done, mine = [], scratch()
+
+    def noted(self, name, batch, rows):
+        held[name] = len(scratch() - mine), done[:]
+        write(self, name, batch, rows)
+
+    monkeypatch.setattr(Store, "_write", noted)
+    store.add(files(spark, *((f"f{k}", book(f"第{k}章")) for k in range(9))).repartition(3), parsed=lambda: done.append(True))
+    assert held["statistics"] == (2, [True]) and held["postings"] == (1, [True])  # at the index only the registered names are left
+    sizes = files_below(store.path, ".parquet")
+    assert sizes and max(sizes.values()) < 200_000  # a filter was 1 MB whatever it held
+
+
+def test_shuffles_go_with_their_query(spark, tmp_path):
+    local = spark.conf.get("spark.local.dir")
+    before = set(files_below(local, "shuffle_"))
+    counts = spark.range(1000).selectExpr("id as doc_id", "'' as error", *(f"id as {c}" for c in "total_paragraphs total_chars candidates anchors pending chapters needs_review tables".split())).repartition(3, "doc_id")
+    with Scratch(spark) as scratch:
+        assert scratch.cut(counts).count() == 1000
+        Store(spark, str(tmp_path / "store"))._write("statistics", "one", counts)
+        left = lambda: {f for f in set(files_below(local, "shuffle_")) - before if "_data" in f or f.endswith(".data")}
+        until = time.time() + 20
+        while len(left()) > 1 and time.time() < until:  # the count's own may stay
+            time.sleep(0.5)
+        assert len(left()) <= 1
+
+
+def test_index_in_parts_is_the_index(spark, tmp_path, monkeypatch):
+    rnd, parts, build = random.Random(5), [], postings.build
+    monkeypatch.setattr(stores, "INDEXED", 500)
+    monkeypatch.setattr(stores, "BLOCK", 3)
+    monkeypatch.setattr(postings, "build", lambda texts, fields, part=0: parts.append(part) or build(texts, fields, part))
+    store = Store(spark, str(tmp_path / "store"))
+    store.add(files(spark, *((f"{k}", book(f"章{k}甲 Deposit", body="".join(rnd.choice(["标准", "评分", "aaa", "Deposit"]) for _ in range(40)))) for k in range(12))))
+    assert parts == list(range(len(parts))) and len(parts) > 2
+    for keywords in ("deposit 评分标准", "aaaa", "章1"):
+        assert store.search(None, keywords, top_k=99).collect() == search.search_content(store.table("chapters"), keywords, top_k=99).collect()
+    index = store.table("postings").where("gram = ''").select("field", "segment")
+    assert index.count() == index.distinct().count()
+    store.compact()
+    assert store.version().chapters == 12 == len(store.search(None, "deposit", top_k=99).collect())
+
+
+def test_contents_are_dealt_out_once(spark):
+    nodes = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "doc_id long, order_num int, title string")
+    places = spark.createDataFrame([(1, 3, 0), (1, 1, 0), (1, 9, 1)], "doc_id long, seq int, section int")
+    texts = spark.createDataFrame([(1, 1, "one"), (1, 2, "no section"), (1, 3, ""), (1, 9, "nine"), (2, 9, "none")], "doc_id long, seq int, text string")
+    tables = spark.createDataFrame([(1, 2 + 8, 0, "grid")], "doc_id long, seq int, section int, text string")
+    found = sections.filled(nodes, [places, texts, tables])
+    assert sorted(map(tuple, found.select("doc_id", "order_num", "title", "content").collect())) == [(1, 0, "a", "one\n\ngrid"), (1, 1, "b", "nine"), (2, 0, "c", "")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     """A store of one book and one file that can't be read."""
