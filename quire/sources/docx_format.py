@@ -12,7 +12,8 @@ it again for the next query of the same DataFrame if that pushes none.
 The driver lists the folder, and files below it, through Arrow's file systems
 (local, hdfs, s3, gs), in sorted order, and deals them to partitions of at most
 `partitionBytes` or `partitionFiles`, so many small files are one task and a large
-one is a task by itself. A damaged file gives a row with `error`; one that can't be
+one is a task by itself. It holds the files of one folder at a time, and of the
+partitions their paths, packed to some bytes each. A damaged file gives a row with `error`; one that can't be
 fetched fails its task, which Spark tries again.
 
 A stream's offset is the modification time and path of the last file that was
@@ -24,7 +25,12 @@ when a batch is repeated, unless files were deleted or changed since.
 The sink takes doc_name and content. A task writes under a passing name and the
 commit of the whole job moves the files into place, so a task that is run twice
 does no harm and a job that fails leaves nothing. `overwrite` replaces files of
-the same name only.
+the same name only. The commit goes through the files a folder of a task's at a
+time, of at most 10,000, and keeps 8 bytes of each to find names that two tasks
+have written. With `taskFolders` these folders are moved into place as they are,
+below the given one, so that the driver sees no file at all; a name is then unique
+in its task only, nothing is overwritten, and the file system must be one that
+moves folders (not s3).
 
 No files: no rows. A folder that is not there is an error. Names that occur in two
 folders below are two rows.
@@ -36,10 +42,12 @@ import fnmatch
 import hashlib
 import time
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -59,8 +67,8 @@ from quire.sources.docx import BATCH_BYTES, BATCH_ITEMS, PARSED, parse
 SCHEMA = f"path string, doc_name string, doc_hash string, {PARSED}"
 COLUMNS = ("path", "doc_name", "doc_hash", "items", "styles", "levels", "pstyles", "error")
 
-#: Files that a commit moves at the same time.
-MOVERS = 16
+#: Files that a commit moves at the same time, and files of a task's folder.
+MOVERS, FOLDER_FILES = 16, 10_000
 
 
 @dataclass(order=True, frozen=True)
@@ -72,14 +80,23 @@ class Found:
     size: int
 
 
-@dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Paths of a task's files, packed, since the driver has those of all tasks."""
+
+    def __init__(self, paths: list[str]) -> None:
+        super().__init__(zlib.compress("\0".join(paths).encode()) if paths else None)
+
+    @property
+    def paths(self) -> list[str]:
+        return zlib.decompress(self.value).decode().split("\0") if self.value else []
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    moves: list[tuple[str, str]]
+    """Folders of a task, numbered from 0, below the passing one."""
+
+    task: str
+    folders: int
 
 
 class _Reading:
@@ -91,23 +108,30 @@ class _Reading:
         self.names = options.get("pathGlobFilter", "*.docx").lower()
         self.settle = float(options.get("settleSeconds", 2))
 
-    def listed(self) -> list[Found]:
-        """Files below the folder; hidden names are left out."""
-        files, folder = fs.FileSystem.from_uri(self.uri)
-        infos = files.get_file_info(fs.FileSelector(folder, recursive=True))
-        hidden = lambda path: any(p.startswith((".", "_")) for p in path[len(folder) :].split("/"))
-        return [Found(i.mtime_ns or 0, i.path, i.size or 0) for i in infos if i.type == fs.FileType.File and fnmatch.fnmatchcase(i.path.rsplit("/", 1)[-1].lower(), self.names) and not hidden(i.path)]
+    def listed(self) -> Iterator[Found]:
+        """Files below the folder in the order of their paths, listed folder by folder; hidden names are left out."""
+        files, top = fs.FileSystem.from_uri(self.uri)
+
+        def below(folder: str) -> Iterator[Found]:
+            seen = [(i.path + "/" * (i.type == fs.FileType.Directory), i.base_name, i.mtime_ns or 0, i.size or 0) for i in files.get_file_info(fs.FileSelector(folder)) if not i.base_name.startswith((".", "_"))]
+            for path, name, mtime, size in sorted(seen):
+                if path.endswith("/"):
+                    yield from below(path[:-1])
+                elif fnmatch.fnmatchcase(name.lower(), self.names):
+                    yield Found(mtime, path, size)
+
+        return below(top)
 
     def dealt(self, found: Iterable[Found]) -> list[Files]:
-        """Files in the order of paths, as many to a partition as its bounds allow."""
-        out, left = [], 0
-        for f in sorted(found, key=lambda f: f.path):
-            if not out or f.size > left or len(out[-1].paths) >= self.most_files:
-                out.append(Files([]))
-                left = self.most_bytes
-            out[-1].paths.append(f.path)
+        """Files in the order in which they come, as many to a partition as its bounds allow."""
+        out, paths, left = [], [], self.most_bytes
+        for f in found:
+            if paths and (f.size > left or len(paths) >= self.most_files):
+                out.append(Files(paths))
+                paths, left = [], self.most_bytes
+            paths.append(f.path)
             left -= f.size
-        return out
+        return [*out, Files(paths)] if paths else out
 
     def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
         """Batches of parsed files, bounded by their items and bytes; a large file is a batch by itself."""
@@ -163,43 +187,80 @@ class DocxStreamReader(_Reading, DataSourceStreamReader):
         return self.dealt(f for f in self.listed() if after < (f.mtime, f.path) <= upto)
 
 
+def _hashed(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest())
+
+
 class DocxWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.uri, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        self.whole = options.get("taskFolders", "false").lower() == "true"
+        if self.whole and overwrite:
+            raise ValueError("taskFolders overwrites nothing: use append")
 
     def _passing(self, folder: str) -> str:
         return f"{folder}/.passing-{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, folder = fs.FileSystem.from_uri(self.uri)
-        task, moves = f"{self._passing(folder)}/{uuid.uuid4().hex}", []
-        files.create_dir(task, recursive=True)
+        task, names = uuid.uuid4().hex, set()
         for batch in iterator:
-            for name, content in zip(batch["doc_name"], batch["content"], strict=True):
-                if not name.as_py() or "/" in name.as_py() or not content.is_valid:
+            for name, content in zip(batch["doc_name"].to_pylist(), batch["content"], strict=True):
+                if not name or "/" in name or not content.is_valid:
                     raise ValueError("a file needs a name without folders, and content")
-                passing = f"{task}/{len(moves)}"
-                with files.open_output_stream(passing) as out:
+                if name in names:
+                    raise FileExistsError(f"names that are taken or occur twice, {name} among them")
+                passing = f"{self._passing(folder)}/{task}/{len(names) // FOLDER_FILES}"
+                if len(names) % FOLDER_FILES == 0:
+                    files.create_dir(passing, recursive=True)
+                names.add(name)
+                with files.open_output_stream(f"{passing}/{name}") as out:
                     out.write(content.as_buffer())
-                moves.append((passing, f"{folder}/{name.as_py()}"))
-        return Written(moves)
+        return Written(task, -(-len(names) // FOLDER_FILES))
 
     def commit(self, messages: list[Written | None]) -> None:
         files, folder = fs.FileSystem.from_uri(self.uri)
-        moves = [m for x in messages if x is not None for m in x.moves]
-        targets = [t for _, t in moves]
-        taken = set(targets) if len(set(targets)) < len(targets) else set()
-        if not self.overwrite and not taken:
-            there = files.get_file_info(fs.FileSelector(folder)) if moves else []
-            taken = {i.path for i in there} & set(targets)
-        if taken:
-            self.abort(messages)
-            raise FileExistsError(f"names that are taken or occur twice, {min(taken)} among them")
-        with ThreadPoolExecutor(MOVERS) as movers:  # a move waits for the file system, not for the driver
-            for _ in movers.map(files.move, *zip(*moves, strict=True), chunksize=64) if moves else ():
-                pass
+        written = [(f"{self._passing(folder)}/{x.task}/{k}", f"part-{self.job}-{x.task}-{k}") for x in messages if x is not None for k in range(x.folders)]
+        if self.whole:
+            for passing, name in written:
+                files.move(passing, f"{folder}/{name}")
+        else:
+            if taken := self._taken(files, folder, [passing for passing, _ in written]):
+                self.abort(messages)
+                raise FileExistsError(f"names that are taken or occur twice, {taken} among them")
+            with ThreadPoolExecutor(MOVERS) as movers:  # a move waits for the file system, not for the driver
+                for passing, _ in written:
+                    names = self._names(files, passing)
+                    for _ in movers.map(files.move, [f"{passing}/{n}" for n in names], [f"{folder}/{n}" for n in names]):
+                        pass
         self.abort(messages)
 
+    @staticmethod
+    def _names(files: fs.FileSystem, folder: str) -> list[str]:
+        return sorted(i.base_name for i in files.get_file_info(fs.FileSelector(folder)))
+
+    def _taken(self, files: fs.FileSystem, folder: str, written: list[str]) -> str | None:
+        """A name that the folder has, if that counts, or that two tasks have written."""
+        hashes = []
+        for passing in written:
+            names = self._names(files, passing)
+            if not self.overwrite:
+                for i in files.get_file_info([f"{folder}/{n}" for n in names]):
+                    if i.type != fs.FileType.NotFound:
+                        return i.base_name
+            hashes.append(np.array([_hashed(n) for n in names], np.uint64))
+        if not hashes:
+            return None
+        ordered = np.sort(np.concatenate(hashes))
+        twice, seen = set(ordered[1:][ordered[1:] == ordered[:-1]].tolist()), set()
+        for passing in written if twice else ():  # names alone tell whether these are equal
+            for n in self._names(files, passing):
+                if _hashed(n) in twice:
+                    if n in seen:
+                        return n
+                    seen.add(n)
+        return None
+
     def abort(self, messages: list[Written | None]) -> None:
         """Delete what is not in its place."""
         files, folder = fs.FileSystem.from_uri(self.uri)

@@ -1,6 +1,7 @@
 """Files as a data source: columns and filters that spare work, partitions, streams, and the sink."""
 
 import os
+import pickle
 import time
 
 import pytest
@@ -106,3 +107,65 @@ def test_sink(spark, folder, tmp_path):
     rows("b.docx", "c.docx").write.format("docx").mode("overwrite").save(str(place))
     assert sorted(os.listdir(place)) == ["a.docx", "b.docx", "c.docx"]
     assert {r["items"][0]["text"] for r in spark.read.format("docx").load(str(place)).collect()} == {"written"}
+
+
+def test_sink_of_folders(spark, tmp_path):
+    docx_format.register(spark)
+    content = bytearray(docx(paragraph("written")))
+    rows = lambda *names: spark.createDataFrame([(n, content) for n in names], "doc_name string, content binary").repartition(2)
+    place = tmp_path / "out"
+    write = lambda df, mode="append": df.write.format("docx").option("taskFolders", "true").mode(mode).save(str(place))
+    write(rows(*(f"{k}.docx" for k in range(20))))
+    assert len(os.listdir(place)) == 2 and all(n.startswith("part-") for n in os.listdir(place))
+    assert sorted(r["doc_name"] for r in spark.read.format("docx").load(str(place)).collect()) == sorted(f"{k}.docx" for k in range(20))
+    with pytest.raises(Exception, match="twice"):
+        write(rows("x.docx", "x.docx").coalesce(1))
+    with pytest.raises(Exception, match="overwrites nothing"):
+        write(rows("x.docx"), "overwrite")
+    write(rows())
+    assert len(os.listdir(place)) == 2
+
+
+def test_the_driver_holds_no_list_of_all_files(spark, tmp_path, monkeypatch):
+    """What tasks tell the commit doesn't grow with their files, and planned paths are packed."""
+    monkeypatch.setattr(docx_format, "FOLDER_FILES", 100)
+    listed, listing = [], docx_format.DocxWriter._names
+    monkeypatch.setattr(docx_format.DocxWriter, "_names", staticmethod(lambda files, folder: listed.append(listing(files, folder)) or listed[-1]))
+    for whole in ("false", "true"):
+        place = tmp_path / whole
+        place.mkdir()
+        writer = docx_format.DocxWriter({"path": str(place), "taskFolders": whole}, False)
+        made = docx_format.pa.table({"doc_name": [f"{k}.docx" for k in range(1000)], "content": [b"x"] * 1000}).to_batches()
+        message = writer.write(iter(made))
+        assert len(pickle.dumps(message)) < 300
+        writer.commit([message, None])
+        assert max(map(len, listed), default=0) == (0 if whole == "true" else 100)
+        listed.clear()
+        reader = docx_format.DocxReader({"path": str(place)}, docx_format.StructType.fromDDL("path string"))
+        parts = reader.partitions()
+        paths = [p for x in parts for p in x.paths]
+        assert paths == sorted(str(p) for p in place.rglob("*.docx")) and len(paths) == 1000
+        assert sum(len(pickle.dumps(x)) for x in parts) < sum(map(len, paths)) / 4
+
+
+def test_names_that_two_tasks_write(spark, tmp_path, monkeypatch):
+    batch = lambda *names: iter(docx_format.pa.table({"doc_name": names, "content": [b"x"] * len(names)}).to_batches())
+    for clash in (False, True):
+        monkeypatch.setattr(docx_format, "_hashed", (lambda n: 7) if clash else docx_format._hashed)
+        for overwrite in (False, True):
+            place = tmp_path / f"{clash}-{overwrite}"
+            writer = docx_format.DocxWriter({"path": str(place)}, overwrite)
+            with pytest.raises(FileExistsError, match="b.docx"):
+                writer.commit([writer.write(batch("a.docx", "b.docx")), writer.write(batch("c.docx", "b.docx"))])
+            assert os.listdir(place) == []
+            writer.commit([writer.write(batch("a.docx", "b.docx")), writer.write(batch("c.docx"))])
+            assert sorted(os.listdir(place)) == ["a.docx", "b.docx", "c.docx"]
+
+
+def test_files_come_in_the_order_of_paths(spark, tmp_path):
+    for name in ("a/b.docx", "a-b.docx", "a.docx", "a/c/d.docx", "_no/x.docx", "b/.no/y.docx", "a0.docx"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    reader = docx_format.DocxReader({"path": str(tmp_path)}, docx_format.StructType.fromDDL("path string"))
+    found = [f.path[len(str(tmp_path)) + 1 :] for f in reader.listed()]
+    assert found == sorted(found) and set(found) == {"a/b.docx", "a-b.docx", "a.docx", "a/c/d.docx", "a0.docx"}
