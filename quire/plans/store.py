@@ -48,7 +48,7 @@ SCHEMAS = {
 BLOOM = {"parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.enabled#{}": "true", "parquet.bloom.filter.candidates.number#{}": "11"}
 SOUGHT = {"documents": "doc_hash", "postings": "gram", "chapters": "id", "tables": "id", "cells": "table_id", "statistics": "doc_id"}
 #: Characters of chapters that are indexed at a time, which bounds the postings that are on their way to their buckets.
-INDEXED = 1 << 28
+INDEXED = 1 << 27
 #: The fields of both indexes.
 FIELDS = {"text": search.indexed_text, "title": lambda: F.coalesce(F.col("title"), F.lit(""))}
 
